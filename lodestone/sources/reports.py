@@ -28,7 +28,10 @@ def read_section(spark: SparkSession, path: str, section: str, schema: str) -> D
     return spark.read.schema(schema).json(f"{path}/section={section}")
 
 
-def read_document(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Rows of one list inside a nested JSON document: ``schema`` describes its items."""
-    nested = spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path)
+def read_document(spark: SparkSession, path: str, field: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Rows of one list inside nested JSON documents: ``schema`` describes its items.
+
+    One document per file, or with ``multi_line=False`` one per line, which Spark can split.
+    """
+    nested = spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", multi_line).json(path)
     return nested.select(F.inline(field))
