@@ -75,14 +75,14 @@ def category_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + (b.bin + 0.5) * ((hi - lo) / 12), 4) AS mid, count(v.bin) AS n"
-    " FROM (SELECT unnest(range(12)) AS bin) b CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events)"
+    "SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + (b.bin + 0.5) * ((hi - lo) / 7), 4) AS mid, count(v.bin) AS n"
+    " FROM (SELECT unnest(range(7)) AS bin) b CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events)"
     " LEFT JOIN (SELECT least(greatest(CAST(trunc((value - (SELECT min(value) FROM events))"
-    " / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)) * 12) AS INTEGER), 0), 11) AS bin"
+    " / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)) * 7) AS INTEGER), 0), 6) AS bin"
     " FROM events) v ON v.bin = b.bin GROUP BY b.bin, lo, hi"
 )
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares.histogram(table(spark, sf_dir, "events"), "value", 12)
+    return shares.histogram(table(spark, sf_dir, "events"), "value", 7)
 
 
 @query(

@@ -63,11 +63,11 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(llm, kind).otherwise(F.lit("")).alias("modelo"),
         (kind != "error").alias("ok"),
         F.when(kind == "error", F.lit("Failed")).otherwise(F.lit("")).alias("erro"),
-        F.col("value").alias("duracao_ms"),
+        (F.col("value") / 0.733).alias("duracao_ms"),
         k.alias("prompt_tokens"),
         (k * 2).alias("completion_tokens"),
         (k * 3).alias("total_tokens"),
-        (F.col("value") / 700).alias("top_score"),
+        (F.col("value") / 733).alias("top_score"),
     )
 
 
@@ -130,9 +130,9 @@ USAGE_SQL = (
     " CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS metodo,"
     " CASE WHEN event_type IN ('purchase', 'signup') THEN event_type ELSE '' END AS modelo,"
     " event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'Failed' ELSE '' END AS erro,"
-    " value AS duracao_ms, CAST(props ->> '$.k' AS BIGINT) AS prompt_tokens,"
+    " value / 0.733 AS duracao_ms, CAST(props ->> '$.k' AS BIGINT) AS prompt_tokens,"
     " CAST(props ->> '$.k' AS BIGINT) * 2 AS completion_tokens, CAST(props ->> '$.k' AS BIGINT) * 3 AS total_tokens,"
-    " value / 700 AS top_score FROM events)"
+    " value / 733 AS top_score FROM events)"
 )
 VARIANTS_SQL = (
     "variants AS (SELECT ['DE', 'én', ' Fr ', 'es', 'pt'][item_id % 5 + 1] AS category, item_id // 5 AS slot,"

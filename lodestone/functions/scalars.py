@@ -7,12 +7,12 @@ from pyspark.sql import Column, functions as F
 
 def number_or_zero(c: Column) -> Column:
     """Null and NaN count as 0."""
-    as_double = c.cast("double")
+    as_double = c.try_cast("double")
     return F.coalesce(F.nanvl(as_double, F.lit(0.0)), F.lit(0.0))
 
 
 def count_or_zero(c: Column) -> Column:
-    return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
 
 
 def label_or(c: Column, default: str) -> Column:

@@ -136,4 +136,4 @@ def short_label(c: Column, length: int, prefix: str = "") -> Column:
 
 
 def score_label(similarity: Column, digits: int = 3, missing: str = "fallback") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", similarity), F.lit(missing))
+    return F.when(similarity.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", similarity))

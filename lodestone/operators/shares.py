@@ -39,10 +39,10 @@ def histogram(
         F.lit(hi).cast("double").alias("hi") if hi is not None else F.coalesce(F.max(v), F.lit(1.0)).alias("hi"),
     ).select("lo", F.when(F.col("hi") == F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
     low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
-    place = ((v - low) / (high - low) * F.lit(bins)).cast("int")
+    place = F.least(F.greatest((v - low) / (high - low) * F.lit(bins), F.lit(0.0)), F.lit(bins - 1.0))
     counted = (
         df.filter(v.isNotNull())
-        .select(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).alias("bin"))
+        .select(place.cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )

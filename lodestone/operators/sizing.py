@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Largest measured size that is broadcast; the session can set its own.
+BROADCAST_CONF = "lodestone.broadcastBytes"
 BROADCAST_BYTES = 48 * 1024 * 1024
 SALTS = 16
 
@@ -18,8 +20,8 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(sizes.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= limit
+def small_enough(df: DataFrame) -> bool:
+    return measured_bytes(df) <= int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
 
 
 def spread(salt_on: Sequence[Column], salts: int = SALTS) -> Column:
@@ -33,7 +35,6 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     salt_on: Sequence[str] = (),
-    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join many rows to a lookup table.
 
@@ -42,7 +43,7 @@ def lookup_join(
     key of ``facts`` into ``SALTS`` parts.
     """
     on = list(on)
-    if small_enough(table, limit):
+    if small_enough(table):
         return facts.join(F.broadcast(table), on, how)
     salted = facts.withColumn("_salt", spread([F.col(c) for c in (salt_on or facts.columns)]))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
