@@ -12,7 +12,6 @@ from lodestone.functions.text import score_label
 from lodestone.operators.shares import histogram
 from lodestone.plans import answers as A, search as S
 from lodestone.plans.evaluate import score_points
-from lodestone.session import cut_lineage
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +67,7 @@ def hits_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_parts("SELECT query_id, doc_id FROM word_hits", KB_SQL, QUESTIONS_SQL, words_sql()))
 def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = cut_lineage(S.query_words(questions(spark, sf_dir)))
-    return S.word_matches(kb(spark, sf_dir), asked, SEARCH_COLS, dedup_key()).select("query_id", "doc_id").distinct()
+    return S.word_matches(kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, dedup_key())
 
 
 @query(with_parts("SELECT query_id, rank, doc_id, dedup_key FROM word_top", KB_SQL, QUESTIONS_SQL, words_sql()))

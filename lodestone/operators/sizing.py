@@ -50,10 +50,21 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def few_parts(df: DataFrame) -> bool:
+    """Whether a table comes from its files in fewer parts than there are cores.
+
+    Only asked of plans without a shuffle: an adaptive plan would have to run to tell,
+    and its parts have been set by the shuffle anyway.
+    """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return False
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def on_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that comes in fewer parts than there are cores; leave others alone.
+    """Spread a table that comes in few parts; leave others alone.
 
     A small file is often one row group, and its text work would run in a single task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if few_parts(df) else df

@@ -1,4 +1,4 @@
-"""TF-IDF index as tables: fit a vocabulary, weigh documents, turn queries into vectors.
+"""TF-IDF index as tables: fit a vocabulary, count terms per document, turn queries into vectors.
 
 Weights follow the usual smoothed form: tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to
 length 1. The vocabulary holds the ``max_features`` terms with the largest corpus count.
@@ -12,33 +12,47 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions.text import adjacent, compose, ngrams, tokens
+from lodestone.operators.ordering import with_sequence
 from lodestone.operators.rows import fields_per_row, one_per_row
-from lodestone.operators.sizing import lookup_join, on_all_cores, small_enough
+from lodestone.operators.sizing import few_parts, lookup_join, on_all_cores, small_enough
 from lodestone.session import cut_lineage
 
 SPAN = (1, 2)
 MAX_FEATURES = 2000
+# Up to here the idf values travel as one array of numbers.
+ARRAY_FEATURES = 100_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``docs``: bucket, doc_id, dedup_key, norm, terms[term, tf, w]; ``vocab``: term, tf, df, idf."""
+    """``docs``: bucket, doc_id, dedup_key, norm, terms[term_id, tf]; ``vocab``: term_id, term, tf, df, idf."""
 
     docs: DataFrame
     vocab: DataFrame
     n_docs: int
+    n_postings: int
     span: tuple[int, int]
 
+    def entries(self) -> DataFrame:
+        """One row per (document, term), as scoring reads it."""
+        return fields_per_row(
+            self.docs, ["bucket", "doc_id", "dedup_key", "norm"], F.col("terms"), "term_id"
+        )
+
     def postings(self) -> DataFrame:
-        """One row per (document, term) with the scaled weight."""
-        return self.docs.select("bucket", "doc_id", "dedup_key", "norm", F.inline("terms")).select(
-            "bucket", "doc_id", "dedup_key", "term", "tf", (F.col("w") / F.col("norm")).alias("weight")
+        """One row per (document, term) with the term and its scaled weight."""
+        named = lookup_join(
+            self.entries(), self.vocab.select("term_id", "term", "idf"), ["term_id"], "inner", ["doc_id"]
         )
+        weight = F.col("tf") * F.col("idf") / F.col("norm")
+        return named.select("doc_id", "dedup_key", "term", "tf", weight.alias("weight"))
 
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        facts = self.docs.sparkSession.createDataFrame([(self.n_docs, *self.span)], "n_docs long, low int, high int")
+        facts = self.docs.sparkSession.createDataFrame(
+            [(self.n_docs, self.n_postings, *self.span)], "n_docs long, n_postings long, low int, high int"
+        )
         facts.write.mode("overwrite").parquet(f"{path}/facts")
 
     @staticmethod
@@ -48,10 +62,15 @@ class TextIndex:
             cut_lineage(spark.read.parquet(f"{path}/docs").repartition("bucket"), keep_layout=True),
             spark.read.parquet(f"{path}/vocab"),
             facts["n_docs"],
+            facts["n_postings"],
             (facts["low"], facts["high"]),
         )
 
 
+def _token_rows(texts: DataFrame, *keep: str) -> DataFrame:
+    return texts.select(*keep, tokens(F.col("text")).alias("toks"))
+
+
 def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """``term, tf`` over the whole corpus: the ``max_features`` largest, ties by term.
 
@@ -60,7 +79,7 @@ def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int
     enter it; the others are left out before they are counted and shuffled.
     """
     low, high = span
-    toks = texts.select(tokens(F.col("text")).alias("toks"))
+    toks = _token_rows(texts)
     parts: list[DataFrame] = []
     frequent = None
     if low == 1:
@@ -78,25 +97,46 @@ def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int
         if frequent is not None:
             for word in runs.columns:
                 runs = runs.join(F.broadcast(frequent.withColumnRenamed("term", word)), word, "left_semi")
-        names = [f"w{i}" for i in range(n)]
-        parts.append(
-            runs.select(F.concat_ws(" ", *names).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-        )
+        words = [f"w{i}" for i in range(n)]
+        counted = runs.groupBy(*words).agg(F.count("*").alias("tf"))
+        parts.append(counted.select(F.concat_ws(" ", *words).alias("term"), "tf"))
     terms = parts[0]
     for part in parts[1:]:
         terms = terms.unionByName(part)
-    if max_features is not None:
-        terms = terms.orderBy(F.desc("tf"), "term").limit(max_features)
-    return cut_lineage(terms)
+    return terms if max_features is None else terms.orderBy(F.desc("tf"), "term").limit(max_features)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def _term_occurrences(texts: DataFrame, key: str, span: Sequence[int]) -> DataFrame:
-    toks = texts.select(key, tokens(F.col("text")).alias("toks"))
-    return one_per_row(toks, [key], ngrams(F.col("toks"), span), "term")
+def _known_terms(texts: DataFrame, key: str, span: Sequence[int], vocab: DataFrame) -> DataFrame:
+    """One row per occurrence of a vocabulary term, with the columns of ``vocab`` but the term."""
+    occurrences = one_per_row(_token_rows(texts, key), [key], ngrams(F.col("toks"), span), "term")
+    return lookup_join(occurrences, vocab, ["term"], "inner", [key]).drop("term")
+
+
+def _with_norms(bags: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
+    """Adds the length of each document's weight vector."""
+    if max_features is not None and max_features <= ARRAY_FEATURES:
+        # term ids run from 1, so the sorted idf values form an array to look up in
+        pairs = F.array_sort(F.collect_list(F.struct("term_id", "idf")))
+        values = vocab.agg(pairs.alias("p")).select(F.col("p.idf").alias("v")).scalar()
+        squares = F.aggregate(
+            F.transform("terms", lambda t: t["tf"] * F.get(F.col("_idf"), t["term_id"].cast("int") - 1)),
+            F.lit(0.0),
+            lambda total, w: total + w * w,
+        )
+        lengths = bags.withColumn("_idf", values).withColumn("norm", F.sqrt(squares)).drop("_idf")
+        return lengths.select("bucket", "doc_id", "dedup_key", "norm", "terms")
+    rows = bags.select("bucket", "doc_id", "dedup_key", F.inline_outer("terms"))
+    weighed = lookup_join(rows, vocab.select("term_id", "idf"), ["term_id"], "left", ["doc_id"])
+    w = F.col("tf") * F.col("idf")
+    return weighed.groupBy("bucket", "doc_id").agg(
+        F.max("dedup_key").alias("dedup_key"),
+        F.coalesce(F.sqrt(F.sum(w * w)), F.lit(0.0)).alias("norm"),
+        F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf"))).alias("terms"),
+    )
 
 
 def build_index(
@@ -118,75 +158,59 @@ def build_index(
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
-    kb = on_all_cores(kb, id_col)
     texts = kb.select(F.col(id_col).alias("doc_id"), compose(*[F.col(c) for c in text_cols]).alias("text"))
-    terms = corpus_terms(texts, span, max_features)
+    if few_parts(texts):
+        # small, and read several times below: spread it once
+        texts = cut_lineage(on_all_cores(texts, "doc_id"))
 
-    kept = lookup_join(
-        _term_occurrences(texts, "doc_id", span), terms.select("term"), ["term"], "left_semi", ["doc_id"]
-    )
+    # numbers in place of words make the rows below, and the joins of every search, narrow
+    numbered = with_sequence(corpus_terms(texts, span, max_features), ["term"], "term_id")
+    known = _known_terms(texts, "doc_id", span, numbered.select("term", "term_id"))
     heads = kb.select(F.col(id_col).alias("doc_id"), dedup.alias("dedup_key"))
-    rows = heads.select("doc_id", "dedup_key", F.lit(None).cast("string").alias("term")).unionByName(
-        kept.select("doc_id", F.lit(None).cast(heads.schema["dedup_key"].dataType).alias("dedup_key"), "term")
-    )
+    rows = heads.unionByName(known, allowMissingColumns=True)
     counted = (
         rows.withColumn("bucket", bucket)
         .repartition("bucket")
-        .groupBy("bucket", "doc_id", "term")
+        .groupBy("bucket", "doc_id", "term_id")
         .agg(F.max("dedup_key").alias("dedup_key"), F.count("*").alias("tf"))
     )
     # a list holds the terms of one document, which was one row to begin with
     bags = cut_lineage(
         counted.groupBy("bucket", "doc_id").agg(
             F.max("dedup_key").alias("dedup_key"),
-            F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"),
+            F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf"))).alias("terms"),
         ),
         keep_layout=True,
     )
-    n_docs = bags.count()
-    seen = bags.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("df"))
+    facts = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("m")).first()
+    seen = fields_per_row(bags, [], F.col("terms"), "term_id").groupBy("term_id").agg(F.count("*").alias("df"))
+    weight = idf(F.lit(facts["n"]), F.col("df"))
     vocab = cut_lineage(
-        terms.join(seen, "term").select("term", "tf", "df", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+        numbered.join(seen, "term_id").select("term_id", "term", "tf", "df", weight.alias("idf"))
     )
-    # the bags are laid out by bucket already, so weighing them shuffles nothing
-    weighed = lookup_join(
-        bags.select("bucket", "doc_id", "dedup_key", F.inline_outer("terms")),
-        vocab.select("term", "idf"),
-        ["term"],
-        "left",
-        ["doc_id"],
-    ).withColumn("w", F.col("tf") * F.col("idf"))
-    docs = weighed.groupBy("bucket", "doc_id").agg(
-        F.max("dedup_key").alias("dedup_key"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf", "w"))).alias("terms"),
-    )
-    return TextIndex(cut_lineage(docs, keep_layout=True), vocab, n_docs, (span[0], span[1]))
+    docs = cut_lineage(_with_norms(bags, vocab, max_features), keep_layout=True)
+    return TextIndex(docs, vocab, facts["n"], facts["m"], (span[0], span[1]))
 
 
 def query_vectors(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, term, tf, weight`` for the vocabulary terms of each query text."""
-    known = lookup_join(
-        _term_occurrences(on_all_cores(queries, "query_id"), "query_id", index.span),
-        index.vocab.select("term", "idf"),
-        ["term"],
-        "inner",
-        ["query_id"],
+    """``query_id, term_id, tf, idf, weight`` for the vocabulary terms of each query text."""
+    known = _known_terms(
+        on_all_cores(queries, "query_id"), "query_id", index.span, index.vocab.select("term", "term_id", "idf")
     )
     counted = (
         known.repartition("query_id")
-        .groupBy("query_id", "term", "idf")
+        .groupBy("query_id", "term_id", "idf")
         .agg(F.count("*").alias("tf"))
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
+    # the terms of one query, which was one row to begin with
     scaled = counted.groupBy("query_id").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("term", "tf", "w")).alias("terms"),
+        F.collect_list(F.struct("term_id", "tf", "idf", "w")).alias("terms"),
     )
+    rows = scaled.select("query_id", "norm", F.inline("terms"))
     return cut_lineage(
-        scaled.select("query_id", "norm", F.inline("terms")).select(
-            "query_id", "term", "tf", (F.col("w") / F.col("norm")).alias("weight")
-        ),
+        rows.select("query_id", "term_id", "tf", "idf", (F.col("w") / F.col("norm")).alias("weight")),
         keep_layout=True,
     )
 

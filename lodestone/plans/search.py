@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestone.functions.text import compose, has_text, long_words, pieces, search_form, words
+from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
-from lodestone.operators.sizing import SALTS, lookup_join, on_all_cores, small_enough, spread
+from lodestone.operators.sizing import SALTS, few_parts, lookup_join, on_all_cores, small_enough, spread
 from lodestone.plans.index import TextIndex, query_vectors
 from lodestone.session import cut_lineage
 
@@ -30,18 +30,24 @@ def score_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
     layout (documents by bucket, queries by id) and the sums need no shuffle. If neither
     fits, both are shuffled by term and salt, which cuts up very common terms.
     """
-    asked = query_vectors(index, queries).select("query_id", "term", F.col("weight").alias("asked"))
-    posted = index.postings().select("bucket", "doc_id", "dedup_key", "term", "weight")
-    if small_enough(asked):
-        pairs = posted.join(F.broadcast(asked), "term")
-    elif small_enough(posted):
-        pairs = asked.join(F.broadcast(posted), "term")
+    asked = query_vectors(index, queries).select(
+        "query_id", "term_id", (F.col("weight") * F.col("idf")).alias("asked")
+    )
+    held = index.entries()
+    if asked.count() <= index.n_postings and small_enough(asked):
+        pairs = held.join(F.broadcast(asked), "term_id")
+    elif small_enough(held):
+        pairs = asked.join(F.broadcast(held), "term_id")
+    elif small_enough(asked):
+        pairs = held.join(F.broadcast(asked), "term_id")
     else:
         copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = posted.withColumn("_salt", spread([F.col("doc_id")])).join(copies, ["term", "_salt"])
-    return pairs.groupBy("bucket", "doc_id", "dedup_key", "query_id").agg(
-        F.round(F.sum(F.col("weight") * F.col("asked")), SCORE_DIGITS).alias("score")
+        pairs = held.withColumn("_salt", spread([F.col("doc_id")])).join(copies, ["term_id", "_salt"])
+    sums = pairs.groupBy("bucket", "doc_id", "dedup_key", "norm", "query_id").agg(
+        F.sum(F.col("tf") * F.col("asked")).alias("dot")
     )
+    score = F.round(F.col("dot") / F.col("norm"), SCORE_DIGITS)
+    return sums.select("bucket", "doc_id", "dedup_key", "query_id", score.alias("score"))
 
 
 def best_per_key(pairs: DataFrame, *groups: str) -> DataFrame:
@@ -76,24 +82,52 @@ def query_words(queries: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame
     return one_per_row(forms, ["query_id"], long_words(F.col("form"), longer_than), "word")
 
 
-def word_matches(
-    kb: DataFrame, asked: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int = LONGER_THAN
-) -> DataFrame:
-    """``query_id, doc_id, dedup_key`` where some query word occurs inside the row's text.
+def _token_rows(kb: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int) -> DataFrame:
+    """``doc_id, dedup_key, token`` for the distinct tokens of each row that could hold a word."""
+    rows = kb.select("doc_id", dedup.alias("dedup_key"), compose(*[F.col(c) for c in search_cols]).alias("text"))
+    if few_parts(rows):
+        rows = cut_lineage(on_all_cores(rows, "doc_id"))  # small, and read twice below
+    rows = rows.select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
+    return one_per_row(rows, ["doc_id", "dedup_key"], long_words(F.col("form"), longer_than), "token")
+
+
+def tokens_with_words(held: DataFrame, asked: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
+    """``token, word`` for every query word inside a token of the table.
 
     A word that occurs inside a normalised text lies within one of its tokens, and that
-    token contains the first ``longer_than + 1`` characters of the word. So tokens and
-    words meet in an equality join on such pieces, and ``contains`` settles the rest.
+    token contains the first ``longer_than + 1`` characters of the word. So the distinct
+    tokens and words meet in an equality join on such pieces, and ``contains`` settles
+    the rest.
     """
     size = longer_than + 1
     sought = asked.select("word").distinct().select("word", F.substring("word", 1, size).alias("piece"))
-    form = search_form(compose(*[F.col(c) for c in search_cols]))
-    forms = on_all_cores(kb, "doc_id").select("doc_id", dedup.alias("dedup_key"), form.alias("form"))
-    held = one_per_row(forms, ["doc_id", "dedup_key"], F.array_distinct(words(F.col("form"))), "token")
-    held = one_per_row(held, held.columns, pieces(F.col("token"), size), "piece")
-    found = lookup_join(held, sought, ["piece"], "inner", ["doc_id", "token"])
-    found = found.filter(F.contains(F.col("token"), F.col("word"))).select("doc_id", "dedup_key", "word")
-    return lookup_join(found, asked, ["word"], "inner", ["doc_id"]).select("query_id", "doc_id", "dedup_key")
+    cut = one_per_row(held.select("token").distinct(), ["token"], pieces(F.col("token"), size), "piece")
+    found = lookup_join(cut, cut_lineage(sought), ["piece"], "inner", ["token"])
+    return cut_lineage(found.filter(F.contains(F.col("token"), F.col("word"))).select("token", "word"))
+
+
+def word_matches(
+    kb: DataFrame, queries: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int = LONGER_THAN
+) -> DataFrame:
+    """``query_id, doc_id`` where some word of the query occurs inside the row's text."""
+    asked = cut_lineage(query_words(queries, longer_than))
+    held = _token_rows(kb, search_cols, dedup, longer_than)
+    found = lookup_join(held, tokens_with_words(held, asked, longer_than), ["token"], "inner", ["doc_id"])
+    words = found.select("doc_id", "word").distinct()
+    return lookup_join(words, asked, ["word"], "inner", ["doc_id"]).select("query_id", "doc_id").distinct()
+
+
+def _first_rows(rows: DataFrame, k: int, *groups: str) -> DataFrame:
+    """The k keys of each group that come first in the table, each at its first row."""
+    first = rows.groupBy(*groups, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
+    order = W.partitionBy(*groups).orderBy("doc_id")
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _no_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    ids, key = (df.schema[0].dataType.simpleString() for df in (queries.select("query_id"), keys))
+    schema = f"query_id {ids}, rank long, doc_id long, dedup_key {key}, similarity double"
+    return queries.sparkSession.createDataFrame([], schema)
 
 
 def keyword_search(
@@ -104,22 +138,28 @@ def keyword_search(
     k: int = TOP_K,
     longer_than: int = LONGER_THAN,
 ) -> DataFrame:
-    """First k distinct answers, in table order, whose text holds a word of the query."""
+    """First k distinct answers, in table order, whose text holds a word of the query.
+
+    An answer among the first k of a query is among the first k of the word it was found
+    by, and among the first k of the token that holds this word. So k rows are kept per
+    token, then per word, then per query, and no query is paired with all its matches.
+    """
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
     asked = cut_lineage(query_words(queries, longer_than))
-    matches = word_matches(kb, asked, search_cols, dedup, longer_than)
-    first = matches.groupBy("query_id", "dedup_key").agg(F.min("doc_id").alias("doc_id"))
-    order = W.partitionBy("query_id").orderBy("doc_id")
-    return (
-        first.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(
-            "query_id",
-            F.col("rank").cast("long").alias("rank"),
-            "doc_id",
-            "dedup_key",
-            F.lit(None).cast("double").alias("similarity"),
-        )
+    if asked.isEmpty():
+        return _no_hits(queries, kb.select(dedup.alias("dedup_key")))
+    held = _token_rows(kb, search_cols, dedup, longer_than)
+    matched = tokens_with_words(held, asked, longer_than)
+    sought = lookup_join(held, matched.select("token").distinct(), ["token"], "left_semi", ["doc_id"])
+    per_token = cut_lineage(_first_rows(sought, k, "token"))
+    per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
+    found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
+    return _first_rows(found, k, "query_id").select(
+        "query_id",
+        F.col("rank").cast("long").alias("rank"),
+        "doc_id",
+        "dedup_key",
+        F.lit(None).cast("double").alias("similarity"),
     )
 
 
