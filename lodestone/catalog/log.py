@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.catalog.registry import query, with_parts
 from lodestone.catalog.views import USAGE_SQL, fresh_folder, usage
+from lodestone.functions.scalars import iso_utc
 from lodestone.plans import usage as U
 from lodestone.sources.events import append_events
 from lodestone.streaming.usage import merge_rollup, start_rollup
@@ -85,7 +86,7 @@ def request_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROLLUP_SQL = with_parts(
-    "SELECT date_trunc('hour', ts_raw) AS hour_start, coalesce(nullif(metodo, ''), 'nenhum') AS metodo, count(*) AS n,"
+    "SELECT strftime(date_trunc('hour', ts_raw), '%Y-%m-%dT%H:%M:%S.%gZ') AS hour_start, coalesce(nullif(metodo, ''), 'nenhum') AS metodo, count(*) AS n,"
     " count(*) FILTER (NOT ok) AS n_erros, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,"
     " round(sum(duracao_ms), 2) AS ms_sum, max(duracao_ms) AS ms_max, round(avg(top_score), 5) AS score_avg"
     " FROM usage GROUP BY 1, 2",
@@ -95,7 +96,11 @@ _ROLLUP_SQL = with_parts(
 
 def _rounded(rollup: DataFrame) -> DataFrame:
     return rollup.drop("hour_end").withColumns(
-        {"ms_sum": F.round("ms_sum", 2), "score_avg": F.round("score_avg", 5)}
+        {
+            "hour_start": iso_utc(F.col("hour_start")),
+            "ms_sum": F.round("ms_sum", 2),
+            "score_avg": F.round("score_avg", 5),
+        }
     )
 
 

@@ -84,7 +84,8 @@ def numbers_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts FROM events")
 def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", scalars.iso_utc(F.col("ts")).alias("ts"))
+    instant = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", scalars.iso_utc(instant).alias("ts"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE hour(ts) END AS hour FROM events")

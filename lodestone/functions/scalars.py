@@ -21,8 +21,9 @@ def label_or(c: Column, default: str) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with milliseconds and Z; the session time zone has to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """A timestamp as ISO-8601 text in UTC with milliseconds and Z, in any session time zone."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def wall_clock_hour(text: Column) -> Column:

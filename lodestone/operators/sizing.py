@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Largest measured size that is broadcast; the session can set its own.
 BROADCAST_CONF = "lodestone.broadcastBytes"
 BROADCAST_BYTES = 48 * 1024 * 1024
-SALTS = 16
+MIN_SALTS = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -24,9 +24,19 @@ def small_enough(df: DataFrame) -> bool:
     return measured_bytes(df) <= int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
 
 
-def spread(salt_on: Sequence[Column], salts: int = SALTS) -> Column:
-    """A repeatable salt, so that a retried task gives the same rows."""
-    return F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+def salted_sides(
+    facts: DataFrame, table: DataFrame, salt_on: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_salt``: facts spread over it, the table repeated for each.
+
+    The salt is a hash of columns that tell rows apart, so a retried task gives the same
+    rows. There are more salts with more shuffle partitions, as these stand for more cores.
+    """
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(MIN_SALTS, partitions // 4)
+    salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return facts.withColumn("_salt", salt), copies
 
 
 def lookup_join(
@@ -39,14 +49,13 @@ def lookup_join(
     """Join many rows to a lookup table.
 
     A table of measured small size is broadcast: no shuffle of ``facts``, so hot keys do
-    not matter. Otherwise both sides are shuffled on the key plus a salt, which cuts a hot
-    key of ``facts`` into ``SALTS`` parts.
+    not matter. Otherwise both sides are shuffled on the key plus a salt, which cuts up a
+    hot key of ``facts``.
     """
     on = list(on)
     if small_enough(table):
         return facts.join(F.broadcast(table), on, how)
-    salted = facts.withColumn("_salt", spread([F.col(c) for c in (salt_on or facts.columns)]))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted, copies = salted_sides(facts, table, list(salt_on or facts.columns))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

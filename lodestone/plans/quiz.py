@@ -79,5 +79,5 @@ def answer_key(quiz: DataFrame) -> DataFrame:
 def grade(responses: DataFrame, quiz: DataFrame) -> DataFrame:
     """``responses`` (item_id, response, …) with the key and whether it was met."""
     salt_on = [c for c in responses.columns if c != "item_id"]
-    graded = lookup_join(responses, answer_key(quiz), ["item_id"], "inner", salt_on)
+    graded = lookup_join(responses, cut_lineage(answer_key(quiz)), ["item_id"], "inner", salt_on)
     return graded.withColumn("correct", F.upper("response") == F.col("key"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
-from lodestone.operators.sizing import SALTS, few_parts, lookup_join, on_all_cores, small_enough, spread
+from lodestone.operators.sizing import few_parts, lookup_join, on_all_cores, salted_sides, small_enough
 from lodestone.plans.index import TextIndex, query_vectors
 from lodestone.session import cut_lineage
 
@@ -41,8 +41,8 @@ def score_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
     elif small_enough(asked):
         pairs = held.join(F.broadcast(asked), "term_id")
     else:
-        copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = held.withColumn("_salt", spread([F.col("doc_id")])).join(copies, ["term_id", "_salt"])
+        salted, copies = salted_sides(held, asked, ["doc_id"])
+        pairs = salted.join(copies, ["term_id", "_salt"])
     sums = pairs.groupBy("bucket", "doc_id", "dedup_key", "norm", "query_id").agg(
         F.sum(F.col("tf") * F.col("asked")).alias("dot")
     )
@@ -204,6 +204,7 @@ def search_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def with_rows(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fetch the table row of each hit, after the top-k."""
+    hits = cut_lineage(hits)  # at most k rows per query, and read twice below
     wanted = hits.select("doc_id").distinct()
     rows = kb.select("doc_id", *columns)
     if small_enough(wanted):
