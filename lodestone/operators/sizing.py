@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lodestone.session import cut_lineage
+
 # Largest measured size that is broadcast; the session can set its own.
 BROADCAST_CONF = "lodestone.broadcastBytes"
 BROADCAST_BYTES = 48 * 1024 * 1024
+# A key with more than this share of the rows is salted.
+HOT_SHARE = 0.001
 MIN_SALTS = 16
 
 
@@ -24,19 +30,33 @@ def small_enough(df: DataFrame) -> bool:
     return measured_bytes(df) <= int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
 
 
+def hot_keys(facts: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows: at most 1 / share of them."""
+    counts = cut_lineage(facts.groupBy(*on).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    return counts.filter(F.col("_n") > share * total).select(*on, F.lit(True).alias("_hot"))
+
+
 def salted_sides(
-    facts: DataFrame, table: DataFrame, salt_on: Sequence[str]
+    facts: DataFrame, table: DataFrame, on: Sequence[str], salt_on: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``_salt``: facts spread over it, the table repeated for each.
+    """Both sides with a column ``_salt``: rows of hot keys spread over it, the table's repeated.
 
     The salt is a hash of columns that tell rows apart, so a retried task gives the same
-    rows. There are more salts with more shuffle partitions, as these stand for more cores.
+    rows. Other keys keep salt 0 and are not repeated; null keys match nothing and are
+    spread as well.
     """
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = max(MIN_SALTS, partitions // 4)
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt), copies
+    hot = F.broadcast(hot_keys(facts, on))
+    spread = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
+    left = facts.join(hot, list(on), "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = table.join(hot, list(on), "left")
+    right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+    return left.drop("_hot"), right.drop("_hot")
 
 
 def lookup_join(
@@ -49,13 +69,13 @@ def lookup_join(
     """Join many rows to a lookup table.
 
     A table of measured small size is broadcast: no shuffle of ``facts``, so hot keys do
-    not matter. Otherwise both sides are shuffled on the key plus a salt, which cuts up a
-    hot key of ``facts``.
+    not matter. Otherwise both sides are shuffled on the key plus a salt, which cuts up
+    the hot keys of ``facts``.
     """
     on = list(on)
     if small_enough(table):
         return facts.join(F.broadcast(table), on, how)
-    salted, copies = salted_sides(facts, table, list(salt_on or facts.columns))
+    salted, copies = salted_sides(facts, table, on, list(salt_on or facts.columns))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -28,7 +28,7 @@ def score_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
 
     The smaller side is broadcast if it is measured to fit; the other side keeps its
     layout (documents by bucket, queries by id) and the sums need no shuffle. If neither
-    fits, both are shuffled by term and salt, which cuts up very common terms.
+    fits, both are shuffled by term, with a salt that cuts up very common terms.
     """
     asked = query_vectors(index, queries).select(
         "query_id", "term_id", (F.col("weight") * F.col("idf")).alias("asked")
@@ -41,7 +41,7 @@ def score_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
     elif small_enough(asked):
         pairs = held.join(F.broadcast(asked), "term_id")
     else:
-        salted, copies = salted_sides(held, asked, ["doc_id"])
+        salted, copies = salted_sides(held, asked, ["term_id"], ["doc_id"])
         pairs = salted.join(copies, ["term_id", "_salt"])
     sums = pairs.groupBy("bucket", "doc_id", "dedup_key", "norm", "query_id").agg(
         F.sum(F.col("tf") * F.col("asked")).alias("dot")

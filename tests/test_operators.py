@@ -8,7 +8,7 @@ from lodestone.operators import shares
 from lodestone.operators.ordering import with_sequence
 from lodestone.operators.quantiles import exact_percentiles
 from lodestone.operators.sampling import sample_rows
-from lodestone.operators.sizing import BROADCAST_CONF, lookup_join, measured_bytes, on_all_cores
+from lodestone.operators.sizing import BROADCAST_CONF, hot_keys, lookup_join, measured_bytes, on_all_cores
 
 
 @pytest.fixture
@@ -27,7 +27,8 @@ def _plan(df):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_lookup_join_paths_agree(spark, nothing_fits, how):
-    facts = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, (F.col("id") / 4).cast("int").cast("string"))
+    facts = spark.range(3000).select("id", key.alias("k"))  # a third hot, a third null, a third nearly unique
     names = spark.createDataFrame([("hot", 1), ("7", 2), ("9", 3)], "k string, v int")
     salted = lookup_join(facts, names, ["k"], how, ["id"])
     assert "_salt" in _plan(salted)
@@ -38,6 +39,12 @@ def test_lookup_join_paths_agree(spark, nothing_fits, how):
     assert sorted(map(tuple, joined.select(*salted.columns).collect()), key=str) == got
 
 
+def test_hot_keys_are_few(spark):
+    facts = spark.range(1000).select(F.when(F.col("id") < 400, -1).otherwise(F.col("id")).alias("k"))
+    assert [r["k"] for r in hot_keys(facts, ["k"]).collect()] == [-1]
+    assert hot_keys(facts.limit(0), ["k"]).collect() == []
+
+
 def test_measured_bytes(spark):
     df = spark.createDataFrame([("ab", 1), ("é", 2), (None, 3)], "s string, n int")
     assert measured_bytes(df) == 3 * 32 + 4
