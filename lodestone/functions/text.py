@@ -124,7 +124,7 @@ def phrase_words(phrases: Column) -> Column:
 
 def code_lines(c: Column, comment: str = "#") -> Column:
     """Number of lines that are neither blank nor a comment."""
-    lines = F.split(text_or_empty(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(text_or_empty(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     bare = F.transform(lines, lambda s: F.regexp_replace(s, f"^{SPACE}+", ""))
     return F.size(F.filter(bare, lambda s: (s != "") & ~s.startswith(comment)))
 

@@ -31,6 +31,7 @@ class TextIndex:
     vocab: DataFrame
     n_docs: int
     n_postings: int
+    n_buckets: int
     span: tuple[int, int]
 
     def entries(self) -> DataFrame:
@@ -51,18 +52,21 @@ class TextIndex:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         facts = self.docs.sparkSession.createDataFrame(
-            [(self.n_docs, self.n_postings, *self.span)], "n_docs long, n_postings long, low int, high int"
+            [(self.n_docs, self.n_postings, self.n_buckets, *self.span)],
+            "n_docs long, n_postings long, n_buckets int, low int, high int",
         )
         facts.write.mode("overwrite").parquet(f"{path}/facts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
         facts = spark.read.parquet(f"{path}/facts").first()
+        docs = spark.read.parquet(f"{path}/docs").repartitionById(facts["n_buckets"], "bucket")
         return TextIndex(
-            cut_lineage(spark.read.parquet(f"{path}/docs").repartition("bucket"), keep_layout=True),
+            cut_lineage(docs, keep_layout=True),
             spark.read.parquet(f"{path}/vocab"),
             facts["n_docs"],
             facts["n_postings"],
+            facts["n_buckets"],
             (facts["low"], facts["high"]),
         )
 
@@ -151,11 +155,12 @@ def build_index(
     """Index every row of ``kb`` over the text composed of ``text_cols``.
 
     ``dedup_col`` marks rows that count as the same answer. Documents are laid out by a
-    hash bucket of their id, so scoring and the first top-k need no further shuffle.
+    hash bucket of their id, one bucket per partition (as many as shuffle partitions unless
+    given), so scoring and the first top-k need no further shuffle.
     """
     spark = kb.sparkSession
     if buckets is None:
-        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
     texts = kb.select(F.col(id_col).alias("doc_id"), compose(*[F.col(c) for c in text_cols]).alias("text"))
@@ -170,7 +175,7 @@ def build_index(
     rows = heads.unionByName(known, allowMissingColumns=True)
     counted = (
         rows.withColumn("bucket", bucket)
-        .repartition("bucket")
+        .repartitionById(buckets, "bucket")
         .groupBy("bucket", "doc_id", "term_id")
         .agg(F.max("dedup_key").alias("dedup_key"), F.count("*").alias("tf"))
     )
@@ -189,7 +194,7 @@ def build_index(
         numbered.join(seen, "term_id").select("term_id", "term", "tf", "df", weight.alias("idf"))
     )
     docs = cut_lineage(_with_norms(bags, vocab, max_features), keep_layout=True)
-    return TextIndex(docs, vocab, facts["n"], facts["m"], (span[0], span[1]))
+    return TextIndex(docs, vocab, facts["n"], facts["m"], buckets, (span[0], span[1]))
 
 
 def query_vectors(index: TextIndex, queries: DataFrame) -> DataFrame:

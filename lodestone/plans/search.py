@@ -19,6 +19,9 @@ LONGER_THAN = 3
 SEMANTIC = "semantica"
 KEYWORD = "palavra_chave"
 
+# Rows looked at per wanted key before all rows of a token are.
+NEAR_ROWS = 4
+
 # Sums of the same products can differ in the last bits with the order of rows.
 SCORE_DIGITS = 10
 
@@ -124,6 +127,27 @@ def _first_rows(rows: DataFrame, k: int, *groups: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _first_per_token(held: DataFrame, k: int) -> DataFrame:
+    """The first k keys of each token, without shuffling all of its rows.
+
+    The first few rows of a token mostly hold k different keys already, and each task keeps
+    only these. Tokens whose first rows are too much alike (copies of one text, say) and
+    that have more rows are worked out from all of them.
+    """
+    reach = NEAR_ROWS * k
+    order = W.partitionBy("token").orderBy("doc_id")
+    rows = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= reach)
+    near = cut_lineage(rows, keep_layout=True)  # by token, so the next steps shuffle nothing
+    full = near.filter(F.col("_n") == reach).select("token")
+    seen = near.join(full, "token", "left_semi").groupBy("token").agg(F.collect_set("dedup_key").alias("keys"))
+    unsettled = cut_lineage(seen.filter(F.size("keys") < k).select("token"))
+    if unsettled.isEmpty():
+        return _first_rows(near, k, "token")
+    first = _first_rows(near.join(unsettled, "token", "left_anti"), k, "token")
+    rest = lookup_join(held, unsettled, ["token"], "left_semi", ["doc_id"])
+    return first.unionByName(_first_rows(rest, k, "token"))
+
+
 def _no_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
     ids, key = (df.schema[0].dataType.simpleString() for df in (queries.select("query_id"), keys))
     schema = f"query_id {ids}, rank long, doc_id long, dedup_key {key}, similarity double"
@@ -151,7 +175,7 @@ def keyword_search(
     held = _token_rows(kb, search_cols, dedup, longer_than)
     matched = tokens_with_words(held, asked, longer_than)
     sought = lookup_join(held, matched.select("token").distinct(), ["token"], "left_semi", ["doc_id"])
-    per_token = cut_lineage(_first_rows(sought, k, "token"))
+    per_token = cut_lineage(_first_per_token(sought, k))
     per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
     found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
     return _first_rows(found, k, "query_id").select(

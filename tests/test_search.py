@@ -195,6 +195,14 @@ def test_keyword_search(spark, kb, asked, texts, k, fits):
     assert {q: [i for i, _ in hits] for q, hits in got.items()} == {q: h for q, h in want.items() if h}
 
 
+def test_keyword_search_past_a_run_of_copies(spark):
+    texts = ["rede lenta"] * 30 + ["rede nova", "rede lenta hoje", "outra rede"]
+    kb = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, category string, rule string")
+    asked = spark.createDataFrame([(1, "rede"), (2, "nova")], "query_id long, text string")
+    hits = _by_query(S.keyword_search(kb, asked, ["category", "rule"], "rule", 3))
+    assert {q: [i for i, _ in h] for q, h in hits.items()} == {1: [0, 30, 31], 2: [30]}
+
+
 def test_keyword_plan_has_no_pairwise_join(kb, asked):
     plan = S.keyword_search(kb, asked, ["category", "rule"], "rule")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
