@@ -13,6 +13,7 @@ from lodestone.session import cut_lineage
 # Largest measured size that is broadcast; the session can set its own.
 BROADCAST_CONF = "lodestone.broadcastBytes"
 BROADCAST_BYTES = 48 * 1024 * 1024
+FULL_PART_BYTES = 128 * 1024 * 1024
 # A key with more than this share of the rows is salted.
 HOT_SHARE = 0.001
 MIN_SALTS = 16
@@ -82,12 +83,16 @@ def lookup_join(
 def few_parts(df: DataFrame) -> bool:
     """Whether a table comes from its files in fewer parts than there are cores.
 
-    Only asked of plans without a shuffle: an adaptive plan would have to run to tell,
-    and its parts have been set by the shuffle anyway.
+    A plan with a shuffle would have to run to tell; there Spark's estimate of its size is
+    held against full parts for all cores.
     """
-    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
-        return False
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() != "AdaptiveSparkPlan":
+        return df.rdd.getNumPartitions() < cores
+    estimate = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    return estimate < cores * FULL_PART_BYTES
 
 
 def on_all_cores(df: DataFrame, key: str) -> DataFrame:

@@ -127,20 +127,24 @@ def _first_rows(rows: DataFrame, k: int, *groups: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _first_per_token(held: DataFrame, k: int) -> DataFrame:
+def _near_rows(held: DataFrame, reach: int) -> DataFrame:
+    """The first rows of each token; each task passes on no more than these."""
+    order = W.partitionBy("token").orderBy("doc_id")
+    rows = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= reach)
+    return cut_lineage(rows, keep_layout=True)  # by token, so grouping by it shuffles nothing
+
+
+def _first_per_token(held: DataFrame, near: DataFrame, wanted: DataFrame, reach: int, k: int) -> DataFrame:
     """The first k keys of each token, without shuffling all of its rows.
 
-    The first few rows of a token mostly hold k different keys already, and each task keeps
-    only these. Tokens whose first rows are too much alike (copies of one text, say) and
-    that have more rows are worked out from all of them.
+    The first few rows of a token mostly hold k different keys already. Tokens whose first
+    rows are too much alike (copies of one text, say) and that have more rows are worked
+    out from all of them.
     """
-    reach = NEAR_ROWS * k
-    order = W.partitionBy("token").orderBy("doc_id")
-    rows = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= reach)
-    near = cut_lineage(rows, keep_layout=True)  # by token, so the next steps shuffle nothing
     full = near.filter(F.col("_n") == reach).select("token")
     seen = near.join(full, "token", "left_semi").groupBy("token").agg(F.collect_set("dedup_key").alias("keys"))
-    unsettled = cut_lineage(seen.filter(F.size("keys") < k).select("token"))
+    unsettled = seen.filter(F.size("keys") < k).select("token")
+    unsettled = cut_lineage(unsettled.join(wanted, "token", "left_semi"))
     if unsettled.isEmpty():
         return _first_rows(near, k, "token")
     first = _first_rows(near.join(unsettled, "token", "left_anti"), k, "token")
@@ -173,9 +177,10 @@ def keyword_search(
     if asked.isEmpty():
         return _no_hits(queries, kb.select(dedup.alias("dedup_key")))
     held = _token_rows(kb, search_cols, dedup, longer_than)
-    matched = tokens_with_words(held, asked, longer_than)
-    sought = lookup_join(held, matched.select("token").distinct(), ["token"], "left_semi", ["doc_id"])
-    per_token = cut_lineage(_first_per_token(sought, k))
+    reach = NEAR_ROWS * k
+    near = _near_rows(held, reach)
+    matched = tokens_with_words(near, asked, longer_than)
+    per_token = cut_lineage(_first_per_token(held, near, matched.select("token"), reach, k))
     per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
     found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
     return _first_rows(found, k, "query_id").select(
