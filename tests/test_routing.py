@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators.sizing import BROADCAST_CONF  # noqa: F401
 from lodestone.plans import answers as A
 from lodestone.plans.evaluate import evaluate_intent, intent_table
 from lodestone.plans.index import build_index
