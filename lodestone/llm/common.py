@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
@@ -18,10 +19,27 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 BUCKET_ROWS = 200_000
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write once to the shared checkpoint folder and go on from the files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table once to the shared checkpoint folder and go on from its files.
+
+    ``checkpoint()`` would work out the last stage twice. Neither lineage nor the executors
+    that wrote the files are needed afterwards.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the stored steps so far, once nothing that reads them is needed any more."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(text: str = "text") -> Column:
