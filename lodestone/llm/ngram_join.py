@@ -9,9 +9,13 @@ within a block. For small sets (D up to 2) a block is the set without one of its
 An n-gram that many documents share thus makes no large block by itself.
 
 Documents with equal sets are one class. Within a block every class is first held against
-one well-connected class; only classes that are still apart, in blocks that still hold several
-components, are then held against each other. So a group of near copies costs as many
-comparisons as it has members, and yet every linked pair ends in one component.
+its head, the class that shares most blocks. Where the members of a head are still in
+several components, the product is repeated over what sets them apart from the head: two
+members x and y of head h differ in as many n-grams as x ^ h and y ^ h do, so unless one
+component holds both, these differences must overlap by a bound that again follows from the
+sizes. Rare n-grams come first in them, and only prefixes that the bound leaves are joined. So a
+group of near copies costs about as many comparisons as it has members, and yet every linked
+pair ends in one component.
 """
 
 from __future__ import annotations
@@ -60,13 +64,8 @@ def _size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         # |x| + |y| = s and the bound give an overlap of p s / (100 + p), so a difference of
         # s - 2 overlaps
         d = (100 - percent) * 2 * (high - 1) // (100 + percent)
-        e = 0
-        while e < 8:
-            m = d + 1 + e
-            empty = m * (1 - 1 / m) ** low
-            if empty ** (e + 1) < 1e-9:
-                break
-            e += 1
+        empty = (d + 1) * (1 - 1 / (d + 1)) ** low  # parts expected empty at the smallest size
+        e = 8 + 2 * int(empty) if empty > 0.1 else next(e for e in range(10) if empty ** (e + 1) < 1e-9)
         differ.append(d)
         spare.append(e)
         parts.append(d + 1 + e)
@@ -163,17 +162,49 @@ def _columns(texts: pa.Array, gram: int, percent: int, grams: bool) -> dict[str,
     return {f.name: pa.concat_arrays(list(x)) for f, x in zip(fields, zip(*parts))}
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``a``, ``b``, those whose overlap reaches the bound."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` with their sets ``x``, ``y`` and the size of the overlap."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("overlap", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("overlap")
-    return both.filter(100 * F.col("overlap") >= percent * union).select("a", "b")
-
-
-def _pairs(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return pairs.join(right, "b").join(left, "a").withColumn("overlap", F.size(F.array_intersect("x", "y")))
+
+
+def _reaches(percent: int):
+    return 100 * F.col("overlap") >= percent * (F.size("x") + F.size("y") - F.col("overlap"))
+
+
+def _apart(tried: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one head, in different components, that can still reach the bound."""
+    of = tried.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    of = of.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    of = of.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    mixed = of.groupBy("a").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.count("*").alias("n"))
+    mixed = mixed.filter("n > 1 AND lo < hi").select("a")  # else no two members are apart
+    rows = _with_sets(of.join(mixed, "a", "left_semi"), sets)
+    # rare ones first: what the head does not have
+    rows = rows.select(
+        "a", "b", "cb", F.size("y").alias("size"), F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y"))).alias("other")
+    ).withColumn("d", F.size("other"))
+    loose, whole = 100 - percent, 100 + percent
+    # a partner is at most 100 / percent as large, and differs from the head by d - most at least
+    most = F.floor(F.col("size") * (100 + percent) / percent) * loose / whole
+    needed = F.ceil((F.col("d") + F.greatest(F.lit(1), F.col("d") - most) - most) / 2)
+    prefix = (F.col("d") - F.greatest(F.lit(1), needed) + 1).cast("int")
+    entries = rows.filter(prefix > 0).select("a", "b", "cb", "size", "d", F.posexplode(F.slice("other", F.lit(1), prefix)).alias("at", "gram"))
+    x, y = entries.alias("x"), entries.alias("y")
+    allowed = F.floor((F.col("x.size") + F.col("y.size")) * loose / whole)
+    overlap = F.greatest(F.lit(1), F.ceil((F.col("x.d") + F.col("y.d") - allowed) / 2))
+    meets = (
+        (F.col("x.a") == F.col("y.a"))
+        & (F.col("x.gram") == F.col("y.gram"))
+        & (F.col("x.b") < F.col("y.b"))
+        & (F.col("x.cb") != F.col("y.cb"))
+        & (F.col("x.at") <= F.col("x.d") - overlap)
+        & (F.col("y.at") <= F.col("y.d") - overlap)
+        & (100 * F.col("x.size") >= percent * F.col("y.size"))
+        & (100 * F.col("y.size") >= percent * F.col("x.size"))
+    )
+    return x.join(y, meets).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
 def class_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -188,9 +219,9 @@ def class_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gr
     copies = copies.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     firsts = blocked.filter("node IS NOT NULL AND n_shingles > 0").join(classes.select("node", *keys), ["node", *keys], "left_semi")
-    entries = firsts.select("node", "n_shingles", F.explode("blocks").alias("block"))
-    shared = entries.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("many")).filter("lo < hi")
-    members = stored(entries.join(shared.select("block", "many"), "block").dropDuplicates(["block", "node", "n_shingles"]))
+    entries = firsts.select("node", F.explode("blocks").alias("block"))
+    shared = entries.groupBy("block").agg(F.count("*").alias("many")).filter("many > 1")
+    members = stored(entries.join(shared, "block"))
 
     # the sets of classes that meet another one
     meeting = members.select("node").distinct()
@@ -201,33 +232,15 @@ def class_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gr
 
     # first against the class of each block that shares most blocks
     reach = members.groupBy("node").agg(F.sum(F.col("many") - 1).alias("reach"))
-    ranked = members.join(reach, "node")
-    heads = ranked.groupBy("block").agg(F.max(F.struct("reach", (-F.col("node")).alias("minus"))).alias("h"))
-    heads = heads.select("block", (-F.col("h.minus")).alias("head"))
-    tried = stored(members.join(heads, "block").filter("node <> head").select(*_pairs("node", "head")).distinct())
-    links = stored(_linked(tried, sets, percent))
+    heads = members.join(reach, "node").groupBy("block").agg(F.max(F.struct("reach", "node")).alias("h"))
+    pairs = members.join(heads.select("block", F.col("h.node").alias("head")), "block").filter("node <> head")
+    pairs = pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    tried = stored(_with_sets(pairs, sets).select("a", "b", _reaches(percent).alias("linked")))
+    links = tried.filter("linked").select("a", "b")
 
     # then what is still apart
-    labels = components(links)
-    labelled = stored(
-        members.join(labels, "node", "left").select("block", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    )
-    apart = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("block")
-    mixed = labelled.join(apart, "block", "left_semi")
-    sizes = mixed.groupBy("block", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("block").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("h"))
-    main = main.select("block", (-F.col("h.minus")).alias("main"))
-    marked = mixed.join(main, "block")
-    outside = marked.filter("component <> main").alias("x")
-    meets = (
-        (F.col("x.block") == F.col("y.block"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & (100 * F.col("x.n_shingles") >= percent * F.col("y.n_shingles"))
-        & (100 * F.col("y.n_shingles") >= percent * F.col("x.n_shingles"))
-    )
-    rest = outside.join(marked.alias("y"), meets).select(*_pairs("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _linked(rest, sets, percent)
+    rest = _apart(tried.select("a", "b"), components(links), sets, percent)
+    more = _with_sets(rest, sets).filter(_reaches(percent)).select("a", "b")
     return rows, components(links.unionByName(more).unionByName(copies))
 
 
