@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.common import documents
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.packing import pack
+from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.winnowing import flag_contaminated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
@@ -67,3 +72,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their 3-word shingles."""
     return ngram_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens."""
+    return pack(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER)
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return count_tokens(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER)
