@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.llm.common import documents
+from lodestone.llm.kd_shards import document_dimensions, kd_shards
+from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.ordinal import fit_sample, grade_documents, grades_of_labels
 from lodestone.llm.packing import pack
+from lodestone.llm.secret_scan import KINDS, find_secrets
 from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.winnowing import flag_contaminated
 
@@ -84,3 +88,63 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return count_tokens(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER)
+
+
+@query(
+    """
+    WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),
+    windows AS (
+        SELECT doc_id, i - 1 AS p, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c
+        FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM lines)),
+    counted AS (
+        SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM windows
+        WHERE trim(concat_ws('', a, b, c), ' ') <> ''),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM counted WHERE n > 1),
+    kept AS (
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n
+        FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS p FROM lines) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN l IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+        CAST(CASE WHEN d.text IS NULL THEN 0 ELSE coalesce(len(l), 1) END AS INTEGER) AS n_lines,
+        CAST(CASE WHEN l IS NULL THEN 0 ELSE len(l) - coalesce(n, 0) END AS INTEGER) AS n_removed
+    FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN kept k USING (doc_id)
+    """
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines of three-line windows that occurred before."""
+    return dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def _joined(kinds: tuple[str, ...]) -> Column:
+    own = F.filter("found", lambda s: s.kind.isin(*kinds))
+    return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+@query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of known form, and strings that pass for random."""
+    found = find_secrets(documents(spark, sf_dir, "doc_id", "text"))
+    counts = [F.expr(f"size(filter(found, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(KINDS[:3]), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded quality of every document, by a model fitted on the labelled ones."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    grades = grades_of_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grade_documents(docs, fit_sample(docs, grades, 3))
+
+
+@query()
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
+    narrow = docs.select(
+        "doc_id",
+        "source",
+        "lang",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = kd_shards(narrow, document_dimensions(), F.col("size"), ["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
