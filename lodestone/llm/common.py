@@ -35,16 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Delete the stored steps so far, once nothing that reads them is needed any more."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def clear_stored(spark: SparkSession, but_last: bool = False) -> None:
+    """Delete the stored steps so far, but for the last one if asked, once nothing reads them any more."""
+    gone = _written[:-1] if but_last else _written[:]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def whole_text(text: str = "text") -> Column:
-    """The text, empty where it is null."""
-    return F.coalesce(F.col(text), F.lit(""))
+        _written.remove(name)
 
 
 def text_key(text: str = "text") -> Column:

@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import documents
+from lodestone.llm.common import documents, stored
 from lodestone.llm.kd_shards import document_dimensions, kd_shards
+from lodestone.llm.license_scan import notices, scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.ordinal import fit_sample, grade_documents, grades_of_labels
 from lodestone.llm.packing import pack
 from lodestone.llm.secret_scan import KINDS, find_secrets
+from lodestone.llm.simhash import as_text, fingerprints, likeness, near_counts, with_next
 from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.winnowing import flag_contaminated
 
@@ -148,3 +150,38 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = kd_shards(narrow, document_dimensions(), F.col("size"), ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return scan_licenses(documents(spark, sf_dir, "doc_id", "text"), notices(spark))
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and how near they are.
+
+    ``n_near``: for documents whose id is divisible by 50, how many lie within the radius of their fingerprint.
+    """
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    ahead = with_next(fingerprints(docs), "doc_id", "text", ["fingerprint"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half))
+    changed = ahead.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
+    both = fingerprints(changed, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    done = stored(both.drop("edited"))
+    asked = done.filter("doc_id % 50 = 0").select(F.col("fingerprint").alias("q"))
+    near = near_counts(done.select("fingerprint"), asked).withColumnRenamed("q", "fingerprint")
+    print_ = F.col("fingerprint")
+    out = done.join(near, "fingerprint", "left")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text(print_).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness(print_, F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(print_, F.col("next_fingerprint")).alias("near_next"),
+        F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"),
+    )
