@@ -116,7 +116,7 @@ def kd_shards(
         shards = max(1, math.ceil(total / target))
     level = {0: Node(total, shards)}
     deep = rows.withColumn("_node", F.lit(0))
-    while any(n.leaves > 1 for n in level.values()):
+    while any(n.leaves > 1 and n.weight for n in level.values()):
         live = {k: n for k, n in level.items() if n.leaves > 1 and n.weight}
         _widest(deep, places, live)
         _medians(deep, live)
