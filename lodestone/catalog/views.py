@@ -165,13 +165,13 @@ def _terms_sql(name: str, source: str, key: str, text: str) -> str:
     )
 
 
-def index_sql(source: str = "kb", text: str = "concat_ws(' ', category, rule, description)") -> str:
-    """Tables ``vocab`` (term, tf, df, idf) and ``weights`` (doc_id, dedup_key, term, tf, w)."""
+def index_sql(source: str = "kb", text: str = "concat_ws(' ', category, rule, description)", cap: int | None = None) -> str:
+    """Tables ``vocab`` (term, tf, df, idf; all terms unless capped) and ``weights`` (doc_id, dedup_key, term, tf, w)."""
     return (
         _terms_sql("doc", source, "doc_id", text) + ",\n"
         "vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df,"
         f" ln((1 + (SELECT count(*) FROM {source}))::DOUBLE / (1 + count(*))) + 1 AS idf"
-        " FROM doc_tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 2000),\n"
+        " FROM doc_tf GROUP BY term" + (f" ORDER BY sum(tf) DESC, term LIMIT {cap}" if cap else "") + "),\n"
         "raw AS (SELECT doc_id, term, doc_tf.tf, doc_tf.tf * idf AS r FROM doc_tf JOIN vocab USING (term)),\n"
         "weights AS (SELECT raw.doc_id, dedup_key, term, tf, r / sqrt(sum(r * r) OVER (PARTITION BY raw.doc_id)) AS w"
         f" FROM raw JOIN {source} ON raw.doc_id = {source}.doc_id)"

@@ -35,15 +35,6 @@ def event_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
-def key_present(raw_json: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(raw_json), key), F.lit(False))
-
-
-def true_unless_given(value: Column, raw_json: Column, key: str) -> Column:
-    """A missing key reads as true, an explicit null as false."""
-    return F.when(~key_present(raw_json, key), F.lit(True)).otherwise(F.coalesce(value, F.lit(False)))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole != 0, part / whole).otherwise(F.lit(0.0))

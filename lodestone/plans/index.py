@@ -1,7 +1,7 @@
 """TF-IDF index as tables: fit a vocabulary, count terms per document, turn queries into vectors.
 
 Weights follow the usual smoothed form: tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to
-length 1. The vocabulary holds the ``max_features`` terms with the largest corpus count.
+length 1. The vocabulary holds all terms, or if asked the ``max_features`` with the largest corpus count.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from lodestone.operators.sizing import few_parts, lookup_join, on_all_cores, sma
 from lodestone.session import cut_lineage
 
 SPAN = (1, 2)
-MAX_FEATURES = 2000
 # Up to here the idf values travel as one array of numbers.
 ARRAY_FEATURES = 100_000
 
@@ -75,8 +74,8 @@ def _token_rows(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, tokens(F.col("text")).alias("toks"))
 
 
-def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """``term, tf`` over the whole corpus: the ``max_features`` largest, ties by term.
+def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int | None = None) -> DataFrame:
+    """``term, tf`` over the whole corpus: all, or the ``max_features`` largest, ties by term.
 
     An n-gram is never more frequent than its words. So once single words alone fill the
     vocabulary, only n-grams whose words all reach the count of the last of them can
@@ -149,7 +148,7 @@ def build_index(
     dedup_col: str | Column,
     id_col: str = "doc_id",
     span: Sequence[int] = SPAN,
-    max_features: int | None = MAX_FEATURES,
+    max_features: int | None = None,
     buckets: int | None = None,
 ) -> TextIndex:
     """Index every row of ``kb`` over the text composed of ``text_cols``.

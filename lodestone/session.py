@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get(_PATH_CONF, None) or sc.getConf().get(_PATH_CONF)
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # a local cluster has to name one
             raise RuntimeError(f"set {_PATH_CONF} to a folder that every executor can reach")
         path = tempfile.mkdtemp(prefix="lodestone-ckpt-")
     sc.setCheckpointDir(path)

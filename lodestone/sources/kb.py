@@ -22,6 +22,9 @@ KB_SCHEMA = "doc_id long, " + ", ".join(f"{name} string" for name in KB_COLUMNS.
 # The file is UTF-8; reading it as ISO-8859-1 repeats the published scores.
 PARITY_ENCODING = "ISO-8859-1"
 
+# Quoted fields may hold line breaks, and blanks at their edges are theirs.
+_FORMAT = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def read_kb(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ";") -> DataFrame:
     """The table with ``doc_id``, the row's place in the file(s) from 0; empty if there is none."""
@@ -29,7 +32,7 @@ def read_kb(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str =
         return spark.createDataFrame([], KB_SCHEMA)
     rows = (
         spark.read.schema(FILE_SCHEMA)
-        .options(sep=sep, header=True, encoding=encoding, quote='"', escape='"')
+        .options(sep=sep, header=True, encoding=encoding, **_FORMAT)
         .csv(path)
         .select(
             *[F.col(name).alias(ours) for name, ours in KB_COLUMNS.items()],
@@ -46,5 +49,5 @@ def write_kb(kb: DataFrame, path: str, sep: str = ";") -> None:
     """Write the table in ``doc_id`` order to a new folder, never over its own input."""
     ordered = kb.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.select(*[F.col(ours).alias(name) for name, ours in KB_COLUMNS.items()]).write.mode("errorifexists").options(
-        sep=sep, header=True, encoding="UTF-8", quote='"', escape='"'
+        sep=sep, header=True, encoding="UTF-8", **_FORMAT
     ).csv(path)
