@@ -42,6 +42,11 @@ def redundant_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redundant_categories(kb(spark, sf_dir))
 
 
+@query(with_parts("SELECT category, count(*) AS n_rows, count(DISTINCT rule) AS n_rules FROM kb GROUP BY category", KB_SQL))
+def rules_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rules_per_category(kb(spark, sf_dir))
+
+
 @query(
     "SELECT 'event_id' AS column_name, count(*) FILTER (event_id IS NULL) AS n_null FROM events"
     " UNION ALL SELECT 'price', count(*) FILTER (event_type = 'error') FROM events"

@@ -55,18 +55,20 @@ def kb_read_as_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
     " CAST(props ->> '$.k' AS BIGINT) AS total_tokens FROM events WHERE event_type <> 'view'"
 )
 def tolerant_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of four shapes: plain, no ``ok``, ``ok`` null, and (for views) cut off."""
+    """Lines of many shapes: plain, no ``ok``, ``ok`` null or empty, and (for views) cut off or with more after the object."""
     kind = F.col("event_type")
     ok = (
         F.when(kind == "click", F.lit("true"))
-        .when(kind == "signup", F.lit("null"))
+        .when(kind == "signup", F.get(F.array(F.lit("null"), F.lit("[]"), F.lit("{}")), (F.col("event_id") % 3).cast("int")))
         .when(kind == "error", F.lit("false"))
     )
     k = F.get_json_object("props", "$.k")
+    tails = ["", "} junk", "}] junk", '}] {"a": 1}', '},{"a": 1}', '},{"a": 1}] junk']
+    tail = F.get(F.array(*[F.lit(t) for t in tails]), (F.col("event_id") % len(tails)).cast("int"))
     line = F.concat(
         F.lit('{"metodo": "'), kind, F.lit('", "total_tokens": '), k,
         F.coalesce(F.concat(F.lit(', "ok": '), ok), F.lit("")),
-        F.when(kind == "view", F.lit("")).otherwise(F.lit("}")),
+        F.when(kind == "view", tail).otherwise(F.lit("}")),
     )
     lines = table(spark, sf_dir, "events").select("event_id", line.alias("value"))
     return parse_events(lines, "event_id").select("event_id", "metodo", "ok", "total_tokens")

@@ -91,7 +91,10 @@ def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE hour(ts) END AS hour FROM events")
 def hours_of_text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'")
-    broken = F.when(F.col("event_type") == "error", F.concat(F.lit("at "), text)).otherwise(text)
+    bad = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy")).otherwise(F.concat(F.lit("at "), text))
+    short = F.date_format("ts", "yyyyMMdd'T'HHmmss")
+    kind = F.col("event_type")
+    broken = F.when(kind == "error", bad).when(kind == "signup", short).otherwise(text)
     hour = scalars.wall_clock_hour(broken).cast("long")
     return table(spark, sf_dir, "events").select("event_id", hour.alias("hour"))
 

@@ -27,8 +27,14 @@ def iso_utc(ts: Column) -> Column:
 
 
 def wall_clock_hour(text: Column) -> Column:
-    """Hour as written in the text, whatever its offset; null for bad text."""
-    return F.hour(text.try_cast("timestamp_ntz"))
+    """Hour as written in the text, whatever its offset; null for bad text.
+
+    The date has to be whole (a date alone is hour 0); the ISO form without separators counts as well.
+    """
+    dated = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    timed = F.regexp_replace(dated, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3")
+    timed = F.regexp_replace(timed, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+    return F.when(timed.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ])"), F.hour(timed.try_cast("timestamp_ntz")))
 
 
 def event_time(text: Column) -> Column:

@@ -11,14 +11,22 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lodestone.operators.sizing import small_enough
 from lodestone.session import cut_lineage
 
-ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 10_000
+VALUES_PER_SLICE = 2_000_000
+
+
+def counted_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, _v, _w``: the distinct non-null values of each group and their rows.
+
+    The only pass over ``df``; all later steps read this narrow table.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    return cut_lineage(rows.groupBy(*by, "_v").agg(F.count("*").alias("_w")))
 
 
 def _sliced(df: DataFrame, value: str, slices: int | None) -> DataFrame:
-    """Cut the value range into slices of about equal row counts."""
+    """Cut the value range into slices of about equal numbers of values."""
     if slices is None:
-        slices = min(MAX_SLICES, math.ceil(df.count() / ROWS_PER_SLICE))
+        slices = math.ceil(df.count() / VALUES_PER_SLICE)
     cuts: list[float] = []
     if slices > 1:
         steps = [i / slices for i in range(1, slices)]
@@ -39,16 +47,23 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group: ``n``, ``max`` and linearly interpolated percentiles.
 
-    Position (n - 1) * p between neighbouring sorted values, as in numpy's default. First
-    the rows per group and slice are counted; then only the slices that hold a wanted
-    position are read again, reduced to distinct values and ranked.
+    Position (n - 1) * p between neighbouring sorted values, as in numpy's default.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    rows = _sliced(rows, "_v", slices)
+    return percentiles_of(counted_values(df, value, by), points, by, slices)
+
+
+def percentiles_of(
+    counted: DataFrame, points: Mapping[str, float], by: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """The same from a table of ``counted_values``.
 
-    counts = cut_lineage(rows.groupBy(*by, "_slice").agg(F.count("*").alias("_c"), F.max("_v").alias("_m")))
-    # at most MAX_SLICES rows per group
+    First the rows per group and slice are summed; then only the slices that hold a wanted
+    position are ranked.
+    """
+    by = list(by)
+    rows = _sliced(counted, "_v", slices)
+    counts = cut_lineage(rows.groupBy(*by, "_slice").agg(F.sum("_w").alias("_c"), F.max("_v").alias("_m")))
+    # one row per slice of a group
     group = W.partitionBy(*by)
     upto = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     located = counts.select(
@@ -79,7 +94,7 @@ def exact_percentiles(
     match = F.col("_slice") == F.col("_k_slice")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    values = rows.join(needed, match, "left_semi").groupBy(*by, "_slice", "_v").agg(F.count("*").alias("_w"))
+    values = rows.join(needed, match, "left_semi")
     in_slice = W.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = values.withColumn("_upto", F.sum("_w").over(in_slice)).select(
         *[F.col(c).alias(f"_r_{c}") for c in by], F.col("_slice").alias("_r_slice"), "_v", "_w", "_upto"

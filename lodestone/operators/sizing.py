@@ -14,7 +14,9 @@ from lodestone.session import cut_lineage
 BROADCAST_CONF = "lodestone.broadcastBytes"
 BROADCAST_BYTES = 48 * 1024 * 1024
 FULL_PART_BYTES = 128 * 1024 * 1024
-# A key with more than this share of the rows is salted.
+# A table of at most this size is dealt anew where it comes in few parts.
+SMALL_BYTES = 1024 * 1024 * 1024
+# A key with more than this share of the rows, or a quarter of a mean partition, is salted.
 HOT_SHARE = 0.001
 MIN_SALTS = 16
 
@@ -31,11 +33,14 @@ def small_enough(df: DataFrame) -> bool:
     return measured_bytes(df) <= int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: at most 1 / share of them."""
+def hot_keys(facts: DataFrame, on: Sequence[str], share: float | None = None) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows, at most 1 / share of them, with ``_salts`` in proportion."""
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(HOT_SHARE, 0.25 / partitions) if share is None else share
     counts = cut_lineage(facts.groupBy(*on).agg(F.count("*").alias("_n")))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    return counts.filter(F.col("_n") > share * total).select(*on, F.lit(True).alias("_hot"))
+    salts = F.ceil(4 * F.col("_n") * partitions / max(total, 1)).cast("int")
+    return counts.filter(F.col("_n") > share * total).select(*on, F.greatest(salts, F.lit(2)).alias("_salts"))
 
 
 def salted_sides(
@@ -48,16 +53,17 @@ def salted_sides(
     spread as well.
     """
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(MIN_SALTS, partitions // 4)
-    hot = F.broadcast(hot_keys(facts, on))
-    spread = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    hot = cut_lineage(hot_keys(facts, on))
+    if small_enough(hot):
+        hot = F.broadcast(hot)
     no_key = reduce(or_, [F.col(c).isNull() for c in on])
+    salts = F.when(no_key, F.lit(max(MIN_SALTS, partitions))).otherwise(F.col("_salts"))
+    spread = F.pmod(F.xxhash64(*salt_on), salts).cast("int")
     left = facts.join(hot, list(on), "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    left = left.withColumn("_salt", F.coalesce(spread, F.lit(0)))
     right = table.join(hot, list(on), "left")
-    right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-    return left.drop("_hot"), right.drop("_hot")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return left.drop("_salts"), right.drop("_salts")
 
 
 def lookup_join(
@@ -81,18 +87,17 @@ def lookup_join(
 
 
 def few_parts(df: DataFrame) -> bool:
-    """Whether a table comes from its files in fewer parts than there are cores.
+    """Whether a small table comes from its files in fewer parts than there are cores.
 
-    A plan with a shuffle would have to run to tell; there Spark's estimate of its size is
-    held against full parts for all cores.
+    Small by Spark's estimate of its bytes, whatever the number of cores. A plan with a
+    shuffle would have to run to tell its parts; there the estimate alone decides.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
-    if execution.executedPlan().nodeName() != "AdaptiveSparkPlan":
-        return df.rdd.getNumPartitions() < cores
     estimate = int(str(execution.optimizedPlan().stats().sizeInBytes()))
-    return estimate < cores * FULL_PART_BYTES
+    if estimate > SMALL_BYTES or execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return estimate < min(SMALL_BYTES, cores * FULL_PART_BYTES)
+    return df.rdd.getNumPartitions() < cores
 
 
 def on_all_cores(df: DataFrame, key: str) -> DataFrame:

@@ -20,6 +20,7 @@ SOCIAL_METHOD = "cortesia"
 NO_METHOD = "nenhum"
 REQUEST = "api_consulta"
 GENERATION = "llm"
+FAILED = "generation_failed"
 
 REPLIES = {
     GREETING: "Hello! Tell me what went wrong and I will look for the procedure.",
@@ -103,9 +104,10 @@ def answer_batch(
     )
 
 
-def hit_view(hits: DataFrame) -> DataFrame:
-    """The columns of a hit that a caller sees."""
-    return hits.select("query_id", "rank", "similarity", *HIT_COLUMNS, "doc_id")
+def hit_view(hits: DataFrame, columns: Sequence[str] = HIT_COLUMNS) -> DataFrame:
+    """The columns of a hit that a caller sees, with the ticket where the hits carry it."""
+    ticket = [c for c in ("ticket_id",) if c in hits.columns and c not in columns]
+    return hits.select("query_id", "rank", "similarity", *columns, *ticket, "doc_id")
 
 
 def fact_line(category: Column, rule: Column, action: Column, similarity: Column) -> Column:
@@ -182,6 +184,38 @@ def generate(prompts: DataFrame, fn: Callable[[str], tuple[str, str]]) -> DataFr
     return prompts.select("query_id", "prompt").mapInPandas(batches, schema)
 
 
+def with_replies(answers: DataFrame, generated: DataFrame) -> DataFrame:
+    """Answers with the generated text as ``reply``, or status ``generation_failed`` and the error type in ``erro``.
+
+    ``generated``: at most one row per query, from ``generate``. Answers without one stay as
+    they are, with an empty ``erro``.
+    """
+    made = generated.select("query_id", F.col("answer").alias("_answer"), F.col("ok").alias("_ok"), F.col("erro").alias("_erro"))
+    failed = F.col("_ok") == F.lit(False)
+    joined = answers.drop("erro").join(made, "query_id", "left")
+    return joined.withColumns(
+        {
+            "status": F.when(failed, F.lit(FAILED)).otherwise(F.col("status")),
+            "reply": F.when(F.col("_ok"), F.col("_answer")).otherwise(F.col("reply")),
+            "erro": F.when(failed, F.col("_erro")).otherwise(F.lit("")),
+        }
+    ).drop("_answer", "_ok", "_erro")
+
+
+def reply_batch(
+    messages: DataFrame, answers: DataFrame, fn: Callable[[str], tuple[str, str]], template: str = TEMPLATE, k: int = TOP_K
+) -> DataFrame:
+    """Answers of ``answer_batch`` with a generated reply for every message that was searched.
+
+    The caller's function runs once per prompt: its results are kept before they are joined.
+    """
+    answers = cut_lineage(answers)
+    searched = answers.filter((F.col("status") == "ok") & F.col("intent").isNull())
+    asked = messages.select("query_id", "text").join(searched.select("query_id"), "query_id", "left_semi")
+    prompts = build_prompts(asked, searched.select("query_id", F.inline("hits")), template, k)
+    return with_replies(answers, cut_lineage(generate(prompts, fn)))
+
+
 USAGE = "prompt_tokens long, completion_tokens long, total_tokens long, modelo string, model string"
 
 
@@ -219,13 +253,14 @@ def request_events(answers: DataFrame, ts: Column, duration_ms: Column) -> DataF
     served = answers.filter(F.col("status") != "empty_query")
     ok = F.col("status") == "ok"
     zero = F.lit(0).cast("long")
+    error = F.nullif(F.col("erro"), F.lit("")) if "erro" in answers.columns else F.lit(None).cast("string")
     return served.select(
         iso_utc(ts).alias("ts"),
         F.lit(REQUEST).alias("endpoint"),
         F.col("method").alias("metodo"),
         F.lit("").alias("modelo"),
         ok.alias("ok"),
-        F.when(ok, F.lit("")).otherwise(F.col("status")).alias("erro"),
+        F.when(ok, F.lit("")).otherwise(F.coalesce(error, F.col("status"))).alias("erro"),
         F.round(number_or_zero(duration_ms), 3).alias("duracao_ms"),
         zero.alias("prompt_tokens"),
         zero.alias("completion_tokens"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.operators.quantiles import exact_percentiles
+from lodestone.operators.quantiles import counted_values, percentiles_of
 from lodestone.operators.shares import value_counts
 from lodestone.plans.index import TextIndex, index_shape
 from lodestone.plans.rewrite import redundant_categories
@@ -27,13 +27,21 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def length_summary(df: DataFrame, column: str, slices: int | None = None) -> DataFrame:
     """count, mean, sd, min, quartiles and max of the length of the non-null texts."""
     lengths = df.select(F.char_length(column).alias("len")).filter(F.col("len").isNotNull())
-    quarters = exact_percentiles(lengths, "len", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, slices=slices)
-    basics = lengths.agg(
-        F.count("*").alias("n"),
-        F.round(F.avg("len"), 6).alias("mean"),
-        F.round(F.stddev_samp("len"), 6).alias("sd"),
-        F.min("len").cast("long").alias("min"),
-        F.max("len").cast("long").alias("max"),
+    counted = counted_values(lengths, "len")
+    quarters = percentiles_of(counted, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, slices=slices)
+    # whole numbers, so that the sums are exact
+    v, w = F.col("_v").cast("decimal(10,0)"), F.col("_w").cast("decimal(18,0)")
+    sums = counted.agg(
+        F.sum("_w").alias("n"), F.sum(v * w).alias("s"), F.sum(v * v * w).alias("q"), F.min("_v").alias("min"), F.max("_v").alias("max")
+    )
+    n, s, q = F.col("n").cast("double"), F.col("s").cast("decimal(19,0)"), F.col("q").cast("decimal(26,0)")
+    spread = (F.col("n").cast("decimal(12,0)") * q - s * s).cast("double")
+    basics = sums.select(
+        "n",
+        F.round(s.cast("double") / n, 6).alias("mean"),
+        F.when(n > 1, F.round(F.sqrt(spread / (n * (n - 1))), 6)).alias("sd"),
+        F.col("min").cast("long").alias("min"),
+        F.col("max").cast("long").alias("max"),
     )
     # one row on both sides
     return basics.join(quarters.select("n", "q25", "q50", "q75"), "n").select(

@@ -50,7 +50,10 @@ def unknown_categories(kb: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def rules_per_category(kb: DataFrame) -> DataFrame:
-    return kb.groupBy("category").agg(F.count("*").alias("n_rows"), F.countDistinct("rule").alias("n_rules"))
+    """Rows and distinct rules of every category; 128 bits stand for a rule in the shuffle."""
+    rule = F.col("rule")
+    key = [F.when(rule.isNotNull(), F.xxhash64(F.lit(1), rule)), F.when(rule.isNotNull(), F.xxhash64(rule, F.lit(2)))]
+    return kb.groupBy("category").agg(F.count("*").alias("n_rows"), F.countDistinct(*key).alias("n_rules"))
 
 
 def redundant_categories(kb: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ EVENT_SCHEMA = (
     "ts string, endpoint string, metodo string, modelo string, ok boolean, erro string, duracao_ms double, "
     "prompt_tokens long, completion_tokens long, total_tokens long, top_score double"
 )
-_FALSE = ("false", "0", "0.0", "")
+_FALSE = ("false", "0", "0.0", "", "[]", "{}")
+_END = "\x01end"
 _TEXTS = ("ts", "endpoint", "metodo", "modelo", "erro")
 _COUNTS = ("prompt_tokens", "completion_tokens", "total_tokens")
 _NUMBERS = ("duracao_ms", "top_score")
@@ -21,12 +22,14 @@ _NUMBERS = ("duracao_ms", "top_score")
 def fields_of(line: Column) -> Column:
     """Map of a line's fields, null unless the line is exactly one JSON object.
 
-    Read as the only element of an array: text after the object then breaks the parse.
+    Read as the first of two elements of an array, the second of which marks its end: whatever
+    follows the object in the line either breaks the parse or hides the mark.
     """
     wrapped = F.from_json(
-        F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"}
+        F.concat(F.lit("["), line, F.lit(',{"\\u0001end":""}]')), "array<map<string,string>>", {"allowSingleQuotes": "false"}
     )
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    marked = F.map_contains_key(F.get(wrapped, F.lit(1)), _END)
+    return F.when((F.size(wrapped) == 2) & marked, F.get(wrapped, F.lit(0)))
 
 
 def event_fields(fields: Column) -> list[Column]:

@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import wall_clock_hour
 from lodestone.plans import usage as U
-from lodestone.sources.events import EVENT_SCHEMA, LINE_ORDER, append_events, read_events
+from lodestone.plans.answers import generate, request_events, with_replies
+from lodestone.sources.events import EVENT_SCHEMA, LINE_ORDER, append_events, parse_events, read_events
 from lodestone.streaming.usage import merge_rollup, start_rollup
 
 LINES = [
@@ -143,3 +145,39 @@ def test_merge(spark):
 def test_schema_of_an_absent_log(spark, tmp_path):
     absent = read_events(spark, str(tmp_path / "nothing"))
     assert absent.drop(*LINE_ORDER).schema == spark.createDataFrame([], EVENT_SCHEMA).schema
+
+
+def test_only_whole_objects_are_lines(spark):
+    bad = ['{"endpoint":"llm"}] junk', '{"endpoint":"llm"} junk', '{"endpoint":"llm"}, {"a": 1}', '{"endpoint":"llm"},{"a":1}] x', "", "[1]", "null", '{"endpoint"']
+    assert parse_events(spark.createDataFrame([(line,) for line in bad], "value string")).count() == 0
+    good = ['{"ok": []}', '{"ok": {}}', ' {"ok": true} ', "{}"]
+    got = parse_events(spark.createDataFrame([(i, line) for i, line in enumerate(good)], "i int, value string"), "i")
+    assert [r["ok"] for r in got.orderBy("i").collect()] == [False, False, True, True]
+
+
+def test_hours_need_a_whole_date(spark):
+    hours = {
+        "2024": None, "2024-05": None, "at 2024-05-01T10:00:00": None, "2024-05-01": 0, "2024-05-01T23:59:59Z": 23,
+        "20240501T101112": 10, "20240501T1011": 10, "20240501": 0, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in hours], "t string")
+    assert {r["t"]: r["h"] for r in df.select("t", wall_clock_hour(F.col("t")).alias("h")).collect()} == hours
+
+
+def test_failed_generation_reaches_answer_and_log(spark):
+    answers = spark.createDataFrame(
+        [(1, "ok", "semantica", None, 0.5), (2, "ok", "semantica", None, 0.4), (3, "ok", "cortesia", "Hello.", 0.0)],
+        "query_id int, status string, method string, reply string, top_score double",
+    )
+
+    def fn(prompt: str) -> tuple[str, str]:
+        if prompt == "bad":
+            raise TimeoutError
+        return prompt.upper(), "{}"
+
+    made = generate(spark.createDataFrame([(1, "good"), (2, "bad")], "query_id int, prompt string"), fn)
+    full = with_replies(answers, made)
+    got = {r["query_id"]: (r["status"], r["erro"], r["reply"]) for r in full.collect()}
+    assert got == {1: ("ok", "", "GOOD"), 2: ("generation_failed", "TimeoutError", None), 3: ("ok", "", "Hello.")}
+    log = request_events(full, F.current_timestamp(), F.lit(1.0)).collect()
+    assert sorted((r["ok"], r["erro"]) for r in log) == [(False, "TimeoutError"), (True, ""), (True, "")]
