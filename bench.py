@@ -22,12 +22,14 @@ HEADLINE = (
     "cascade_search",
     "prompts",
     "message_intents",
+    "answered_messages",
     "retrieval_confusion",
     "usage_totals",
     "latency_per_method",
     "tokens_per_call",
     "events_per_hour",
     "hourly_rollup",
+    "continuous_rollup",
     "rewritten_kb",
     "redundant_categories",
     "text_length_summary",

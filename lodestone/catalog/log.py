@@ -8,8 +8,8 @@ from lodestone.catalog.registry import query, with_parts
 from lodestone.catalog.views import USAGE_SQL, fresh_folder, usage
 from lodestone.functions.scalars import iso_utc
 from lodestone.plans import usage as U
-from lodestone.sources.events import append_events
-from lodestone.streaming.usage import merge_rollup, start_rollup
+from lodestone.sources.events import append_events, read_events
+from lodestone.streaming.usage import merge_days, start_rollup
 
 _REQUESTS_SQL = (
     USAGE_SQL + ",\nrequests AS (SELECT event_id, coalesce(nullif(metodo, ''), 'nenhum') AS metodo, duracao_ms,"
@@ -115,11 +115,12 @@ def continuous_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, state, table = (fresh_folder(spark, p) for p in ("log", "state", "rollup"))
     append_events(usage(spark, sf_dir), log)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        # each batch writes the whole live table to a folder of its own
-        before = batch.sparkSession.read.parquet(f"{table}/{batch_id - 1}") if batch_id else None
-        merge_rollup(before, batch).write.mode("overwrite").parquet(f"{table}/{batch_id}")
+    start_rollup(spark, log, state, lambda batch, _: merge_days(batch, table)).awaitTermination()
+    return _rounded(spark.read.parquet(table).drop("day"))
 
-    run = start_rollup(spark, log, state, merge)
-    run.awaitTermination()
-    return _rounded(spark.read.parquet(f"{table}/{run.lastProgress['batchId']}"))
+
+@query(with_parts(_totals_sql("usage"), USAGE_SQL))
+def usage_totals_beside_absent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is not there adds no events."""
+    absent = read_events(spark, fresh_folder(spark, "absent")).drop("src_file", "src_block", "src_row")
+    return U.totals(usage(spark, sf_dir).select(*absent.columns).unionByName(absent))

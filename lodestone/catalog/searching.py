@@ -29,10 +29,16 @@ def _full_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_rows(_cascade(spark, sf_dir), kb(spark, sf_dir), A.HIT_COLUMNS)
 
 
-@query(with_parts("SELECT query_id, doc_id, round(score, 4) AS score FROM pairs", SEARCH_SQL))
+def _best_sql(source: str, columns: str) -> str:
+    """The ten best rows of each query."""
+    order = "PARTITION BY query_id ORDER BY score DESC, doc_id DESC"
+    return f"SELECT {columns} FROM {source} WHERE score > 0.05 QUALIFY row_number() OVER ({order}) <= 10"
+
+
+@query(with_parts(_best_sql("pairs", "query_id, doc_id, round(score, 4) AS cosine"), SEARCH_SQL))
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.score_pairs(index_of(spark, sf_dir), questions(spark, sf_dir))
-    return pairs.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    best = S.best_documents(index_of(spark, sf_dir), questions(spark, sf_dir), 10)
+    return best.select("query_id", "doc_id", F.round("score", 4).alias("cosine"))
 
 
 @query(with_parts("SELECT query_id, count(*) AS n_docs FROM pairs WHERE score > 0.05 GROUP BY query_id", SEARCH_SQL))
@@ -41,11 +47,10 @@ def documents_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter(F.col("score") > S.THRESHOLD).groupBy("query_id").agg(F.count("*").alias("n_docs"))
 
 
-@query(with_parts("SELECT query_id, dedup_key, doc_id, round(score, 4) AS score FROM best", SEARCH_SQL))
+@query(with_parts(_best_sql("best", "query_id, dedup_key, doc_id, round(score, 4) AS cosine"), SEARCH_SQL))
 def best_document_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.score_pairs(index_of(spark, sf_dir), questions(spark, sf_dir)).filter(F.col("score") > S.THRESHOLD)
-    best = S.best_per_key(pairs, "query_id")
-    return best.select("query_id", "dedup_key", "doc_id", F.round("score", 4).alias("score"))
+    best = S.semantic_search(index_of(spark, sf_dir), questions(spark, sf_dir), 10)
+    return best.select("query_id", "dedup_key", "doc_id", F.round("similarity", 4).alias("cosine"))
 
 
 @query(with_parts("SELECT query_id, rank, doc_id, dedup_key, round(similarity, 4) AS similarity FROM hits", SEARCH_SQL))
@@ -65,9 +70,16 @@ def hits_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("similarity", F.round("similarity", 4))
 
 
-@query(with_parts("SELECT query_id, doc_id FROM word_hits", KB_SQL, QUESTIONS_SQL, words_sql()))
+@query(
+    with_parts(
+        "SELECT query_id, doc_id FROM word_hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 500",
+        KB_SQL, QUESTIONS_SQL, words_sql(),
+    )
+)
 def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.word_matches(kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, dedup_key())
+    """The first 500 rows that hold a word of the query, copies included."""
+    hits = S.keyword_search(kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, "doc_id", 500)
+    return hits.select("query_id", "doc_id")
 
 
 @query(with_parts("SELECT query_id, rank, doc_id, dedup_key FROM word_top", KB_SQL, QUESTIONS_SQL, words_sql()))

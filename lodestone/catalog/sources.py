@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.catalog.registry import query, with_parts
-from lodestone.catalog.views import KB_SQL, USAGE_SQL, form_sql, fresh_folder, kb, table, usage
+from lodestone.catalog.views import (
+    KB_SQL, USAGE_SQL, VARIANTS_SQL, form_sql, fresh_folder, kb, table, usage, variants,
+)
 from lodestone.functions.text import search_form
+from lodestone.plans.rewrite import unknown_categories
 from lodestone.plans.usage import method_mix, totals
 from lodestone.sources.events import append_events, parse_events, read_events
 from lodestone.sources.kb import KB_COLUMNS, PARITY_ENCODING, read_kb, write_kb
@@ -14,14 +17,14 @@ from lodestone.sources.reports import read_document, read_section, write_report
 
 
 def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with all columns of the delimited file; line breaks become spaces."""
+    """The documents with all columns of the delimited file; the free text is theirs as it is."""
     rows = kb(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("T-"), "doc_id").alias("ticket_id"),
         F.col("description").alias("department"),
         F.col("category").alias("mood"),
         "category",
-        F.translate("rule", "\r\n", "  ").alias("description"),
+        F.col("rule").alias("description"),
         search_form(F.col("rule")).alias("rule"),
         "action",
     )
@@ -30,7 +33,8 @@ def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_parts(
-        "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'T-' || doc_id AS ticket_id, category,"
+        "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'T-' || doc_id AS ticket_id, description AS department,"
+        " category AS mood, category, rule AS description,"
         f" nullif({form_sql('rule')}, '') AS rule, action FROM kb",
         KB_SQL,
     )
@@ -38,7 +42,13 @@ def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kb_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "kb")
     write_kb(_file_rows(spark, sf_dir), path)
-    return read_kb(spark, path).select("doc_id", "ticket_id", "category", "rule", "action")
+    return read_kb(spark, path)
+
+
+@query(with_parts("SELECT DISTINCT category FROM variants", VARIANTS_SQL))
+def categories_of_absent_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is not there is an empty table, so no category of the variants is known."""
+    return unknown_categories(read_kb(spark, fresh_folder(spark, "absent")), variants(spark, sf_dir))
 
 
 @query("SELECT 'T-' || doc_id AS ticket_id, strlen(text) AS n_chars FROM documents")
@@ -92,16 +102,28 @@ def log_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_parts(
-        "SELECT coalesce(nullif(metodo, ''), 'nenhum') AS metodo, count(*) AS n FROM usage"
-        " WHERE endpoint = 'api_consulta' GROUP BY 1",
+        "SELECT 'mix_de_metodos' AS section, coalesce(nullif(metodo, ''), 'nenhum') AS name, count(*) AS n FROM usage"
+        " WHERE endpoint = 'api_consulta' GROUP BY 2"
+        " UNION ALL SELECT 'llm_usage', 'n_eventos', count(*) FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'n_eventos_llm', count(*) FILTER (endpoint = 'llm') FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'n_eventos_api', count(*) FILTER (endpoint = 'api_consulta') FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'n_erros', count(*) FILTER (NOT ok) FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'total_tokens', CAST(sum(total_tokens) FILTER (endpoint = 'llm') AS BIGINT) FROM usage",
         USAGE_SQL,
     )
 )
 def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sections of a report, written and read back."""
     path = fresh_folder(spark, "report")
     events = usage(spark, sf_dir)
     write_report({"llm_usage": totals(events), "mix_de_metodos": method_mix(events)}, path)
-    return read_section(spark, path, "mix_de_metodos", "metodo string, n long")
+    mix = read_section(spark, path, "mix_de_metodos", "metodo string, n long")
+    counts = ["n_eventos", "n_eventos_llm", "n_eventos_api", "n_erros", "total_tokens"]
+    whole = read_section(spark, path, "llm_usage", ", ".join(f"{c} long" for c in counts))
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in counts]))
+    return mix.select(F.lit("mix_de_metodos").alias("section"), F.col("metodo").alias("name"), "n").unionByName(
+        whole.select(F.lit("llm_usage").alias("section"), pairs)
+    )
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
-from lodestone.operators.sizing import few_parts, lookup_join, on_all_cores, salted_sides, small_enough
+from lodestone.operators.sizing import lookup_join, on_all_cores, salted_sides, small_enough
 from lodestone.plans.index import TextIndex, query_vectors
 from lodestone.session import cut_lineage
 
@@ -19,9 +19,6 @@ LONGER_THAN = 3
 SEMANTIC = "semantica"
 KEYWORD = "palavra_chave"
 
-# Rows looked at per wanted key before all rows of a token are.
-NEAR_ROWS = 4
-
 # Sums of the same products can differ in the last bits with the order of rows.
 SCORE_DIGITS = 10
 
@@ -79,6 +76,13 @@ def semantic_search(index: TextIndex, queries: DataFrame, k: int = TOP_K, thresh
     )
 
 
+def best_documents(index: TextIndex, queries: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """``query_id, rank, doc_id, score``: the k best documents per query, those of one answer each by itself."""
+    pairs = score_pairs(index, queries.filter(has_text(F.col("text")))).filter(F.col("score") > threshold)
+    near = top_rows(pairs, k, "bucket", "query_id").drop("rank")
+    return top_rows(near, k, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
 def query_words(queries: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
     """``query_id, word`` for the distinct words of more than ``longer_than`` characters."""
     forms = queries.select("query_id", search_form(F.col("text")).alias("form"))
@@ -86,12 +90,14 @@ def query_words(queries: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame
 
 
 def _token_rows(kb: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int) -> DataFrame:
-    """``doc_id, dedup_key, token`` for the distinct tokens of each row that could hold a word."""
+    """``doc_id, dedup_key, token`` for the distinct tokens of each row that could hold a word.
+
+    The lists of tokens are stored without a shuffle, so the text is read once.
+    """
     rows = kb.select("doc_id", dedup.alias("dedup_key"), compose(*[F.col(c) for c in search_cols]).alias("text"))
-    if few_parts(rows):
-        rows = cut_lineage(on_all_cores(rows, "doc_id"))  # small, and read twice below
-    rows = rows.select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
-    return one_per_row(rows, ["doc_id", "dedup_key"], long_words(F.col("form"), longer_than), "token")
+    forms = on_all_cores(rows, "doc_id").select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
+    lists = cut_lineage(forms.select("doc_id", "dedup_key", long_words(F.col("form"), longer_than).alias("tokens")))
+    return one_per_row(lists, ["doc_id", "dedup_key"], F.col("tokens"), "token")
 
 
 def tokens_with_words(held: DataFrame, asked: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
@@ -109,47 +115,19 @@ def tokens_with_words(held: DataFrame, asked: DataFrame, longer_than: int = LONG
     return cut_lineage(found.filter(F.contains(F.col("token"), F.col("word"))).select("token", "word"))
 
 
-def word_matches(
-    kb: DataFrame, queries: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int = LONGER_THAN
-) -> DataFrame:
-    """``query_id, doc_id`` where some word of the query occurs inside the row's text."""
-    asked = cut_lineage(query_words(queries, longer_than))
-    held = _token_rows(kb, search_cols, dedup, longer_than)
-    found = lookup_join(held, tokens_with_words(held, asked, longer_than), ["token"], "inner", ["doc_id"])
-    words = found.select("doc_id", "word").distinct()
-    return lookup_join(words, asked, ["word"], "inner", ["doc_id"]).select("query_id", "doc_id").distinct()
-
-
-def _first_rows(rows: DataFrame, k: int, *groups: str) -> DataFrame:
-    """The k keys of each group that come first in the table, each at its first row."""
-    first = rows.groupBy(*groups, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
-    order = W.partitionBy(*groups).orderBy("doc_id")
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _near_rows(held: DataFrame, reach: int) -> DataFrame:
-    """The first rows of each token; each task passes on no more than these."""
-    order = W.partitionBy("token").orderBy("doc_id")
-    rows = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= reach)
-    return cut_lineage(rows, keep_layout=True)  # by token, so grouping by it shuffles nothing
-
-
-def _first_per_token(held: DataFrame, near: DataFrame, wanted: DataFrame, reach: int, k: int) -> DataFrame:
-    """The first k keys of each token, without shuffling all of its rows.
+def _first_rows(rows: DataFrame, k: int, group: str) -> DataFrame:
+    """The k keys of each group that come first in the table, each at its first row.
 
-    The first few rows of a token mostly hold k different keys already. Tokens whose first
-    rows are too much alike (copies of one text, say) and that have more rows are worked
-    out from all of them.
+    Keys are dealt to parts by their hash and each part keeps its own k, so a group of any
+    size is cut up at any k, and at most ``k * parts`` rows of it meet in one task.
     """
-    full = near.filter(F.col("_n") == reach).select("token")
-    seen = near.join(full, "token", "left_semi").groupBy("token").agg(F.collect_set("dedup_key").alias("keys"))
-    unsettled = seen.filter(F.size("keys") < k).select("token")
-    unsettled = cut_lineage(unsettled.join(wanted, "token", "left_semi"))
-    if unsettled.isEmpty():
-        return _first_rows(near, k, "token")
-    first = _first_rows(near.join(unsettled, "token", "left_anti"), k, "token")
-    rest = lookup_join(held, unsettled, ["token"], "left_semi", ["doc_id"])
-    return first.unionByName(_first_rows(rest, k, "token"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.groupBy(group, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
+    first = first.withColumn("_part", F.pmod(F.xxhash64("dedup_key"), F.lit(parts)))
+    for groups in ([group, "_part"], [group]):
+        order = W.partitionBy(*groups).orderBy("doc_id")
+        first = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return first.drop("_part")
 
 
 def _no_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -171,16 +149,16 @@ def keyword_search(
     An answer among the first k of a query is among the first k of the word it was found
     by, and among the first k of the token that holds this word. So k rows are kept per
     token, then per word, then per query, and no query is paired with all its matches.
+    Only rows of tokens that hold a word are shuffled.
     """
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
     asked = cut_lineage(query_words(queries, longer_than))
     if asked.isEmpty():
         return _no_hits(queries, kb.select(dedup.alias("dedup_key")))
     held = _token_rows(kb, search_cols, dedup, longer_than)
-    reach = NEAR_ROWS * k
-    near = _near_rows(held, reach)
-    matched = tokens_with_words(near, asked, longer_than)
-    per_token = cut_lineage(_first_per_token(held, near, matched.select("token"), reach, k))
+    matched = tokens_with_words(held, asked, longer_than)
+    kept = lookup_join(held, cut_lineage(matched.select("token").distinct()), ["token"], "left_semi", ["doc_id"])
+    per_token = cut_lineage(_first_rows(kept, k, "token"))
     per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
     found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
     return _first_rows(found, k, "query_id").select(

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.functions.scalars import event_time
 from lodestone.plans.usage import rollup_of
 from lodestone.sources.events import parse_events
+from lodestone.sources.paths import path_exists
 
 LATENESS = "10 minutes"
 
@@ -55,3 +56,21 @@ def merge_rollup(current: DataFrame | None, batch: DataFrame) -> DataFrame:
         return batch
     kept = current.join(batch.select("hour_start", "metodo"), ["hour_start", "metodo"], "left_anti")
     return kept.unionByName(batch)
+
+
+def merge_days(batch: DataFrame, path: str) -> None:
+    """Merge one update batch into a live table that is stored by day; other days are neither read nor written.
+
+    A batch carries whole rows, not increments, so one that is repeated changes nothing.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumn("day", F.to_date("hour_start")).persist()  # a row per changed hour and method
+    try:
+        before = None
+        if path_exists(spark, f"{path}/day=*"):
+            days = batch.select("day").distinct()
+            before = spark.read.schema(batch.schema).parquet(path).join(days, "day", "left_semi").select(*batch.columns)
+        merged = merge_rollup(before, batch).repartition("day")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    finally:
+        batch.unpersist()

@@ -203,6 +203,29 @@ def test_keyword_search_past_a_run_of_copies(spark):
     assert {q: [i for i, _ in h] for q, h in hits.items()} == {1: [0, 30, 31], 2: [30]}
 
 
+def test_a_hot_token_is_cut_up_at_any_k(spark):
+    # every row holds the token, and each is a rule of its own
+    texts = [f"rede {i}" for i in range(3000)]
+    kb = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, category string, rule string")
+    asked = spark.createDataFrame([(1, "rede")], "query_id long, text string")
+    for k in (500, 2000):
+        hits = S.keyword_search(kb, asked, ["category", "rule"], "rule", k)
+        assert [i for i, _ in _by_query(hits)[1]] == list(range(k))
+    rows = kb.select("doc_id", F.col("rule").alias("dedup_key"), F.col("category").alias("token"))
+    plan = S._first_rows(rows, 2000, "token")._jdf.queryExecution().optimizedPlan().toString()
+    # the rows of a token are ranked by part before they are ranked together
+    together, by_part = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    assert "_part#" in by_part and "_part#" not in together
+
+
+def test_best_documents_keep_copies(index, asked, texts):
+    row = asked.filter("text = 'rede wifi senha lento'").first()
+    best = S.best_documents(index, asked.filter(F.col("query_id") == row["query_id"]), 50)
+    got = [r["doc_id"] for r in best.orderBy("rank").collect()]
+    copies = [i for i, t in enumerate(texts) if t == row["text"]]
+    assert got[: len(copies)] == copies[::-1] and len(got) == 50
+
+
 def test_keyword_plan_has_no_pairwise_join(kb, asked):
     plan = S.keyword_search(kb, asked, ["category", "rule"], "rule")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan

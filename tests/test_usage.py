@@ -9,7 +9,7 @@ from lodestone.functions.scalars import wall_clock_hour
 from lodestone.plans import usage as U
 from lodestone.plans.answers import generate, request_events, with_replies
 from lodestone.sources.events import EVENT_SCHEMA, LINE_ORDER, append_events, parse_events, read_events
-from lodestone.streaming.usage import merge_rollup, start_rollup
+from lodestone.streaming.usage import merge_days, merge_rollup, start_rollup
 
 LINES = [
     '{"ts": "2024-01-01T10:00:00.000Z", "endpoint": "api_consulta", "metodo": "semantica", "ok": true, "duracao_ms": 4.0, "top_score": 0.31239}',
@@ -142,6 +142,24 @@ def test_merge(spark):
     assert merge_rollup(None, new) is new
 
 
+def test_merge_writes_only_changed_days(spark, tmp_path):
+    path = str(tmp_path / "live")
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "at string, metodo string, n long").select(
+            F.to_timestamp("at").alias("hour_start"), "metodo", "n"
+        )
+
+    merge_days(batch(("2024-01-01 08:00:00", "x", 1), ("2024-01-02 09:00:00", "x", 5)), path)
+    kept = sorted(p.name for p in (tmp_path / "live" / "day=2024-01-01").iterdir())
+    change = batch(("2024-01-02 09:00:00", "x", 6), ("2024-01-02 10:00:00", "y", 1))
+    for _ in range(2):  # a repeated batch changes nothing
+        merge_days(change, path)
+    got = spark.read.parquet(path).select(F.date_format("hour_start", "dd HH").alias("h"), "metodo", "n").collect()
+    assert sorted(map(tuple, got)) == [("01 08", "x", 1), ("02 09", "x", 6), ("02 10", "y", 1)]
+    assert sorted(p.name for p in (tmp_path / "live" / "day=2024-01-01").iterdir()) == kept
+
+
 def test_schema_of_an_absent_log(spark, tmp_path):
     absent = read_events(spark, str(tmp_path / "nothing"))
     assert absent.drop(*LINE_ORDER).schema == spark.createDataFrame([], EVENT_SCHEMA).schema
