@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lodestone.functions.text import adjacent, compose, ngrams, tokens
 from lodestone.operators.ordering import with_sequence
 from lodestone.operators.rows import fields_per_row, one_per_row
-from lodestone.operators.sizing import few_parts, lookup_join, on_all_cores, small_enough
+from lodestone.operators.sizing import few_parts, lookup_join, measured_bytes, on_all_cores, small_enough
 from lodestone.session import cut_lineage
 
 SPAN = (1, 2)
-# Up to here the idf values travel as one array of numbers.
-ARRAY_FEATURES = 100_000
+# Text that one bucket of documents holds, about.
+BUCKET_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -119,19 +119,8 @@ def _known_terms(texts: DataFrame, key: str, span: Sequence[int], vocab: DataFra
     return lookup_join(occurrences, vocab, ["term"], "inner", [key]).drop("term")
 
 
-def _with_norms(bags: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
+def _with_norms(bags: DataFrame, vocab: DataFrame) -> DataFrame:
     """Adds the length of each document's weight vector."""
-    if max_features is not None and max_features <= ARRAY_FEATURES:
-        # term ids run from 1, so the sorted idf values form an array to look up in
-        pairs = F.array_sort(F.collect_list(F.struct("term_id", "idf")))
-        values = vocab.agg(pairs.alias("p")).select(F.col("p.idf").alias("v")).scalar()
-        squares = F.aggregate(
-            F.transform("terms", lambda t: t["tf"] * F.get(F.col("_idf"), t["term_id"].cast("int") - 1)),
-            F.lit(0.0),
-            lambda total, w: total + w * w,
-        )
-        lengths = bags.withColumn("_idf", values).withColumn("norm", F.sqrt(squares)).drop("_idf")
-        return lengths.select("bucket", "doc_id", "dedup_key", "norm", "terms")
     rows = bags.select("bucket", "doc_id", "dedup_key", F.inline_outer("terms"))
     weighed = lookup_join(rows, vocab.select("term_id", "idf"), ["term_id"], "left", ["doc_id"])
     w = F.col("tf") * F.col("idf")
@@ -154,18 +143,19 @@ def build_index(
     """Index every row of ``kb`` over the text composed of ``text_cols``.
 
     ``dedup_col`` marks rows that count as the same answer. Documents are laid out by a
-    hash bucket of their id, one bucket per partition (as many as shuffle partitions unless
-    given), so scoring and the first top-k need no further shuffle.
+    hash bucket of their id, one bucket per partition, so scoring and the first top-k need no
+    further shuffle. Unless given, there is a bucket for every ``BUCKET_BYTES`` of text, and at
+    least one for each shuffle partition.
     """
     spark = kb.sparkSession
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
     texts = kb.select(F.col(id_col).alias("doc_id"), compose(*[F.col(c) for c in text_cols]).alias("text"))
     if few_parts(texts):
         # small, and read several times below: spread it once
         texts = cut_lineage(on_all_cores(texts, "doc_id"))
+    if buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-measured_bytes(texts) // BUCKET_BYTES))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
 
     # numbers in place of words make the rows below, and the joins of every search, narrow
     numbered = with_sequence(corpus_terms(texts, span, max_features), ["term"], "term_id")
@@ -192,7 +182,7 @@ def build_index(
     vocab = cut_lineage(
         numbered.join(seen, "term_id").select("term_id", "term", "tf", "df", weight.alias("idf"))
     )
-    docs = cut_lineage(_with_norms(bags, vocab, max_features), keep_layout=True)
+    docs = cut_lineage(_with_norms(bags, vocab), keep_layout=True)
     return TextIndex(docs, vocab, facts["n"], facts["m"], buckets, (span[0], span[1]))
 
 
