@@ -5,7 +5,7 @@ that pairs below the bound hardly ever meet. Two sets of sizes up to U that reac
 differ in at most D n-grams, which follows from the sizes alone. If all n-grams are
 dealt by their hash to D + 1 parts, two such sets agree in one part entirely. A block is
 therefore a part together with all that a document holds of it; documents meet only
-within a block. For small sets (D up to 2) a block is the set without one of its n-grams.
+within a block. For small sets (D up to 1) a block is the set, whole or without one of its n-grams.
 An n-gram that many documents share thus makes no large block by itself.
 
 Documents with equal sets are one class. Within a block every class is first held against
@@ -35,8 +35,9 @@ GRAM = 3
 PERCENT = 90
 # Sizes in one class differ by this factor at most.
 SIZE_STEP = 1.4
-# Up to this difference a block is a set without one member.
-FEW = 2
+# Up to this difference a block is a set without one member. With 2 it would not do: a set and
+# the same with two more members share no such block.
+FEW = 1
 
 SETS = [pa.field("n_shingles", pa.int64()), pa.field("k1", pa.int64()), pa.field("k2", pa.int64())]
 BLOCKS = [*SETS, pa.field("blocks", pa.list_(pa.int64()))]

@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -253,6 +254,26 @@ def test_ngram_components_of_a_group_of_near_copies(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(rows)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_of_all_sizes_share_a_block(percent):
+    """Every pair of sizes up to 60 and every overlap that links, proper subsets included."""
+    sizes = [(a, b, o) for a in range(1, 61) for b in range(a, 61) for o in range(a + 1) if 100 * o >= percent * (a + b - o)]
+    draw, texts = np.random.default_rng(7), []
+    for a, b, o in sizes * 3:
+        members = draw.integers(0, 2**64, a + b - o, dtype=np.uint64, endpoint=False)
+        texts += [members[:a], members[a - o :]]
+    lengths = np.array([len(t) for t in texts])
+    text, block = nj._blocks(np.repeat(np.arange(len(texts)), lengths), np.concatenate(texts), lengths, percent)
+    held = np.split(block, np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
+    assert [s for i, s in enumerate(sizes * 3) if not set(held[2 * i].tolist()) & set(held[2 * i + 1].tolist())] == []
+
+
+def test_ngram_components_of_texts_with_more_words_at_an_end(spark):
+    rows = [(100 * n + more, " ".join(f"t{n}w{i}" for i in range(n + more))) for n in range(3, 61) for more in range(4) if more != 1]
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(rows)
+
+
 def test_simhash(spark, docs, empty):
     prints = sh.fingerprints(docs)
     got = [(r.text, r.fingerprint) for r in prints.collect()]
