@@ -320,3 +320,38 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, str(DATA / "sf0.001")).collect()
     assert {r.doc_id for r in rows} == kept[-1]
     _gapless(rows, 2048)
+
+
+def _brute_kept(rows, gram, percent):
+    """Ids that stay, by comparing all pairs; each id once."""
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)} if len(w) >= gram else ({tuple(w)} if w else set())
+    least = {d: d for d in sets}
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if x and y and 100 * len(x & y) >= percent * len(x | y)]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return sorted(d for d in sets if least[d] == d)
+
+
+def test_pipeline_near_duplicates(spark):
+    """Five words and 0.8: scattered edits, tails cut off and added, all against a comparison of all pairs."""
+    import corpus_pipeline
+
+    rows = [(9000, None), (9001, ""), (9002, " \n ")]
+    for n in range(40):
+        base = [f"d{n}w{i}" for i in range(20 + 9 * n)]
+        rows.append((10 * n, " ".join(base)))
+        for k in range(1, 4):  # k words changed, far from each other
+            words = list(base)
+            for j in range(k):
+                words[(j + 1) * len(base) // (k + 1)] = f"e{n}x{k}x{j}"
+            rows.append((10 * n + k, " ".join(words)))
+        rows.append((10 * n + 4, " ".join(base[: len(base) * (78 + n % 20) // 100])))
+        rows.append((10 * n + 5, " ".join([*base, *[f"t{n}w{i}" for i in range(len(base) * (8 + n % 20) // 100)]])))
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect())
+    assert got == _brute_kept(rows, 5, 80)
+    assert got != _brute_kept(rows, 3, 90)
