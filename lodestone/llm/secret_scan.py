@@ -5,12 +5,15 @@ the alphabet, the number of runs above and below its middle, and the correlation
 neighbours. The runs and the correlation must not contradict randomness. The chi-squared
 statistic gives a p-value for the string being ordinary text: for text of that length,
 whose letters coincide as often as in language, how likely is a use of the alphabet as even as
-this. These p-values are held against a false-discovery bound (Benjamini-Hochberg)
+this. Strings of one case have too few symbols for that statistic to tell, so it has a second one
+there: how much better equal use explains the string than ordinary text does, in which letters
+have the shares of language and letters and digits come in groups. These p-values are held against a false-discovery bound (Benjamini-Hochberg)
 within each band of lengths, over all strings of all documents.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from functools import partial
@@ -30,6 +33,8 @@ _STRING = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 # Encodings by their alphabets, in order; a string is of the first that has all its symbols.
 _ALPHABETS = (
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "0123456789abcdef",
     "0123456789ABCDEF",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -42,6 +47,13 @@ _ALPHABETS = (
 _SYMBOLS = [{c: i for i, c in enumerate(a)} for a in _ALPHABETS]
 # Chance that two letters of ordinary text agree.
 COINCIDENCE = 0.065
+# Shares of the letters a to z in ordinary text, as percent: rounded means of English, French, German, Spanish
+# and Italian, 0.3 at least.
+_LETTER_SHARES = (9.3, 1.3, 3.7, 4.5, 14.1, 1.3, 1.7, 2.6, 7.9, 0.3, 0.5, 4.9, 2.7, 7.4, 6.8, 2.2, 0.6, 6.6, 6.9, 6.5, 4.0, 1.3, 0.9, 0.3, 0.6, 0.5)
+# Chance that a letter follows a digit, or a digit a letter, in ordinary text that holds both.
+SWITCH = 0.15
+# Ways to part a string that no alphabet has all symbols of.
+_PARTS = tuple(re.compile(rf"[^{separators}]{{20,}}") for separators in ("+/", "_-", "+/_-"))
 # Share of false ones among the strings reported, in each band of lengths.
 FALSE_SHARE = 0.01
 # Runs and correlation contradict randomness below this p-value.
@@ -63,17 +75,37 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _ratios(alphabet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Logarithms of how much likelier than in ordinary text each symbol is under equal use, and each change
+    between digits (0) and letters (1); and which symbols are letters. None for an alphabet of both cases."""
+    letters = [c for c in alphabet if c.isalpha()]
+    if len({c.lower() for c in letters}) < len(letters):
+        return None
+    shares = {c: _LETTER_SHARES[ord(c.lower()) - ord("a")] for c in letters}
+    total = sum(shares.values())
+    symbols = np.array([math.log(total / len(letters) / shares[c]) if c in shares else 0.0 for c in alphabet])
+    p = len(letters) / len(alphabet)
+    changes = np.log([[(1 - p) / (1 - SWITCH), p / SWITCH], [(1 - p) / SWITCH, p / (1 - SWITCH)]]) if p < 1 else np.zeros((2, 2))
+    return symbols, changes, np.array([int(c in shares) for c in alphabet])
+
+
+_RATIOS = [_ratios(a) for a in _ALPHABETS]
+
+
 def battery(string: str) -> tuple[float, float, float] | None:
     """p-values: of being ordinary text, and of the runs and the correlation if drawn at random.
 
-    None for a string of digits alone, of letters alone in one case, or of no known alphabet.
+    None for a string of digits alone, of one symbol alone, of letters in one case with separators, or of no
+    known alphabet.
     """
     used = set(string)
-    if not (any(c.isdigit() for c in used) or (any(c.islower() for c in used) and any(c.isupper() for c in used))) or all(c.isdigit() for c in used):
+    digits, cases = any(c.isdigit() for c in used), any(c.islower() for c in used) + any(c.isupper() for c in used)
+    if len(used) == 1 or all(c.isdigit() for c in used) or not (digits or cases == 2 or string.isalpha()):
         return None
-    table = next((s for s in _SYMBOLS if used <= s.keys()), None)
-    if table is None:
+    which = next((i for i, s in enumerate(_SYMBOLS) if used <= s.keys()), None)
+    if which is None:
         return None
+    table, ratios = _SYMBOLS[which], _RATIOS[which]
     size, n = len(table), len(string)
     x = np.array([table[c] for c in string])
     counts = np.bincount(x, minlength=size)
@@ -85,6 +117,13 @@ def battery(string: str) -> tuple[float, float, float] | None:
     m = (h - 1) * (1 - 3 * h)
     z = ((max(chi, 0) / (k + shift)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
     ordinary = _upper(-z)
+    # one case: a likelihood ratio of r has a chance of 1 / r at most (Markov); it does not count where equal use
+    # is out of the question (chi-squared by the cube-root approximation). The better of two p-values counts double
+    if ratios is not None:
+        symbols, changes, letter = ratios
+        even = _upper(((chi / k) ** (1 / 3) - 1 + 2 / (9 * k)) / math.sqrt(2 / (9 * k)))
+        ratio = float(symbols[x].sum() + changes[letter[x[:-1]], letter[x[1:]]].sum()) if even >= DOUBT else 0.0
+        ordinary = min(1.0, 2 * min(ordinary, math.exp(-max(ratio, 0.0))))
     high = x >= size / 2
     n1 = int(high.sum())
     n0 = n - n1
@@ -105,6 +144,30 @@ def _step(p: float) -> int:
     return int(min(-math.log10(max(p, 10.0**-_LEAST)), _LEAST) * _STEPS)
 
 
+def _tested(string: str, doubt: float) -> list[tuple[int, int, float]]:
+    """Start, end and p-value of what is tested in a string: all of it, or else its parts between separators.
+
+    It is parted in each way; of parts that overlap, the one of the least p-value counts, times the number of ways.
+    """
+
+    def value(found: tuple[float, float, float]) -> float:
+        return found[0] if min(found[1:]) >= doubt else 1.0
+
+    whole = battery(string)
+    if whole is not None:
+        return [(0, len(string), value(whole))]
+    parts = {m.span() for p in _PARTS for m in p.finditer(string)}
+    tried = sorted((min(1.0, len(_PARTS) * value(b)), s, e) for s, e in parts if (b := battery(string[s:e])) is not None)
+    out: list[tuple[int, int, float]] = []
+    ends: list[tuple[int, int]] = []  # taken, in order
+    for p, s, e in tried:
+        at = bisect.bisect(ends, (s, e))
+        if (at == 0 or ends[at - 1][1] <= s) and (at == len(ends) or e <= ends[at][0]):
+            ends.insert(at, (s, e))
+            out.append((s, e, p))
+    return out
+
+
 def spans_of(text: str, doubt: float = DOUBT) -> list[tuple[int, int, int, int, int]]:
     """Kind, start, end, band and step of the known forms, and of strings the battery passes or fails.
 
@@ -122,10 +185,10 @@ def spans_of(text: str, doubt: float = DOUBT) -> list[tuple[int, int, int, int,
     for m in _STRING.finditer(text):
         if any(s <= m.start() and m.end() <= e for s, e in known):
             continue
-        tested = battery(m[0])
-        if tested is not None:
-            fine = min(tested[1:]) >= doubt
-            out.append((3, m.start(), m.end(), int(math.log2(len(m[0]) / 20)), _step(tested[0] if fine else 1.0)))
+        for start, end, p in _tested(m[0], doubt):
+            start, end = m.start() + start, m.start() + end
+            if not any(s <= start and end <= e for s, e in known):
+                out.append((3, start, end, int(math.log2((end - start) / 20)), _step(p)))
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 

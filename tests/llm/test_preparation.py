@@ -133,6 +133,58 @@ def test_planted_random_strings_are_reported(spark):
     assert sum(got[i] == ["random"] for i in range(30)) >= 28 and not any(got[100 + i] for i in range(30))
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ENCODINGS = {
+    "hex": (DIGITS + "abcdef", 22),
+    "upper hex": (DIGITS + "ABCDEF", 40),
+    "base 32": (UPPER + "234567", 32),
+    "base 36": (DIGITS + LOWER, 32),
+    "upper base 36": (DIGITS + UPPER, 32),
+    "lower": (LOWER, 32),
+    "upper": (UPPER, 32),
+    "base 62": (UPPER + LOWER + DIGITS, 32),
+    "base 64": (UPPER + LOWER + DIGITS + "+/", 40),
+    "url base 64": (UPPER + LOWER + DIGITS + "-_", 40),
+}
+ORDINARY = [
+    "internationalization", "UNCHARACTERISTICALLY", "donaudampfschifffahrtsgesellschaft", "chteheitbergeerberer", "00000000000000000000abcd",
+    "the-longest-of-all-the-names/and_others_that_are_longer", "deadbeefdeadbeefdeadbeef00", "release20260101build000123", "x" * 40, "xyz" * 12, "-_/+" * 9,
+]
+
+
+def _drawn(seed, alphabet, length):
+    draw = np.random.default_rng([seed, len(alphabet), length])
+    return "".join(alphabet[i] for i in draw.integers(0, len(alphabet), length))
+
+
+@pytest.mark.parametrize("name", ENCODINGS)
+def test_every_encoding_is_told_from_ordinary(name):
+    alphabet, length = ENCODINGS[name]
+    fine = [b[0] for b in (ss.battery(_drawn(i, alphabet, length)) for i in range(200)) if b is not None and min(b[1:]) >= ss.DOUBT]
+    assert len(fine) > 190 and np.median(fine) < 1e-3
+
+
+def test_planted_strings_of_every_encoding_are_reported(spark):
+    rows, want = [], {}
+    for k, (name, (alphabet, length)) in enumerate(ENCODINGS.items()):
+        for i in range(30):
+            want[100 * k + i] = (name, 5, 5 + length)
+            rows.append((100 * k + i, f"some {_drawn(1000 + i, alphabet, length)} words"))
+    for i in range(30):  # separators of both kinds: no alphabet has them all
+        want[2000 + i] = ("parted", 10, 50)
+        rows.append((2000 + i, f"name_with-{_drawn(i, LOWER + UPPER + DIGITS, 40)}/and_some+more"))
+        want[2100 + i] = ("parted, one case", 12, 52)
+        rows.append((2100 + i, f"of/the-name-{_drawn(i, LOWER, 40)}/that_is"))
+    rows += [(9000 + i, f"some {text} words") for i, text in enumerate(ORDINARY)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "random"] for r in ss.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = {}
+    for d, (name, start, end) in want.items():
+        # the parts of a name beside a string may stand with it
+        hits[name] = hits.get(name, 0) + any(s <= start and end <= e for s, e in got[d])
+    assert min(v for n, v in hits.items() if n != "hex") >= 24 and hits["hex"] >= 15, hits
+    assert not any(got[9000 + i] for i in range(len(ORDINARY))), [t for i, t in enumerate(ORDINARY) if got[9000 + i]]
+
+
 @pytest.mark.parametrize("inline_keys", [4096, 0])
 def test_licenses(spark, docs, empty, inline_keys):
     found = [(30, f"some words before. {ls.NOTICES['apache-2.0']} and after"), (31, ls.NOTICES["mit"].upper()), (32, ls.NOTICES["mit-grant"]), (33, "the license of the work")]
