@@ -89,6 +89,8 @@ def _feature_columns(texts: pa.Array) -> dict[str, pa.Array]:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    # False without a row to fit on: such a model tells no document from another
+    fitted: bool = True
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold, one row for each score."""
@@ -107,7 +109,7 @@ def fit(grades: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarr
     share = np.clip(np.cumsum(many)[:-1] / many.sum(), 1e-6, 1 - 1e-6)
     start = np.log(share / (1 - share))
     if not n_rows:
-        return Model(out, start)
+        return Model(out, start, fitted=False)
     pairs = np.unique((place << 24) + text) >> 24  # rows of a sample fit 24 bits
     used, texts = np.unique(pairs, return_counts=True)
     used = used[texts >= min(LEAST_TEXTS, n_rows)]
@@ -147,7 +149,7 @@ def fit(grades: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarr
 def fit_sample(docs: DataFrame, grades: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text", grade: str = "grade", rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` graded documents, drawn by a hash of their ids.
 
-    Only the features of those rows come to the driver. Grades that are null or outside
+    Without one the model is not fitted. Only the features of those rows come to the driver. Grades that are null or outside
     0 .. n_grades - 1, and ids without a document, are not used.
     """
     usable = grades.select(F.col(id), F.col(grade).cast("int").alias("_grade")).filter(F.col("_grade").between(0, n_grades - 1))
@@ -170,7 +172,7 @@ def _score_columns(texts: pa.Array, shared: Broadcast, fields: list[pa.Field], k
         scores.append(np.bincount(text, weights=value * model.weights[place], minlength=len(offsets) - 1))
     tails = model.tails(np.concatenate([np.zeros(0), *scores]))
     whole = np.concatenate([np.ones((len(tails), 1)), tails, np.zeros((len(tails), 1))], axis=1)
-    columns = [tails.sum(axis=1), *tails.T, (whole[:, :-1] - whole[:, 1:]).argmax(axis=1), tails[:, -1] >= keep]
+    columns = [tails.sum(axis=1), *tails.T, (whole[:, :-1] - whole[:, 1:]).argmax(axis=1), tails[:, -1] >= (keep if model.fitted else 0.0)]
     return {f.name: pa.array(c, f.type) for f, c in zip(fields, columns)}
 
 
@@ -178,7 +180,8 @@ def grade_documents(docs: DataFrame, model: Model, text: str = "text", keep: flo
     """Every row with its graded quality; columns of these names are replaced.
 
     ``expected_grade``; ``p_above_0``, ``p_above_1``, ... (tail probabilities); ``grade``, the
-    likeliest; ``keep``: the highest grade has at least the probability ``keep``. Null and
+    likeliest; ``keep``: the highest grade has at least the probability ``keep``, or the model had no row
+    to fit on, so that there is nothing to drop a document for. Null and
     empty texts have no features, so they get what the thresholds alone say. Repeated rows get
     equal values. Nothing is shuffled.
     """

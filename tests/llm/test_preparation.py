@@ -358,6 +358,16 @@ def test_ordinal(spark, docs, empty):
     assert ordinal.grade_documents(docs, none).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("labels", [[], [(-5, 1, 0)], [(1, None, 0)]])
+def test_quality_without_usable_labels_keeps_all(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, table, str(tmp_path)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, ROWS))
+
+
 def test_pipeline(spark):
     if not (DATA / "sf0.001").exists():
         pytest.skip("the given tables are not here")
