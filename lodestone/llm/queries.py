@@ -16,6 +16,7 @@ from lodestone.llm.ordinal import fit_sample, grade_documents, grades_of_labels
 from lodestone.llm.packing import pack
 from lodestone.llm.secret_scan import KINDS, find_secrets
 from lodestone.llm.simhash import as_text, fingerprints, likeness, near_counts, with_next
+from lodestone.llm.simhash_dedup import near_components
 from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.winnowing import flag_contaminated
 
@@ -185,3 +186,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(print_, F.col("next_fingerprint")).alias("near_next"),
         F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"),
     )
+
+
+@query()
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in three bits at most."""
+    return near_components(documents(spark, sf_dir, "doc_id", "text"))
