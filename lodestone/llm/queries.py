@@ -18,6 +18,7 @@ from lodestone.llm.secret_scan import KINDS, find_secrets
 from lodestone.llm.simhash import as_text, fingerprints, likeness, near_counts, with_next
 from lodestone.llm.simhash_dedup import near_components
 from lodestone.llm.token_counts import count_tokens
+from lodestone.llm.vector_codes import SCALE, codebooks_digest, vector_codes
 from lodestone.llm.winnowing import flag_contaminated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +193,43 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in three bits at most."""
     return near_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def _code_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out: each has its codebook, the parts' nearest entries, and their means."""
+    steps = [
+        f"""kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""pieces AS (
+            SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x
+            FROM kept, (SELECT unnest(range({parts})) AS p))""",
+        f"""book0 AS (SELECT p, rank - 1 AS e, x FROM (
+            SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS rank FROM pieces) WHERE rank <= {entries})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+            SELECT vec_id, label, p, x, b.e AS e, b.d AS d FROM (
+                SELECT s.vec_id, s.label, s.p, any_value(s.x) AS x,
+                    min(struct_pack(d := CAST(list_sum(list_transform(list_zip(s.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := k.e)) AS b
+                FROM pieces s JOIN book{r} k USING (p) GROUP BY s.vec_id, s.label, s.p))""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+                SELECT p, e, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+                    SELECT p, e, list(CAST(s // n - CASE WHEN s < 0 AND s % n <> 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS x FROM (
+                        SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM near{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM pieces) + 1)) AS i)
+                        GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    steps.append(f"""coded AS (
+        SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+        FROM near{rounds} GROUP BY vec_id, label)""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded"""
+
+
+@query(_code_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-part codes of all vectors."""
+    coded, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
