@@ -18,6 +18,7 @@ from lodestone.llm.secret_scan import KINDS, find_secrets
 from lodestone.llm.simhash import as_text, fingerprints, likeness, near_counts, with_next
 from lodestone.llm.simhash_dedup import near_components
 from lodestone.llm.token_counts import count_tokens
+from lodestone.llm.turn_repair import damaged, repair_conversations
 from lodestone.llm.vector_codes import SCALE, codebooks_digest, vector_codes
 from lodestone.llm.winnowing import flag_contaminated
 
@@ -233,3 +234,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-part codes of all vectors."""
     coded, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
     return coded.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
+
+
+@query()
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair_conversations(damaged(turns), known=turns)[0]
