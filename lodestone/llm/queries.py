@@ -236,7 +236,69 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
 
 
-@query()
+_ASSISTANT, _LINE = "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+
+
+def _repair_sql() -> str:
+    """The same rules row by row: the cheapest way to each place of the pattern, carried from row to row."""
+
+    def way(place: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"CASE WHEN {place} IS NULL THEN NULL ELSE struct_pack(c := {place}.c + {cost}, s := {place}.s || '{edit}', o := {place}.o || {line}) END"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def closed(source: str, keep: str) -> str:
+        users = [way(p, "3", "I", "chr(10) || 'user:'") for p in ("x0", "x1", "x3")]
+        second = f"SELECT {keep}, x0, x1, {least('x2', *users)} AS x2, x3 FROM ({source})"
+        return f"SELECT {keep}, x0, x1, x2, {least('x3', way('x2', '3', 'I', _ASSISTANT))} AS x3 FROM ({second})"
+
+    def taken(initial: str, name: str, *places: str) -> list[str]:
+        kept = [f"CASE WHEN NOT gone AND initial = '{initial}' THEN {way(p, 'mend', 'K', _LINE)} END" for p in places]
+        return kept + [f"CASE WHEN NOT gone THEN {way(p, '3 + mend', 'R', f"chr(10) || '{name}:' || text")} END" for p in places if name]
+
+    step = f"""SELECT s.conv, s.pos + 1 AS pos, {way('x0', '4', 'D')} AS x0, {least(way('x1', '4', 'D'), *taken('s', '', 'x0'))} AS x1,
+        {least(way('x2', '4', 'D'), *taken('u', 'user', 'x0', 'x1', 'x3'))} AS x2,
+        {least(way('x3', '4', 'D'), *taken('a', 'assistant', 'x2'))} AS x3
+        FROM ways s JOIN marked m ON m.conv = s.conv AND m.pos = s.pos"""
+    none = "CAST(NULL AS STRUCT(c BIGINT, s VARCHAR, o VARCHAR))"
+    first = f"""SELECT DISTINCT conv, CAST(0 AS BIGINT) AS pos, struct_pack(c := CAST(0 AS BIGINT), s := '', o := '') AS x0,
+        {none} AS x1, {none} AS x2, {none} AS x3 FROM marked"""
+    return f"""
+    WITH RECURSIVE named AS (
+        SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    kinds AS (
+        SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda crc, b:
+            list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)),
+            CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM named),
+    broken AS (
+        SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS time
+        FROM kinds WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM broken),
+    faults AS (
+        SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before,
+            CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
+        FROM placed),
+    marked AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS mend FROM faults),
+    ways AS ({closed(first, "conv, pos")} UNION ALL {closed(step, "conv, pos")}),
+    counted AS (
+        SELECT conv, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+            coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+        FROM marked GROUP BY conv),
+    best AS (SELECT c.*, list_min([x0, x3]) AS w FROM counted c JOIN ways s ON s.conv = c.conv AND s.pos = c.n)
+    SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+        CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost,
+        coalesce(w.s, '') AS audit, sha256(coalesce(w.o[2:], '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, conv FROM named) LEFT JOIN best USING (conv)"""
+
+
+@query(_repair_sql())
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
