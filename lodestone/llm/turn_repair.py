@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm.common import stored
@@ -153,24 +154,24 @@ _EDITS = pa.schema([("conv", pa.string()), ("at", pa.int64()), ("pos", pa.int64(
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that come out: place, the row they come from (null: inserted), and the role they get (null: their own)."""
     for batch in batches:
-        for conv, audit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ops = np.frombuffer(audit.encode(), dtype=np.uint8)
-            out = ops != ord("D")
-            at = np.cumsum(out) - 1
-            pos = np.cumsum(ops != ord("I")) - 1
-            # a system row comes first if the number is odd; users and assistants take turns
-            user = (at - int(out.sum()) % 2) % 2 == 0
-            chosen = np.flatnonzero(out)
-            for first in range(0, len(chosen), BATCH):
-                own = chosen[first : first + BATCH]
-                names = np.where(user[own], "user", "assistant")
-                columns = [
-                    pa.array([conv] * len(own)),
-                    pa.array(at[own]),
-                    pa.array(pos[own], mask=ops[own] == ord("I")),
-                    pa.array(names.tolist(), mask=ops[own] == ord("K")),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _EDITS)], schema=_EDITS)
+        audits = batch.column(1).to_pylist()
+        ops = np.frombuffer("".join(audits).encode(), dtype=np.uint8)
+        sizes = np.array([len(a) for a in audits], dtype=np.int64)
+        of = np.repeat(np.arange(len(audits)), sizes)
+        out, old = ops != ord("D"), ops != ord("I")
+        lengths = np.bincount(of[out], minlength=len(audits))
+        at = np.cumsum(out) - 1 - (np.cumsum(lengths) - lengths)[of]
+        held = np.bincount(of[old], minlength=len(audits))
+        pos = np.cumsum(old) - 1 - (np.cumsum(held) - held)[of]
+        # a system row comes first if the number is odd; users and assistants take turns
+        user = (at - lengths[of] % 2) % 2 == 0
+        chosen = np.flatnonzero(out)
+        for first in range(0, len(chosen), BATCH):
+            own = chosen[first : first + BATCH]
+            names = pa.array(["assistant", "user"]).take(pa.array(user[own].astype(np.int64)))
+            roles = pc.if_else(pa.array(ops[own] == ord("K")), pa.scalar(None, pa.string()), names)
+            columns = [batch.column(0).take(pa.array(of[own])), pa.array(at[own]), pa.array(pos[own], mask=~old[own]), roles]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _EDITS)], schema=_EDITS)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
