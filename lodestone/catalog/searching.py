@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.catalog.registry import query, with_parts
 from lodestone.catalog.views import (
-    KB_SQL, QUESTIONS_SQL, SEARCH_COLS, SEARCH_SQL, dedup_key, index_of, kb, questions, words_sql,
+    KB_SQL, QUESTIONS_SQL, SEARCH_SQL, index_of, kb, questions, words_of, words_sql,
 )
 from lodestone.functions.text import score_label
 from lodestone.operators.shares import histogram
@@ -19,10 +19,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cascade(spark: SparkSession, sf_dir: str, threshold: float = S.THRESHOLD) -> DataFrame:
-    return S.cascade_search(
-        index_of(spark, sf_dir), kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, dedup_key(),
-        threshold=threshold,
-    )
+    return S.cascade_search(index_of(spark, sf_dir), words_of(spark, sf_dir), questions(spark, sf_dir), threshold=threshold)
 
 
 def _full_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +40,8 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_parts("SELECT query_id, count(*) AS n_docs FROM pairs WHERE score > 0.05 GROUP BY query_id", SEARCH_SQL))
 def documents_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.score_pairs(index_of(spark, sf_dir), questions(spark, sf_dir))
+    index = index_of(spark, sf_dir)
+    pairs = S.score_pairs(index, S.asked_terms(index, questions(spark, sf_dir)))
     return pairs.filter(F.col("score") > S.THRESHOLD).groupBy("query_id").agg(F.count("*").alias("n_docs"))
 
 
@@ -78,13 +76,13 @@ def hits_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 rows that hold a word of the query, copies included."""
-    hits = S.keyword_search(kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, "doc_id", 500)
+    hits = S.keyword_search(words_of(spark, sf_dir), questions(spark, sf_dir), 500, copies=True)
     return hits.select("query_id", "doc_id")
 
 
 @query(with_parts("SELECT query_id, rank, doc_id, dedup_key FROM word_top", KB_SQL, QUESTIONS_SQL, words_sql()))
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = S.keyword_search(kb(spark, sf_dir), questions(spark, sf_dir), SEARCH_COLS, dedup_key())
+    hits = S.keyword_search(words_of(spark, sf_dir), questions(spark, sf_dir))
     return hits.drop("similarity")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.plans.index import TextIndex, build_index
 from lodestone.plans.intent import Lexicon
+from lodestone.plans.search import WordIndex, build_word_index
 from lodestone.session import checkpoint_dir
 
 SEARCH_COLS = ("category", "rule")
@@ -93,6 +94,7 @@ PROSE_LEXICON = Lexicon(
 )
 
 _INDEXES: dict[tuple[str, str, str], TextIndex] = {}
+_WORDS: dict[tuple[str, str], WordIndex] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str, which: str = "kb") -> TextIndex:
@@ -107,6 +109,14 @@ def index_of(spark: SparkSession, sf_dir: str, which: str = "kb") -> TextIndex:
     return _INDEXES[key]
 
 
+def words_of(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """The index of words, built once per session and folder as well."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WORDS:
+        _WORDS[key] = build_word_index(kb(spark, sf_dir), SEARCH_COLS, dedup_key())
+    return _WORDS[key]
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder beside the checkpoints, where every executor can write."""
     return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"

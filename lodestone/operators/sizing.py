@@ -29,8 +29,12 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(sizes.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
+
+
 def small_enough(df: DataFrame) -> bool:
-    return measured_bytes(df) <= int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
+    return measured_bytes(df) <= broadcast_limit(df)
 
 
 def hot_keys(facts: DataFrame, on: Sequence[str], share: float | None = None) -> DataFrame:

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.scalars import count_or_zero, iso_utc, number_or_zero
-from lodestone.functions.text import has_text
+from lodestone.functions.text import has_text, search_form
+from lodestone.operators.sizing import lookup_join
 from lodestone.plans.index import TextIndex
 from lodestone.plans.intent import DEFAULT_LEXICON, GOODBYE, GREETING, THANKS, Lexicon, canned_reply, classify_intent
-from lodestone.plans.search import KEYWORD, THRESHOLD, TOP_K, cascade_search, with_rows
+from lodestone.plans.search import KEYWORD, THRESHOLD, TOP_K, WordIndex, cascade_search, with_rows
 from lodestone.session import cut_lineage
 
 # Labels the log and the reports go by.
@@ -27,6 +28,7 @@ REPLIES = {
     THANKS: "You are welcome. Ask again whenever you need to.",
     GOODBYE: "Goodbye, and good luck.",
 }
+NO_KB = "The knowledge base is not loaded. Please tell whoever runs this service."
 NO_FACTS = "- no matching procedure was found"
 TEMPLATE = (
     "Answer only from the procedures below.\n\n"
@@ -46,22 +48,34 @@ def nested_hits(hits: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _searched(
+    asked: DataFrame, index: TextIndex, words: WordIndex, kb: DataFrame, columns: Sequence[str], k: int, threshold: float
+) -> DataFrame:
+    """``query_id, method, top_score, hits`` of every message. Messages of one normalised text are searched once."""
+    formed = cut_lineage(asked.select("query_id", search_form(F.col("text")).alias("form")))
+    once = cut_lineage(formed.groupBy("form").agg(F.min("query_id").alias("_first")))
+    hits = cascade_search(index, words, once.select(F.col("_first").alias("query_id"), F.col("form").alias("text")), k, threshold)
+    nested = nested_hits(with_rows(hits, kb, columns), columns).withColumnRenamed("query_id", "_first")
+    found = cut_lineage(once.join(nested, "_first", "left").drop("_first"))
+    return lookup_join(formed, found, ["form"], "left", ["query_id"]).drop("form")
+
+
 def answer_batch(
     messages: DataFrame,
     index: TextIndex | None,
+    words: WordIndex | None,
     kb: DataFrame | None,
-    search_cols: Sequence[str],
-    dedup_col: str | Column,
     lexicon: Lexicon = DEFAULT_LEXICON,
     replies: Mapping[str, str] = REPLIES,
     columns: Sequence[str] = HIT_COLUMNS,
     k: int = TOP_K,
     threshold: float = THRESHOLD,
+    no_kb: str = NO_KB,
 ) -> DataFrame:
     """``query_id, status, method, intent, reply, top_score, n_hits, hits`` per message.
 
     Blank messages get status ``empty_query``; social ones a canned reply; the rest is
-    searched. With no index, the rest gets status ``kb_unavailable``.
+    searched. With no index, the rest gets status ``kb_unavailable`` and the reply ``no_kb``.
     """
     routed = cut_lineage(classify_intent(messages.select("query_id", "text"), lexicon))
     blank = routed.filter(~has_text(F.col("text"))).select("query_id", F.lit("empty_query").alias("status"))
@@ -73,15 +87,12 @@ def answer_batch(
         canned_reply(F.col("intent"), dict(replies)).alias("reply"),
     )
     rest = routed.filter(F.col("intent").isNull() & has_text(F.col("text"))).select("query_id", "text")
-    if index is None or kb is None:
-        searched = rest.select(
-            "query_id", F.lit("kb_unavailable").alias("status"), F.lit(NO_METHOD).alias("method")
+    if index is None or words is None or kb is None:
+        parts = rest.select(
+            "query_id", F.lit("kb_unavailable").alias("status"), F.lit(NO_METHOD).alias("method"), F.lit(no_kb).alias("reply")
         )
-        parts = searched
     else:
-        hits = cascade_search(index, kb, rest, search_cols, dedup_col, k, threshold)
-        nested = nested_hits(with_rows(hits, kb, columns), columns)
-        parts = rest.select("query_id").join(nested, "query_id", "left").select(
+        parts = _searched(rest, index, words, kb, columns, k, threshold).select(
             "query_id",
             F.lit("ok").alias("status"),
             F.coalesce("method", F.lit(KEYWORD)).alias("method"),

@@ -1,79 +1,168 @@
-"""TF-IDF index as tables: fit a vocabulary, count terms per document, turn queries into vectors.
+"""TF-IDF index as tables: count terms per document, weigh them, turn queries into vectors.
 
 Weights follow the usual smoothed form: tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to
 length 1. The vocabulary holds all terms, or if asked the ``max_features`` with the largest corpus count.
+
+The text is read once: each row's terms are counted within the row and stored. A term is a key of 128
+bits made of its text, so no occurrence is ever joined to the vocabulary by its string, which only ``vocab`` holds.
+Documents of about the same length share a block of few documents, and the stored tables are
+bucketed by block, so everything that goes by block or by document afterwards needs no exchange.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lodestone.functions.text import adjacent, compose, ngrams, tokens
 from lodestone.operators.ordering import with_sequence
 from lodestone.operators.rows import fields_per_row, one_per_row
-from lodestone.operators.sizing import few_parts, lookup_join, measured_bytes, on_all_cores, small_enough
-from lodestone.session import cut_lineage
+from lodestone.operators.sizing import broadcast_limit, lookup_join, measured_bytes, on_all_cores, small_enough
+from lodestone.session import checkpoint_dir, co_partitioned, cut_lineage, remove, written
 
 SPAN = (1, 2)
-# Text that one bucket of documents holds, about.
+KEY = ["a", "b"]
+# Documents of one block, and tokens of a block of long ones.
+BLOCK_DOCS = 32
+BLOCK_TOKENS = 1 << 16
+# Lengths in one block differ by a factor of 2 ** (1 / LENGTH_STEPS) at most.
+LENGTH_STEPS = 4
+_CLASS_BITS = 40
+# Stored bytes of one bucket, about, and of one posting.
 BUCKET_BYTES = 64 * 1024 * 1024
+_POSTING_BYTES = 24
+# Bins of one step in the search for a count.
+_BINS = 4096
+
+_TABLES = ("heads", "posts", "tops")
+_SCHEMAS = {
+    "heads": "block BIGINT, doc_id {id}, dedup_key {key}, norm DOUBLE, n_terms INT",
+    "posts": "block BIGINT, doc_id {id}, norm DOUBLE, a BIGINT, b BIGINT, tf BIGINT",
+    "tops": "block BIGINT, a BIGINT, b BIGINT, top DOUBLE, n BIGINT",
+}
+
+
+def term_key(term: Column) -> list[Column]:
+    """128 bits that stand for a term, as ``a`` and ``b``."""
+    return [F.xxhash64(term).alias("a"), F.xxhash64(F.lit(7), term).alias("b")]
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``docs``: bucket, doc_id, dedup_key, norm, terms[term_id, tf]; ``vocab``: term_id, term, tf, df, idf."""
+    """``heads``: block, doc_id, dedup_key, norm, n_terms; ``posts``: block, doc_id, norm, a, b, tf; ``vocab``: term, a, b, tf, df, idf.
 
-    docs: DataFrame
+    ``tops`` has for each block and term the largest tf / norm and the number of its documents. ``heads``, ``posts`` and ``tops``
+    are bucketed by block.
+    """
+
+    heads: DataFrame
+    posts: DataFrame
+    tops: DataFrame
     vocab: DataFrame
     n_docs: int
     n_postings: int
     n_buckets: int
     span: tuple[int, int]
-
-    def entries(self) -> DataFrame:
-        """One row per (document, term), as scoring reads it."""
-        return fields_per_row(
-            self.docs, ["bucket", "doc_id", "dedup_key", "norm"], F.col("terms"), "term_id"
-        )
+    path: str
 
     def postings(self) -> DataFrame:
         """One row per (document, term) with the term and its scaled weight."""
-        named = lookup_join(
-            self.entries(), self.vocab.select("term_id", "term", "idf"), ["term_id"], "inner", ["doc_id"]
-        )
-        weight = F.col("tf") * F.col("idf") / F.col("norm")
-        return named.select("doc_id", "dedup_key", "term", "tf", weight.alias("weight"))
+        keys = self.heads.select("block", "doc_id", "dedup_key")
+        named = self.posts.join(self.vocab.select("term", *KEY, "idf"), KEY).join(keys, ["block", "doc_id"])
+        return named.select("doc_id", "dedup_key", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
     def save(self, path: str) -> None:
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """Write the tables to a folder, bucketed as they are."""
+        spark = self.heads.sparkSession
+        for name in _TABLES:
+            bucketed(getattr(self, name), self.n_buckets, f"{path}/{name}")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        facts = self.docs.sparkSession.createDataFrame(
-            [(self.n_docs, self.n_postings, self.n_buckets, *self.span)],
-            "n_docs long, n_postings long, n_buckets int, low int, high int",
+        kinds = {f.name: f.dataType.simpleString() for f in self.heads.schema}
+        facts = spark.createDataFrame(
+            [(self.n_docs, self.n_postings, self.n_buckets, *self.span, kinds["doc_id"], kinds["dedup_key"])],
+            "n_docs long, n_postings long, n_buckets int, low int, high int, id string, key string",
         )
         facts.write.mode("overwrite").parquet(f"{path}/facts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
+        """The index in a folder; the tables are read in the layout they were written in."""
         facts = spark.read.parquet(f"{path}/facts").first()
-        docs = spark.read.parquet(f"{path}/docs").repartitionById(facts["n_buckets"], "bucket")
+        columns = {n: _SCHEMAS[n].format(id=facts["id"], key=facts["key"]) for n in _TABLES}
+        tables = [bucketed_table(spark, f"{path}/{n}", columns[n], facts["n_buckets"]) for n in _TABLES]
         return TextIndex(
-            cut_lineage(docs, keep_layout=True),
+            *tables,
             spark.read.parquet(f"{path}/vocab"),
             facts["n_docs"],
             facts["n_postings"],
             facts["n_buckets"],
             (facts["low"], facts["high"]),
+            path,
         )
 
+    def drop(self) -> None:
+        """Delete the stored tables, once no search reads them any more."""
+        remove(self.heads.sparkSession, self.path)
+
+
+def new_table() -> str:
+    return f"default.lodestone_{uuid.uuid4().hex}"
+
+
+def bucketed(df: DataFrame, buckets: int, path: str, by: Sequence[str] = ("block",)) -> str:
+    """Write a table that is laid out by some columns as a bucketed one; reads of the name returned know the layout."""
+    table = new_table()
+    df.write.format("parquet").mode("overwrite").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+    return table
+
+
+def bucketed_table(spark: SparkSession, path: str, columns: str, buckets: int, by: Sequence[str] = ("block",)) -> DataFrame:
+    """A table that :func:`bucketed` wrote to a folder."""
+    table = new_table()
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({', '.join(by)}) INTO {buckets} BUCKETS")
+    return spark.table(table)
+
 
 def _token_rows(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, tokens(F.col("text")).alias("toks"))
 
 
+def count_cut(counts: DataFrame, n: int, count: str = "tf") -> tuple[int, int]:
+    """The count of the ``n``-th largest row, and how many rows have a larger one; (0, rows) if there are fewer.
+
+    The counts are narrowed down by histograms of a bounded number of bins, so no task sorts rows.
+    """
+    top = counts.agg(F.max(count).alias("m"), F.count("*").alias("n")).first()
+    if top["n"] <= n:
+        return 0, top["n"]
+    low, high, above = 0, top["m"], 0
+    while low < high:
+        width = -(-(high - low + 1) // _BINS)
+        inside = counts.filter(F.col(count).between(low, high))
+        bins = inside.groupBy(F.floor((F.col(count) - low) / width).alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+        for row in bins:
+            if above + row["n"] >= n:
+                low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
+                break
+            above += row["n"]
+    return low, above
+
+
+def largest_terms(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``term, tf, …`` with the largest ``tf``, ties by term; none of it in a single task."""
+    if n <= 0:
+        return counts.filter("false")
+    cut, above = count_cut(counts, n)
+    if not cut:
+        return counts
+    ties = with_sequence(counts.filter(F.col("tf") == cut), ["term"], "_seq").filter(F.col("_seq") <= n - above).drop("_seq")
+    return counts.filter(F.col("tf") > cut).unionByName(ties)
+
+
 def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int | None = None) -> DataFrame:
     """``term, tf`` over the whole corpus: all, or the ``max_features`` largest, ties by term.
 
@@ -89,10 +178,9 @@ def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int
         single = one_per_row(toks, [], F.col("toks"), "term").groupBy("term").agg(F.count("*").alias("tf"))
         if max_features is not None:
             single = cut_lineage(single)
-            top = single.orderBy(F.desc("tf"), "term").limit(max_features)
-            full = top.agg(F.count("*").alias("n"), F.min("tf").alias("least")).first()
-            if full["n"] == max_features:
-                single = single.filter(F.col("tf") >= full["least"])
+            least, _ = count_cut(single, max_features)
+            if least:
+                single = single.filter(F.col("tf") >= least)
                 frequent = single.select("term") if small_enough(single) else None
         parts.append(single)
     for n in range(max(low, 2), high + 1):
@@ -106,29 +194,39 @@ def corpus_terms(texts: DataFrame, span: Sequence[int] = SPAN, max_features: int
     terms = parts[0]
     for part in parts[1:]:
         terms = terms.unionByName(part)
-    return terms if max_features is None else terms.orderBy(F.desc("tf"), "term").limit(max_features)
+    return terms if max_features is None else largest_terms(cut_lineage(terms), max_features)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def _known_terms(texts: DataFrame, key: str, span: Sequence[int], vocab: DataFrame) -> DataFrame:
-    """One row per occurrence of a vocabulary term, with the columns of ``vocab`` but the term."""
-    occurrences = one_per_row(_token_rows(texts, key), [key], ngrams(F.col("toks"), span), "term")
-    return lookup_join(occurrences, vocab, ["term"], "inner", [key]).drop("term")
+def term_counts(texts: DataFrame, keep: Sequence[str], span: Sequence[int]) -> DataFrame:
+    """Each row of ``texts`` with ``n_tokens`` and ``bag``, its terms and how often each occurs, counted within the row.
 
+    Equal terms are neighbours once the row's terms are sorted; a run starts where a term differs from the one before.
+    """
+    rows = _token_rows(texts, *keep)
+    rows = rows.select(*keep, F.size("toks").alias("n_tokens"), F.sort_array(ngrams(F.col("toks"), span)).alias("terms"))
+    last = F.size("terms") - 1
+    new = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    rows = rows.select(*keep, "n_tokens", "terms", F.when(last >= 0, new).otherwise(F.array().cast("array<int>")).alias("starts"))
+    run = lambda s, j: F.struct(F.get("terms", s).alias("term"), (F.coalesce(F.get("starts", j + 1), last + 1) - s).cast("long").alias("tf"))
+    return rows.select(*keep, "n_tokens", F.transform("starts", run).alias("bag"))
+
+
+def _block(lengths: dict[int, tuple[int, int]]) -> Column:
+    """A document's block: its class of lengths, and one of so many parts of the class."""
+    parts = []
+    for own, (docs, toks) in sorted(lengths.items()):
+        per_block = max(1, min(BLOCK_DOCS, BLOCK_TOKENS * docs // max(1, toks)))
+        parts += [F.lit(own), F.lit(max(1, -(-docs // per_block)))]
+    many = F.element_at(F.create_map(*parts), _length_class()) if parts else F.lit(1)
+    return F.shiftleft(_length_class().cast("long"), _CLASS_BITS) + F.pmod(F.xxhash64("doc_id"), many)
 
-def _with_norms(bags: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Adds the length of each document's weight vector."""
-    rows = bags.select("bucket", "doc_id", "dedup_key", F.inline_outer("terms"))
-    weighed = lookup_join(rows, vocab.select("term_id", "idf"), ["term_id"], "left", ["doc_id"])
-    w = F.col("tf") * F.col("idf")
-    return weighed.groupBy("bucket", "doc_id").agg(
-        F.max("dedup_key").alias("dedup_key"),
-        F.coalesce(F.sqrt(F.sum(w * w)), F.lit(0.0)).alias("norm"),
-        F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf"))).alias("terms"),
-    )
+
+def _length_class() -> Column:
+    return F.floor(LENGTH_STEPS * F.log2(F.col("n_tokens") + 1)).cast("int")
 
 
 def build_index(
@@ -142,75 +240,73 @@ def build_index(
 ) -> TextIndex:
     """Index every row of ``kb`` over the text composed of ``text_cols``.
 
-    ``dedup_col`` marks rows that count as the same answer. Documents are laid out by a
-    hash bucket of their id, one bucket per partition, so scoring and the first top-k need no
-    further shuffle. Unless given, there is a bucket for every ``BUCKET_BYTES`` of text, and at
-    least one for each shuffle partition.
+    ``dedup_col`` marks rows that count as the same answer. Unless given, there is a bucket for every ``BUCKET_BYTES`` of
+    postings, and at least one for each shuffle partition and three for each core. After the counts of each row are stored, the
+    rows are exchanged once, to the layout by block; what comes back to a block from the vocabulary is one number for each of its terms.
     """
     spark = kb.sparkSession
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
-    texts = kb.select(F.col(id_col).alias("doc_id"), compose(*[F.col(c) for c in text_cols]).alias("text"))
-    if few_parts(texts):
-        # small, and read several times below: spread it once
-        texts = cut_lineage(on_all_cores(texts, "doc_id"))
+    texts = kb.select(F.col(id_col).alias("doc_id"), dedup.alias("dedup_key"), compose(*[F.col(c) for c in text_cols]).alias("text"))
+    counted, folder = written(term_counts(on_all_cores(texts, "doc_id"), ["doc_id", "dedup_key"], span))
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+
+    own = co_partitioned(spark)  # a session of its own, so that the caller's settings stay as they are
+    bags = own.read.schema(counted.schema).parquet(folder)
+    shape = bags.groupBy(_length_class().alias("c")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum(F.size("bag")).alias("m")).collect()
+    n_docs = sum(r["n"] for r in shape)
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-measured_bytes(texts) // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
-
-    # numbers in place of words make the rows below, and the joins of every search, narrow
-    numbered = with_sequence(corpus_terms(texts, span, max_features), ["term"], "term_id")
-    known = _known_terms(texts, "doc_id", span, numbered.select("term", "term_id"))
-    heads = kb.select(F.col(id_col).alias("doc_id"), dedup.alias("dedup_key"))
-    rows = heads.unionByName(known, allowMissingColumns=True)
-    counted = (
-        rows.withColumn("bucket", bucket)
-        .repartitionById(buckets, "bucket")
-        .groupBy("bucket", "doc_id", "term_id")
-        .agg(F.max("dedup_key").alias("dedup_key"), F.count("*").alias("tf"))
-    )
-    # a list holds the terms of one document, which was one row to begin with
-    bags = cut_lineage(
-        counted.groupBy("bucket", "doc_id").agg(
-            F.max("dedup_key").alias("dedup_key"),
-            F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf"))).alias("terms"),
-        ),
-        keep_layout=True,
-    )
-    facts = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("m")).first()
-    seen = fields_per_row(bags, [], F.col("terms"), "term_id").groupBy("term_id").agg(F.count("*").alias("df"))
-    weight = idf(F.lit(facts["n"]), F.col("df"))
-    vocab = cut_lineage(
-        numbered.join(seen, "term_id").select("term_id", "term", "tf", "df", weight.alias("idf"))
-    )
-    docs = cut_lineage(_with_norms(bags, vocab), keep_layout=True)
-    return TextIndex(docs, vocab, facts["n"], facts["m"], buckets, (span[0], span[1]))
-
-
-def query_vectors(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, term_id, tf, idf, weight`` for the vocabulary terms of each query text."""
-    known = _known_terms(
-        on_all_cores(queries, "query_id"), "query_id", index.span, index.vocab.select("term", "term_id", "idf")
-    )
-    counted = (
-        known.repartition("query_id")
-        .groupBy("query_id", "term_id", "idf")
-        .agg(F.count("*").alias("tf"))
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    )
-    # the terms of one query, which was one row to begin with
-    scaled = counted.groupBy("query_id").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("term_id", "tf", "idf", "w")).alias("terms"),
-    )
-    rows = scaled.select("query_id", "norm", F.inline("terms"))
-    return cut_lineage(
-        rows.select("query_id", "term_id", "tf", "idf", (F.col("w") / F.col("norm")).alias("weight")),
-        keep_layout=True,
-    )
+        least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        buckets = max(least, -(-sum(r["m"] for r in shape) * _POSTING_BYTES // BUCKET_BYTES))
+
+    vocab = fields_per_row(bags, [], F.col("bag"), "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    if max_features is not None:
+        vocab = largest_terms(cut_lineage(vocab), max_features)
+    weight = idf(F.lit(n_docs), F.col("df"))
+    vocab.select("term", *term_key(F.col("term")), "tf", "df", weight.alias("idf")).write.parquet(f"{path}/vocab")
+    vocab = own.read.parquet(f"{path}/vocab")
+
+    keyed = F.transform("bag", lambda t: F.struct(*term_key(t.term), t.tf.alias("tf")))
+    laid = bags.select(_block({r["c"]: (r["n"], r["t"]) for r in shape}).alias("block"), "doc_id", "dedup_key", keyed.alias("bag"))
+    laid = laid.repartition(buckets, "block")
+    rows = fields_per_row(laid, ["block", "doc_id"], F.col("bag"), "a")
+    # the terms of each block go to the vocabulary and come back with their weight
+    of_block = rows.groupBy("block", *KEY).agg(F.count("*").alias("n")).join(vocab.select(*KEY, "idf"), KEY)
+    weighed = rows.join(of_block.select("block", *KEY, "idf").repartition(buckets, "block"), ["block", *KEY])
+    w = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(w * w).over(W.partitionBy("block", "doc_id"))).alias("norm")
+    posts = bucketed(weighed.select("block", "doc_id", norm, *KEY, "tf"), buckets, f"{path}/posts")
+
+    held = own.table(posts)
+    known = held.groupBy("block", "doc_id").agg(F.max("norm").alias("norm"), F.count("*").cast("int").alias("n_terms"))
+    heads = laid.select("block", "doc_id", "dedup_key").join(known, ["block", "doc_id"], "left")
+    heads = heads.select("block", "doc_id", "dedup_key", F.coalesce("norm", F.lit(0.0)).alias("norm"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    heads = bucketed(heads, buckets, f"{path}/heads")
+    tops = held.groupBy("block", *KEY).agg(F.max(F.col("tf") / F.col("norm")).alias("top"), F.count("*").alias("n"))
+    tops = bucketed(tops, buckets, f"{path}/tops")
+    n_postings = own.table(heads).agg(F.coalesce(F.sum("n_terms"), F.lit(0)).alias("m")).first()["m"]
+    remove(spark, folder)
+    return TextIndex(*[spark.table(t) for t in (heads, posts, tops)], spark.read.parquet(f"{path}/vocab"), n_docs, n_postings, buckets, (span[0], span[1]), path)
+
+
+def query_vectors(index: TextIndex, queries: DataFrame) -> tuple[DataFrame, bool]:
+    """``query_id, a, b, tf, df, idf, weight`` for the vocabulary terms of each query text.
+
+    Also whether the table is small enough to be broadcast, as measured on all terms of the queries, known or not.
+    """
+    bags = term_counts(on_all_cores(queries, "query_id"), ["query_id"], index.span)
+    rows = fields_per_row(bags, ["query_id"], F.col("bag"), "term").select("query_id", *term_key(F.col("term")), "tf")
+    rows = cut_lineage(rows)
+    small = 2 * measured_bytes(rows) <= broadcast_limit(rows)  # the table has not twice as many columns
+    asked = rows.select(*KEY).distinct()
+    held = index.vocab.select(*KEY, "df", "idf").join(F.broadcast(asked) if small else asked, KEY, "left_semi")
+    known = rows.join(F.broadcast(held), KEY) if small else lookup_join(rows, cut_lineage(held), KEY, "inner", ["query_id"])
+    w = F.col("tf") * F.col("idf")
+    scaled = w / F.sqrt(F.sum(w * w).over(W.partitionBy("query_id")))
+    return cut_lineage(known.select("query_id", *KEY, "tf", "df", "idf", scaled.alias("weight"))), small
 
 
 def index_shape(index: TextIndex) -> DataFrame:
     """Documents, vocabulary size and stored weights of an index, as one row."""
-    docs = index.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_weights"))
+    docs = index.heads.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_weights"))
     terms = index.vocab.agg(F.count("*").alias("n_terms"))
     return docs.select("n_docs", terms.scalar().alias("n_terms"), "n_weights")

@@ -59,3 +59,13 @@ def rules_per_category(kb: DataFrame) -> DataFrame:
 def redundant_categories(kb: DataFrame) -> DataFrame:
     """Categories where several rows share a rule."""
     return rules_per_category(kb).filter(F.col("n_rows") != F.col("n_rules"))
+
+
+def rewritten_rows(kb: DataFrame, variants: DataFrame) -> DataFrame:
+    """``category, n_rows, n_variants``: for every category of ``variants`` the rows that get one of them, and how many there are.
+
+    A category that no row has is reported with 0 rows. Categories go by their key; the name is the least spelling.
+    """
+    offered = variants.groupBy(category_key(F.col("category")).alias("cat_norm")).agg(F.min("category").alias("category"), F.count("*").alias("n_variants"))
+    rows = kb.groupBy(category_key(F.col("category")).alias("cat_norm")).agg(F.count("*").alias("n_rows"))
+    return offered.join(rows, "cat_norm", "left").select("category", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_variants")

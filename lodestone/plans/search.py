@@ -1,16 +1,25 @@
-"""Search over a batch of queries: cosine top-k, keyword fallback, and the two in a row."""
+"""Search over a batch of queries: cosine top-k, keyword fallback, and the two in a row.
+
+The cosine search scores few of the pairs that share a term. Some documents that hold a query's rarest terms are scored
+first; the score of the k-th answer among them is a floor that every hit has to reach. For each block of documents the index knows the
+largest weight of every term, and so the most that a term can add there. Terms whose largest additions together
+stay below the floor cannot make a hit by themselves, so only documents that hold one of the others become candidates, and only
+those whose sum so far, with all that the rest could add, reaches the floor are scored in full.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
-from lodestone.operators.sizing import lookup_join, on_all_cores, salted_sides, small_enough
-from lodestone.plans.index import TextIndex, query_vectors
-from lodestone.session import cut_lineage
+from lodestone.operators.sizing import lookup_join, on_all_cores, small_enough
+from lodestone.plans.index import KEY, TextIndex, bucketed, bucketed_table, query_vectors
+from lodestone.session import checkpoint_dir, cut_lineage, remove
 
 # Defaults and method labels that results have to carry.
 TOP_K = 3
@@ -21,33 +30,97 @@ KEYWORD = "palavra_chave"
 
 # Sums of the same products can differ in the last bits with the order of rows.
 SCORE_DIGITS = 10
+# Bounds are compared with this much to spare.
+_SPARE = 1e-9
+# Parts that the answers of one token, word or query are dealt to.
+PARTS = 64
+# Rows of a query's rarest terms that are scored for its floor. They only decide how much is passed over.
+SEED_ROWS = 200
+
+
+@dataclass(frozen=True)
+class Asked:
+    """``terms``: query_id, a, b, df, pull, floor, where ``pull`` is what one tf / norm of the term adds to a score and ``floor`` the
+    least score asked for. ``small``: measured to fit a broadcast, and so does whatever has no more rows."""
+
+    terms: DataFrame
+    small: bool
+
+    def with_query(self, table: DataFrame, buckets: int) -> DataFrame:
+        """Rows of a table laid out by block with all terms of their query; the layout is kept."""
+        terms = self.terms.select("query_id", *KEY, "pull")
+        return table.join(F.broadcast(terms), "query_id") if self.small else table.join(terms, "query_id").repartition(buckets, "block")
+
+    def with_term(self, table: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+        """Rows of a table laid out by block with what is asked of their term; the layout is kept."""
+        return table.join(F.broadcast(asked), KEY) if self.small else table.join(asked, KEY).repartition(buckets, "block")
+
+
+def asked_terms(index: TextIndex, queries: DataFrame, threshold: float = THRESHOLD) -> Asked:
+    """The terms of the queries that are not blank, with one floor for all."""
+    vectors, small = query_vectors(index, queries.filter(has_text(F.col("text"))))
+    pull = (F.col("weight") * F.col("idf")).alias("pull")
+    terms = vectors.select("query_id", *KEY, "df", pull, F.lit(float(threshold)).alias("floor"))
+    return Asked(terms, small)
+
+
+def scored(index: TextIndex, pairs: DataFrame, asked: Asked) -> DataFrame:
+    """``block, doc_id, query_id, score`` of the given pairs ``block, doc_id, query_id``, from all their terms."""
+    sought = asked.with_query(pairs, index.n_buckets)
+    met = index.posts.join(sought.hint("shuffle_hash"), ["block", "doc_id", *KEY])
+    sums = met.groupBy("block", "doc_id", "query_id").agg(F.sum(F.col("tf") * F.col("pull") / F.col("norm")).alias("dot"))
+    return sums.select("block", "doc_id", "query_id", F.round("dot", SCORE_DIGITS).alias("score"))
+
+
+def seed_pairs(index: TextIndex, asked: Asked, rows: int = SEED_ROWS) -> DataFrame:
+    """Documents that hold the rarest terms of each query, so many that their rows stay within ``rows``."""
+    upto = F.sum("df").over(W.partitionBy("query_id").orderBy("df", *KEY).rowsBetween(W.unboundedPreceding, 0))
+    rarest = asked.terms.select("query_id", *KEY, upto.alias("upto")).filter(F.col("upto") <= rows).drop("upto")
+    return asked.with_term(index.posts, rarest, index.n_buckets).select("block", "doc_id", "query_id").distinct()
+
+
+def with_floors(index: TextIndex, asked: Asked, k: int, copies: bool) -> Asked:
+    """The asked terms with the score of the k-th answer among the seeds as floor, where that is higher."""
+    if k < 1:
+        return asked
+    found = scored(index, seed_pairs(index, asked), asked)
+    keyed = found.select("query_id", F.col("doc_id").alias("key"), "score") if copies else _with_keys(index, found)
+    best = keyed.groupBy("query_id", "key").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("rank") == k)
+    kth = kth.select("query_id", F.col("score").alias("kth"))
+    raised = asked.terms.join(F.broadcast(kth) if asked.small else kth, "query_id", "left")
+    raised = raised.withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor"))).drop("kth")
+    return Asked(cut_lineage(raised), asked.small)
+
+
+def _with_keys(index: TextIndex, pairs: DataFrame) -> DataFrame:
+    heads = index.heads.select("block", "doc_id", "dedup_key")
+    return pairs.join(heads.hint("shuffle_hash"), ["block", "doc_id"]).select("query_id", F.col("dedup_key").alias("key"), "doc_id", "score")
 
 
-def score_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """Cosine of every query with every document that shares a term with it.
+def candidate_pairs(index: TextIndex, asked: Asked) -> DataFrame:
+    """``block, doc_id, query_id, part, rest, floor``: pairs with a term without which the floor is out of reach.
 
-    The smaller side is broadcast if it is measured to fit; the other side keeps its
-    layout (documents by bucket, queries by id) and the sums need no shuffle. If neither
-    fits, both are shuffled by term, with a salt that cuts up very common terms.
+    In each block a query's terms are passed over, those of the least addition for each of their rows first, as long as their
+    largest additions together stay below the floor. ``part`` is the sum over the other terms, ``rest`` the most that those
+    passed over can add.
     """
-    asked = query_vectors(index, queries).select(
-        "query_id", "term_id", (F.col("weight") * F.col("idf")).alias("asked")
-    )
-    held = index.entries()
-    if asked.count() <= index.n_postings and small_enough(asked):
-        pairs = held.join(F.broadcast(asked), "term_id")
-    elif small_enough(held):
-        pairs = asked.join(F.broadcast(held), "term_id")
-    elif small_enough(asked):
-        pairs = held.join(F.broadcast(asked), "term_id")
-    else:
-        salted, copies = salted_sides(held, asked, ["term_id"], ["doc_id"])
-        pairs = salted.join(copies, ["term_id", "_salt"])
-    sums = pairs.groupBy("bucket", "doc_id", "dedup_key", "norm", "query_id").agg(
-        F.sum(F.col("tf") * F.col("asked")).alias("dot")
-    )
-    score = F.round(F.col("dot") / F.col("norm"), SCORE_DIGITS)
-    return sums.select("bucket", "doc_id", "dedup_key", "query_id", score.alias("score"))
+    bounds = asked.with_term(index.tops, asked.terms.drop("df"), index.n_buckets).withColumn("most", F.col("pull") * F.col("top"))
+    own = W.partitionBy("block", "query_id")
+    upto = F.sum("most").over(own.orderBy(F.col("most") / F.col("n"), *KEY).rowsBetween(W.unboundedPreceding, 0))
+    marked = bounds.withColumn("upto", upto).withColumn("needed", F.col("upto") >= F.col("floor") - _SPARE)
+    marked = marked.withColumn("rest", F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))).over(own), F.lit(0.0)))
+    needed = marked.filter("needed").select("block", *KEY, "query_id", "pull", "floor", "rest")
+    met = index.posts.join(needed.hint("shuffle_hash"), ["block", *KEY])
+    part = F.sum(F.col("tf") * F.col("pull") / F.col("norm")).alias("part")
+    return met.groupBy("block", "doc_id", "query_id").agg(part, F.max("rest").alias("rest"), F.max("floor").alias("floor"))
+
+
+def score_pairs(index: TextIndex, asked: Asked) -> DataFrame:
+    """``block, doc_id, query_id, score`` of every pair that reaches the floor of its query, and of few others."""
+    likely = candidate_pairs(index, asked).filter(F.col("part") + F.col("rest") >= F.col("floor") - _SPARE)
+    return scored(index, likely.select("block", "doc_id", "query_id"), asked)
 
 
 def best_per_key(pairs: DataFrame, *groups: str) -> DataFrame:
@@ -61,16 +134,22 @@ def top_rows(pairs: DataFrame, k: int, *groups: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _hits(index: TextIndex, queries: DataFrame, k: int, threshold: float, copies: bool) -> DataFrame:
+    """``query_id, key, doc_id, score`` of the pairs above the threshold that can be among the best k."""
+    asked = with_floors(index, asked_terms(index, queries, threshold), k, copies)
+    pairs = score_pairs(index, asked).filter(F.col("score") > threshold)
+    if copies:
+        return pairs.select("query_id", F.col("doc_id").alias("key"), "doc_id", "score")
+    return _with_keys(index, pairs)
+
+
 def semantic_search(index: TextIndex, queries: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """``query_id, rank, doc_id, dedup_key, similarity``: the k best distinct answers per query.
 
-    Only scores above ``threshold`` count. A key among the k best overall is among the k
-    best of the bucket that holds its best row, so each bucket first keeps its own k and
-    at most k rows per query and bucket are shuffled.
+    Only scores above ``threshold`` count. Copies of one answer are combined before the shuffle.
     """
-    pairs = score_pairs(index, queries.filter(has_text(F.col("text")))).filter(F.col("score") > threshold)
-    near = top_rows(best_per_key(pairs, "bucket", "query_id"), k, "bucket", "query_id").drop("rank")
-    best = top_rows(best_per_key(near, "query_id"), k, "query_id")
+    pairs = _hits(index, queries, k, threshold, copies=False).withColumnRenamed("key", "dedup_key")
+    best = top_rows(best_per_key(pairs, "query_id"), k, "query_id")
     return best.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "dedup_key", F.col("score").alias("similarity")
     )
@@ -78,9 +157,8 @@ def semantic_search(index: TextIndex, queries: DataFrame, k: int = TOP_K, thresh
 
 def best_documents(index: TextIndex, queries: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """``query_id, rank, doc_id, score``: the k best documents per query, those of one answer each by itself."""
-    pairs = score_pairs(index, queries.filter(has_text(F.col("text")))).filter(F.col("score") > threshold)
-    near = top_rows(pairs, k, "bucket", "query_id").drop("rank")
-    return top_rows(near, k, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    pairs = _hits(index, queries, k, threshold, copies=True)
+    return top_rows(pairs, k, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def query_words(queries: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
@@ -89,76 +167,109 @@ def query_words(queries: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame
     return one_per_row(forms, ["query_id"], long_words(F.col("form"), longer_than), "word")
 
 
-def _token_rows(kb: DataFrame, search_cols: Sequence[str], dedup: Column, longer_than: int) -> DataFrame:
-    """``doc_id, dedup_key, token`` for the distinct tokens of each row that could hold a word.
+@dataclass(frozen=True)
+class WordIndex:
+    """Where words occur, for search by parts of words.
 
-    The lists of tokens are stored without a shuffle, so the text is read once.
+    ``rows``: token, part, dedup_key, doc_id, bucketed by token and part (a hash of the dedup key, so that a common token is
+    many parts). ``pieces``: piece, token for every run of ``longer_than + 1`` characters, bucketed by piece.
     """
-    rows = kb.select("doc_id", dedup.alias("dedup_key"), compose(*[F.col(c) for c in search_cols]).alias("text"))
-    forms = on_all_cores(rows, "doc_id").select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
-    lists = cut_lineage(forms.select("doc_id", "dedup_key", long_words(F.col("form"), longer_than).alias("tokens")))
-    return one_per_row(lists, ["doc_id", "dedup_key"], F.col("tokens"), "token")
-
 
-def tokens_with_words(held: DataFrame, asked: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
-    """``token, word`` for every query word inside a token of the table.
-
-    A word that occurs inside a normalised text lies within one of its tokens, and that
-    token contains the first ``longer_than + 1`` characters of the word. So the distinct
-    tokens and words meet in an equality join on such pieces, and ``contains`` settles
-    the rest.
+    rows: DataFrame
+    pieces: DataFrame
+    longer_than: int
+    n_buckets: int
+    path: str
+
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        bucketed(self.rows, self.n_buckets, f"{path}/rows", ("token", "part"))
+        bucketed(self.pieces, self.n_buckets, f"{path}/pieces", ("piece",))
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema}
+        facts = [(self.longer_than, self.n_buckets, kinds["doc_id"], kinds["dedup_key"])]
+        spark.createDataFrame(facts, "longer_than int, n_buckets int, id string, key string").write.mode("overwrite").parquet(f"{path}/facts")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> WordIndex:
+        facts = spark.read.parquet(f"{path}/facts").first()
+        columns = f"token STRING, part INT, dedup_key {facts['key']}, doc_id {facts['id']}"
+        rows = bucketed_table(spark, f"{path}/rows", columns, facts["n_buckets"], ("token", "part"))
+        pieces = bucketed_table(spark, f"{path}/pieces", "piece STRING, token STRING", facts["n_buckets"], ("piece",))
+        return WordIndex(rows, pieces, facts["longer_than"], facts["n_buckets"], path)
+
+    def drop(self) -> None:
+        """Delete the stored tables, once no search reads them any more."""
+        remove(self.rows.sparkSession, self.path)
+
+
+def build_word_index(
+    kb: DataFrame, search_cols: Sequence[str], dedup_col: str | Column, longer_than: int = LONGER_THAN, buckets: int | None = None
+) -> WordIndex:
+    """Index the words of more than ``longer_than`` characters of every row; the text is read once.
+
+    A query word that occurs in a normalised text lies within one of its tokens, and that token holds the word's first
+    ``longer_than + 1`` characters. Unless given, there are as many buckets as shuffle partitions, and three for each core at least.
+    """
+    spark = kb.sparkSession
+    dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
+    texts = kb.select("doc_id", dedup.alias("dedup_key"), compose(*[F.col(c) for c in search_cols]).alias("text"))
+    forms = on_all_cores(texts, "doc_id").select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
+    rows = one_per_row(forms, ["doc_id", "dedup_key"], long_words(F.col("form"), longer_than), "token")
+    part = F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)).cast("int").alias("part")
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    path = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
+    laid = rows.select("token", part, "dedup_key", "doc_id").repartition(n, "token", "part")
+    held = spark.table(bucketed(laid, n, f"{path}/rows", ("token", "part")))
+    cut = one_per_row(held.select("token").distinct(), ["token"], pieces(F.col("token"), longer_than + 1), "piece")
+    found = spark.table(bucketed(cut.select("piece", "token").repartition(n, "piece"), n, f"{path}/pieces", ("piece",)))
+    return WordIndex(held, found, longer_than, n, path)
+
+
+def tokens_with_words(words: WordIndex, asked: DataFrame, small: bool) -> DataFrame:
+    """``token, word`` for every asked word inside a token of the table.
+
+    Words and tokens meet in an equality join on the word's first characters, and ``contains`` settles the rest.
     """
-    size = longer_than + 1
-    sought = asked.select("word").distinct().select("word", F.substring("word", 1, size).alias("piece"))
-    cut = one_per_row(held.select("token").distinct(), ["token"], pieces(F.col("token"), size), "piece")
-    found = lookup_join(cut, cut_lineage(sought), ["piece"], "inner", ["token"])
+    sought = asked.select("word").distinct().select("word", F.substring("word", 1, words.longer_than + 1).alias("piece"))
+    if small:
+        found = words.pieces.join(F.broadcast(sought), "piece")
+    else:
+        found = lookup_join(words.pieces, cut_lineage(sought), ["piece"], "inner", ["token"])
     return cut_lineage(found.filter(F.contains(F.col("token"), F.col("word"))).select("token", "word"))
 
 
-def _first_rows(rows: DataFrame, k: int, group: str) -> DataFrame:
+def _first_rows(rows: DataFrame, k: int, group: str, part: str = "_part") -> DataFrame:
     """The k keys of each group that come first in the table, each at its first row.
 
     Keys are dealt to parts by their hash and each part keeps its own k, so a group of any
-    size is cut up at any k, and at most ``k * parts`` rows of it meet in one task.
+    size is cut up at any k, and at most ``k * PARTS`` rows of it meet in one task.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = rows.groupBy(group, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
-    first = first.withColumn("_part", F.pmod(F.xxhash64("dedup_key"), F.lit(parts)))
-    for groups in ([group, "_part"], [group]):
+    dealt = rows if part in rows.columns else rows.withColumn(part, F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)))
+    first = dealt.groupBy(group, part, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
+    for groups in ([group, part], [group]):
         order = W.partitionBy(*groups).orderBy("doc_id")
         first = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return first.drop("_part")
+    return first.drop(part)
 
 
-def _no_hits(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    ids, key = (df.schema[0].dataType.simpleString() for df in (queries.select("query_id"), keys))
-    schema = f"query_id {ids}, rank long, doc_id long, dedup_key {key}, similarity double"
-    return queries.sparkSession.createDataFrame([], schema)
-
-
-def keyword_search(
-    kb: DataFrame,
-    queries: DataFrame,
-    search_cols: Sequence[str],
-    dedup_col: str | Column,
-    k: int = TOP_K,
-    longer_than: int = LONGER_THAN,
-) -> DataFrame:
-    """First k distinct answers, in table order, whose text holds a word of the query.
+def keyword_search(words: WordIndex, queries: DataFrame, k: int = TOP_K, copies: bool = False) -> DataFrame:
+    """First k distinct answers, in table order, whose text holds a word of the query; with ``copies`` the first k rows.
 
     An answer among the first k of a query is among the first k of the word it was found
     by, and among the first k of the token that holds this word. So k rows are kept per
-    token, then per word, then per query, and no query is paired with all its matches.
-    Only rows of tokens that hold a word are shuffled.
+    token, then per word, then per query, and no query is paired with all its matches. No text is read, only
+    the rows of tokens that hold a word.
     """
-    dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
-    asked = cut_lineage(query_words(queries, longer_than))
-    if asked.isEmpty():
-        return _no_hits(queries, kb.select(dedup.alias("dedup_key")))
-    held = _token_rows(kb, search_cols, dedup, longer_than)
-    matched = tokens_with_words(held, asked, longer_than)
-    kept = lookup_join(held, cut_lineage(matched.select("token").distinct()), ["token"], "left_semi", ["doc_id"])
-    per_token = cut_lineage(_first_rows(kept, k, "token"))
+    asked = cut_lineage(query_words(queries, words.longer_than))
+    small = small_enough(asked)
+    matched = tokens_with_words(words, asked, small)
+    held = words.rows
+    if copies:
+        held = held.select("token", "doc_id", F.col("doc_id").alias("dedup_key"))
+    tokens = matched.select("token").distinct()
+    kept = held.join(F.broadcast(tokens), "token", "left_semi") if small_enough(matched) else lookup_join(held, cut_lineage(tokens), ["token"], "left_semi", ["doc_id"])
+    part = "_part" if copies else "part"
+    per_token = cut_lineage(_first_rows(kept, k, "token", part))
     per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
     found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
     return _first_rows(found, k, "query_id").select(
@@ -175,21 +286,15 @@ def without_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def cascade_search(
-    index: TextIndex,
-    kb: DataFrame,
-    queries: DataFrame,
-    search_cols: Sequence[str],
-    dedup_col: str | Column,
-    k: int = TOP_K,
-    threshold: float = THRESHOLD,
-    longer_than: int = LONGER_THAN,
+    index: TextIndex, words: WordIndex, queries: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Cosine hits; for queries without any, keyword hits. Adds the column ``method``."""
     # at most k rows per query
-    hits = cut_lineage(semantic_search(index, queries, k, threshold))
-    rest = without_hits(queries.filter(has_text(F.col("text"))), hits)
-    words_found = keyword_search(kb, rest, search_cols, dedup_col, k, longer_than)
-    return hits.withColumn("method", F.lit(SEMANTIC)).unionByName(words_found.withColumn("method", F.lit(KEYWORD)))
+    hits = cut_lineage(semantic_search(index, queries, k, threshold)).withColumn("method", F.lit(SEMANTIC))
+    rest = cut_lineage(without_hits(queries.filter(has_text(F.col("text"))), hits))
+    if rest.isEmpty():
+        return hits
+    return hits.unionByName(keyword_search(words, rest, k).withColumn("method", F.lit(KEYWORD)))
 
 
 def search_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:

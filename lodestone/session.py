@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATH_CONF = "spark.checkpoint.dir"
 _ADAPTIVE_CONF = "spark.sql.adaptive.enabled"
+# Joins on block and term go without an exchange where both sides are laid out by block.
+_CO_PARTITION_CONF = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def local_session(name: str = "lodestone", cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -18,6 +21,7 @@ def local_session(name: str = "lodestone", cpus: int | str = 8, memory: str = "1
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(_CO_PARTITION_CONF, "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -58,3 +62,29 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(_ADAPTIVE_CONF, adaptive)
+
+
+def co_partitioned(spark: SparkSession) -> SparkSession:
+    """Another session of the same application, in which tables laid out by a part of their join keys meet as they are.
+
+    It shares tables and files with the caller's, whose own settings are left alone.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", _ADAPTIVE_CONF):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set(_CO_PARTITION_CONF, "false")
+    return own
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` to a new folder beside the checkpoints and go on from its files; the table and its folder."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.evaluate import evaluate_retrieval, score_points
 from lodestone.plans.index import build_index, index_shape
-from lodestone.plans.search import cascade_search, search_answers, semantic_search
+from lodestone.plans.search import build_word_index, cascade_search, search_answers, semantic_search
 from lodestone.sources.kb import PARITY_ENCODING, read_kb
 
 KB = os.environ.get("PARITY_KB", "")
@@ -81,7 +81,7 @@ def test_published_confusion(spark, index):
 
 def test_cascade_label_without_any_hit(spark, kb, index):
     queries = _queries(spark, ["vpn corporativa", "impressora com defeito"])
-    hits = cascade_search(index, kb, queries, ["category", "rule"], "rule")
+    hits = cascade_search(index, build_word_index(kb, ["category", "rule"], "rule"), queries)
     got = {r["query_id"]: (r["method"], r["n_hits"]) for r in search_answers(queries, hits).collect()}
     assert got["impressora com defeito"] == ("semantica", 3)
     assert got["vpn corporativa"][0] == "palavra_chave"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.plans import answers as A
 from lodestone.plans.evaluate import evaluate_intent, intent_table
 from lodestone.plans.index import build_index
+from lodestone.plans.search import build_word_index
 from lodestone.plans.intent import DEFAULT_LEXICON, GOODBYE, GREETING, THANKS, Lexicon, classify_intent
 
 # Published phrases and the class each of them gets.
@@ -78,7 +79,8 @@ def messages(spark):
 
 
 def test_answer_batch(messages, index, kb):
-    got = {r["query_id"]: r for r in A.answer_batch(messages, index, kb, ["category", "rule"], "rule").collect()}
+    words = build_word_index(kb, ["category", "rule"], "rule")
+    got = {r["query_id"]: r for r in A.answer_batch(messages, index, words, kb).collect()}
     assert len(got) == 7
     assert (got[1]["status"], got[1]["method"], got[1]["intent"]) == ("ok", "cortesia", GREETING)
     assert got[1]["reply"] == A.REPLIES[GREETING] and got[1]["n_hits"] == 0
@@ -91,8 +93,10 @@ def test_answer_batch(messages, index, kb):
 
 
 def test_no_knowledge_base(messages):
-    answers = A.answer_batch(messages, None, None, ["category"], "rule")
-    got = {r["query_id"]: r["status"] for r in answers.collect()}
+    answers = A.answer_batch(messages, None, None, None)
+    rows = answers.collect()
+    got = {r["query_id"]: r["status"] for r in rows}
+    assert {r["query_id"]: r["reply"] for r in rows}[3] == A.NO_KB
     assert got[1] == "ok" and got[2] == "empty_query" and got[3] == "kb_unavailable"
     log = A.request_events(answers, F.current_timestamp(), F.lit(1.23456)).collect()
     assert len(log) == 6

@@ -1,4 +1,3 @@
-import dataclasses
 import math
 import random
 from collections import Counter
@@ -6,8 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
+from lodestone.catalog import views
 from lodestone.operators.sizing import BROADCAST_CONF
-from lodestone.plans import search as S
+from lodestone.plans import index as ix, search as S
 from lodestone.plans.index import TextIndex, build_index, corpus_terms, index_shape
 
 WORDS = "casa rede wifi senha cabo mesa conta login lento erro tela impressora roteador cartao porta b 7".split()
@@ -130,45 +131,90 @@ def test_semantic_search(index, asked, texts, k, threshold):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits], abs=1e-9)
 
 
-def test_both_large_sides_give_the_same(spark, index, asked):
+def test_large_batches_give_the_same(spark, index, asked):
     want = _by_query(S.semantic_search(index, asked, 4))
     spark.conf.set(BROADCAST_CONF, "-1")
     try:
-        salted = S.semantic_search(index, asked, 4)
-        assert "_salt" in salted._jdf.queryExecution().toString()
-        assert _by_query(salted) == want
+        assert not S.asked_terms(index, asked).small
+        assert _by_query(S.semantic_search(index, asked, 4)) == want
     finally:
         spark.conf.unset(BROADCAST_CONF)
 
 
-def test_many_queries_over_a_small_index(spark, index, asked, monkeypatch):
-    want = _by_query(S.semantic_search(index, asked, 4))
-    answers = iter([True])  # more query terms than postings, and the documents fit
-    index = dataclasses.replace(index, n_postings=1)
-    real = S.score_pairs.__globals__["small_enough"]
-    calls = []
+def test_scores_of_all_pairs_above_the_threshold(index, asked, texts):
+    brute, found = Brute(texts), {}
+    for r in S.score_pairs(index, S.asked_terms(index, asked, 0.3)).filter("score > 0.3").collect():
+        found[r["query_id"], r["doc_id"]] = r["score"]
+    want = {}
+    for r in asked.collect():
+        want |= {(r["query_id"], i): s for i, s in brute.search(r["text"], range(len(texts)), 10**9, 0.3)}
+    assert found == pytest.approx(want, abs=1e-9) and len(found) > 100
+
+
+def _pairs_formed(index, asked):
+    return S.seed_pairs(index, asked).count() + S.candidate_pairs(index, S.with_floors(index, asked, 3, False)).count()
+
+
+def test_few_of_the_pairs_are_formed(spark):
+    """Long texts of common words, each with a few rare ones; a query asks for both."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join([*rng.choices(common, k=rng.randrange(5, 60)), *(f"r{rng.randrange(900)}" for _ in range(8))]) for _ in range(1200)]
+    kb = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, rule string")
+    index = build_index(kb, ["rule"], "rule", span=(1, 1), buckets=4)
+    made = [" ".join([*rng.choices(common, k=6), *t.split()[-5:]]) for t in rng.sample(texts, 30)]
+    queries = spark.createDataFrame(list(enumerate(made)), "query_id long, text string")
+    asked = S.asked_terms(index, queries)
+    all_pairs = asked.terms.join(index.posts, ["a", "b"]).select("query_id", "doc_id").distinct().count()
+    assert _pairs_formed(index, asked) < all_pairs / 3
+    brute = Brute(texts, (1, 1), 10**9)
+    got = _by_query(S.semantic_search(index, queries))
+    for q, text in enumerate(made):
+        assert got[q] == [(i, pytest.approx(s, abs=1e-9)) for i, s in brute.search(text, texts)]
+
+
+def test_pairs_formed_over_the_given_tables(spark):
+    if not (DATA / "sf0.1").exists():
+        pytest.skip("the given tables are not here")
+    index = views.index_of(spark, str(DATA / "sf0.1"))
+    asked = S.asked_terms(index, views.questions(spark, str(DATA / "sf0.1")))
+    # 1.5 million of the 2 million pairs share a term
+    assert _pairs_formed(index, asked) < 143_000
+
+
+def test_search_moves_no_postings(index, asked):
+    terms = S.asked_terms(index, asked)
+    plan = S.score_pairs(index, terms)._jdf.queryExecution().executedPlan().toString()
+    # tables by block meet as they are stored; only what is asked is sent around
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
-    def sized(df):
-        if "asked" in df.columns or "bucket" in df.columns:
-            calls.append(df.columns)
-            return next(answers)
-        return real(df)
 
-    monkeypatch.setattr(S, "small_enough", sized)
-    assert _by_query(S.semantic_search(index, asked, 4)) == want
-    assert len(calls) == 1
+def test_index_is_built_with_one_exchange_of_postings(spark, kb, monkeypatch):
+    plans = []
+    real = ix.bucketed
 
+    def kept(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args)
 
-def test_scoring_shuffles_only_the_bucket_winners(index, asked):
-    plan = S.semantic_search(index, asked)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(ix, "bucketed", kept)
+    build_index(kb, ["rule"], "rule", buckets=3)
+    posts, heads, tops = plans
+    assert "Exchange" not in tops
+    by_row = [line for line in posts.splitlines() if "Exchange hashpartitioning(block" in line and "REPARTITION" in line]
+    # the rows with their terms (again for the terms of each block: the same exchange); the terms that come back do so if they left
+    assert len(by_row) in (2, 3) and posts.count("Exchange hashpartitioning(term") == 0
+    # nothing is joined by the text of a term
+    assert not any("Join" in line and "term" in line for line in posts.splitlines())
 
 
 def test_saved_index_searches_the_same(spark, index, asked, tmp_path):
     index.save(str(tmp_path / "ix"))
     again = TextIndex.load(spark, str(tmp_path / "ix"))
     assert again.n_docs == index.n_docs
+    for frame in (again.posts.groupBy("block", "doc_id").count(), again.posts.join(again.tops.hint("shuffle_hash"), ["block", "a", "b"])):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
     assert _by_query(S.semantic_search(again, asked)) == _by_query(S.semantic_search(index, asked))
 
 
@@ -188,18 +234,30 @@ def test_keyword_search(spark, kb, asked, texts, k, fits):
     if not fits:
         spark.conf.set(BROADCAST_CONF, "-1")
     try:
-        got = _by_query(S.keyword_search(kb, asked, ["category", "rule"], "rule", k))
+        got = _by_query(S.keyword_search(S.build_word_index(kb, ["category", "rule"], "rule"), asked, k))
     finally:
         spark.conf.unset(BROADCAST_CONF)
     want = {r["query_id"]: _keyword_brute(texts, r["text"], k) for r in asked.collect()}
     assert {q: [i for i, _ in hits] for q, hits in got.items()} == {q: h for q, h in want.items() if h}
 
 
+def test_saved_words_search_the_same_and_read_no_text(spark, kb, asked, tmp_path):
+    words = S.build_word_index(kb, ["category", "rule"], "rule")
+    words.save(str(tmp_path / "words"))
+    again = S.WordIndex.load(spark, str(tmp_path / "words"))
+    got = S.keyword_search(again, asked)
+    assert _by_query(got) == _by_query(S.keyword_search(words, asked))
+    part = S._first_rows(again.rows, 3, "token", "part")._jdf.queryExecution().executedPlan().toString()
+    assert part.count("Exchange") == 1  # from the parts of a token to the token
+    words.drop()
+    assert _by_query(S.keyword_search(again, asked)).keys()
+
+
 def test_keyword_search_past_a_run_of_copies(spark):
     texts = ["rede lenta"] * 30 + ["rede nova", "rede lenta hoje", "outra rede"]
     kb = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, category string, rule string")
     asked = spark.createDataFrame([(1, "rede"), (2, "nova")], "query_id long, text string")
-    hits = _by_query(S.keyword_search(kb, asked, ["category", "rule"], "rule", 3))
+    hits = _by_query(S.keyword_search(S.build_word_index(kb, ["category", "rule"], "rule"), asked, 3))
     assert {q: [i for i, _ in h] for q, h in hits.items()} == {1: [0, 30, 31], 2: [30]}
 
 
@@ -208,8 +266,9 @@ def test_a_hot_token_is_cut_up_at_any_k(spark):
     texts = [f"rede {i}" for i in range(3000)]
     kb = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, category string, rule string")
     asked = spark.createDataFrame([(1, "rede")], "query_id long, text string")
+    words = S.build_word_index(kb, ["category", "rule"], "rule")
     for k in (500, 2000):
-        hits = S.keyword_search(kb, asked, ["category", "rule"], "rule", k)
+        hits = S.keyword_search(words, asked, k)
         assert [i for i, _ in _by_query(hits)[1]] == list(range(k))
     rows = kb.select("doc_id", F.col("rule").alias("dedup_key"), F.col("category").alias("token"))
     plan = S._first_rows(rows, 2000, "token")._jdf.queryExecution().optimizedPlan().toString()
@@ -227,12 +286,12 @@ def test_best_documents_keep_copies(index, asked, texts):
 
 
 def test_keyword_plan_has_no_pairwise_join(kb, asked):
-    plan = S.keyword_search(kb, asked, ["category", "rule"], "rule")._jdf.queryExecution().toString()
+    plan = S.keyword_search(S.build_word_index(kb, ["category", "rule"], "rule"), asked)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_cascade(kb, index, asked, texts):
-    hits = S.cascade_search(index, kb, asked, ["category", "rule"], "rule")
+    hits = S.cascade_search(index, S.build_word_index(kb, ["category", "rule"], "rule"), asked)
     answers = {r["query_id"]: r for r in S.search_answers(asked, hits).collect()}
     assert len(answers) == asked.count()
     by_text = {r["text"]: answers[r["query_id"]] for r in asked.collect()}
