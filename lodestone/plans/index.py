@@ -28,10 +28,10 @@ SPAN = (1, 2)
 KEY = ["a", "b"]
 # Documents of one block, and tokens of a block of long ones.
 BLOCK_DOCS = 32
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 15
 # Lengths in one block differ by a factor of 2 ** (1 / LENGTH_STEPS) at most.
 LENGTH_STEPS = 4
-_CLASS_BITS = 40
+_CLASS_BITS = 24
 # Stored bytes of one bucket, about, and of one posting.
 BUCKET_BYTES = 64 * 1024 * 1024
 _POSTING_BYTES = 24
@@ -40,9 +40,9 @@ _BINS = 4096
 
 _TABLES = ("heads", "posts", "tops")
 _SCHEMAS = {
-    "heads": "block BIGINT, doc_id {id}, dedup_key {key}, norm DOUBLE, n_terms INT",
-    "posts": "block BIGINT, doc_id {id}, norm DOUBLE, a BIGINT, b BIGINT, tf BIGINT",
-    "tops": "block BIGINT, a BIGINT, b BIGINT, top DOUBLE, n BIGINT",
+    "heads": "block INT, doc_id {id}, dedup_key {key}, norm DOUBLE, n_terms INT",
+    "posts": "block INT, doc_id {id}, norm DOUBLE, a BIGINT, b BIGINT, tf BIGINT",
+    "tops": "block INT, a BIGINT, b BIGINT, top DOUBLE, n BIGINT",
 }
 
 
@@ -51,6 +51,38 @@ def term_key(term: Column) -> list[Column]:
     return [F.xxhash64(term).alias("a"), F.xxhash64(F.lit(7), term).alias("b")]
 
 
+def _same(names: Sequence[str]) -> Column:
+    """Whether longs on both sides (``_``: the other one) are equal, said so that the join does not hash them all."""
+    differ = F.lit(0).cast("long")
+    for n in names:
+        differ = differ.bitwiseOR(F.col(n).bitwiseXOR(F.col(f"_{n}")))
+    return differ == 0
+
+
+def with_terms(table: DataFrame, asked: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Rows of a table with what is asked of their term. A small table of what is asked is broadcast, keyed by one long."""
+    if not small:
+        return table.join(asked, KEY, how)
+    other = asked.withColumnsRenamed({c: f"_{c}" for c in KEY})
+    met = table.join(F.broadcast(other), (F.col("a") == F.col("_a")) & _same(["b"]), how)
+    return met if how == "left_semi" else met.drop("_a", "_b")
+
+
+def within_blocks(posts: DataFrame, sought: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Postings with the rows of ``sought`` of the same block and ``on``, block by block, without an exchange of postings.
+
+    The key of the hash table is one long made of the block and half of a hash; the rest is compared.
+    """
+    left = posts.withColumn("_h", F.hash(*on))
+    right = sought.withColumn("_g", F.hash(*on)).withColumnsRenamed({c: f"_{c}" for c in ("block", *on)}).hint("shuffle_hash")
+    same = _same([c for c in on if c in KEY])
+    for c in on:
+        if c not in KEY:  # of any type; two bounds, as an equation would become a key
+            same = same & (F.col(c) >= F.col(f"_{c}")) & (F.col(c) <= F.col(f"_{c}"))
+    met = left.join(right, (F.col("block") == F.col("_block")) & (F.col("_h") == F.col("_g")) & same)
+    return met.drop("_h", "_g", *[f"_{c}" for c in ("block", *on)])
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """``heads``: block, doc_id, dedup_key, norm, n_terms; ``posts``: block, doc_id, norm, a, b, tf; ``vocab``: term, a, b, tf, df, idf.
@@ -220,9 +252,9 @@ def _block(lengths: dict[int, tuple[int, int]]) -> Column:
     parts = []
     for own, (docs, toks) in sorted(lengths.items()):
         per_block = max(1, min(BLOCK_DOCS, BLOCK_TOKENS * docs // max(1, toks)))
-        parts += [F.lit(own), F.lit(max(1, -(-docs // per_block)))]
+        parts += [F.lit(own), F.lit(min(1 << _CLASS_BITS, max(1, -(-docs // per_block))))]
     many = F.element_at(F.create_map(*parts), _length_class()) if parts else F.lit(1)
-    return F.shiftleft(_length_class().cast("long"), _CLASS_BITS) + F.pmod(F.xxhash64("doc_id"), many)
+    return F.shiftleft(_length_class(), _CLASS_BITS) + F.pmod(F.xxhash64("doc_id"), many).cast("int")
 
 
 def _length_class() -> Column:
@@ -288,21 +320,22 @@ def build_index(
     return TextIndex(*[spark.table(t) for t in (heads, posts, tops)], spark.read.parquet(f"{path}/vocab"), n_docs, n_postings, buckets, (span[0], span[1]), path)
 
 
-def query_vectors(index: TextIndex, queries: DataFrame) -> tuple[DataFrame, bool]:
+def query_vectors(index: TextIndex, queries: DataFrame) -> tuple[DataFrame, int]:
     """``query_id, a, b, tf, df, idf, weight`` for the vocabulary terms of each query text.
 
-    Also whether the table is small enough to be broadcast, as measured on all terms of the queries, known or not.
+    Also the bytes of such a table, measured on all terms of the queries, known or not.
     """
     bags = term_counts(on_all_cores(queries, "query_id"), ["query_id"], index.span)
     rows = fields_per_row(bags, ["query_id"], F.col("bag"), "term").select("query_id", *term_key(F.col("term")), "tf")
     rows = cut_lineage(rows)
-    small = 2 * measured_bytes(rows) <= broadcast_limit(rows)  # the table has not twice as many columns
+    size = 2 * measured_bytes(rows)  # the table has not twice as many columns
+    small = size <= broadcast_limit(rows)
     asked = rows.select(*KEY).distinct()
-    held = index.vocab.select(*KEY, "df", "idf").join(F.broadcast(asked) if small else asked, KEY, "left_semi")
+    held = with_terms(index.vocab.select(*KEY, "df", "idf"), asked, small, "left_semi")
     known = rows.join(F.broadcast(held), KEY) if small else lookup_join(rows, cut_lineage(held), KEY, "inner", ["query_id"])
     w = F.col("tf") * F.col("idf")
     scaled = w / F.sqrt(F.sum(w * w).over(W.partitionBy("query_id")))
-    return cut_lineage(known.select("query_id", *KEY, "tf", "df", "idf", scaled.alias("weight"))), small
+    return cut_lineage(known.select("query_id", *KEY, "tf", "df", "idf", scaled.alias("weight"))), size
 
 
 def index_shape(index: TextIndex) -> DataFrame:

@@ -1,6 +1,7 @@
 """Search over a batch of queries: cosine top-k, keyword fallback, and the two in a row.
 
-The cosine search scores few of the pairs that share a term. Some documents that hold a query's rarest terms are scored
+A batch of queries that meets few postings is scored where they lie. For a larger one the cosine search
+scores few of the pairs that share a term. Some documents that hold a query's rarest terms are scored
 first; the score of the k-th answer among them is a floor that every hit has to reach. For each block of documents the index knows the
 largest weight of every term, and so the most that a term can add there. Terms whose largest additions together
 stay below the floor cannot make a hit by themselves, so only documents that hold one of the others become candidates, and only
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
-from lodestone.operators.sizing import lookup_join, on_all_cores, small_enough
-from lodestone.plans.index import KEY, TextIndex, bucketed, bucketed_table, query_vectors
+from lodestone.operators.sizing import broadcast_limit, lookup_join, on_all_cores, small_enough
+from lodestone.plans.index import KEY, TextIndex, bucketed, bucketed_table, query_vectors, with_terms, within_blocks
 from lodestone.session import checkpoint_dir, cut_lineage, remove
 
 # Defaults and method labels that results have to carry.
@@ -34,6 +35,10 @@ SCORE_DIGITS = 10
 _SPARE = 1e-9
 # Parts that the answers of one token, word or query are dealt to.
 PARTS = 64
+# Postings that a batch may meet, for each core, before bounds are worked out first.
+PLAIN_ROWS = 10_000_000
+# Size of a posting as :func:`measured_bytes` counts.
+_POSTING_BYTES = 96
 # Rows of a query's rarest terms that are scored for its floor. They only decide how much is passed over.
 SEED_ROWS = 200
 
@@ -41,10 +46,16 @@ SEED_ROWS = 200
 @dataclass(frozen=True)
 class Asked:
     """``terms``: query_id, a, b, df, pull, floor, where ``pull`` is what one tf / norm of the term adds to a score and ``floor`` the
-    least score asked for. ``small``: measured to fit a broadcast, and so does whatever has no more rows."""
+    least score asked for. ``bytes``: their measured size. ``small``: whether they, or what has no more rows, are broadcast. ``rows``: how
+    many postings they meet in all."""
 
     terms: DataFrame
-    small: bool
+    bytes: int
+    rows: int
+
+    @property
+    def small(self) -> bool:
+        return self.bytes <= broadcast_limit(self.terms)
 
     def with_query(self, table: DataFrame, buckets: int) -> DataFrame:
         """Rows of a table laid out by block with all terms of their query; the layout is kept."""
@@ -53,27 +64,34 @@ class Asked:
 
     def with_term(self, table: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
         """Rows of a table laid out by block with what is asked of their term; the layout is kept."""
-        return table.join(F.broadcast(asked), KEY) if self.small else table.join(asked, KEY).repartition(buckets, "block")
+        met = with_terms(table, asked, self.small)
+        return met if self.small else met.repartition(buckets, "block")
 
 
 def asked_terms(index: TextIndex, queries: DataFrame, threshold: float = THRESHOLD) -> Asked:
     """The terms of the queries that are not blank, with one floor for all."""
-    vectors, small = query_vectors(index, queries.filter(has_text(F.col("text"))))
+    vectors, size = query_vectors(index, queries.filter(has_text(F.col("text"))))
     pull = (F.col("weight") * F.col("idf")).alias("pull")
-    terms = vectors.select("query_id", *KEY, "df", pull, F.lit(float(threshold)).alias("floor"))
-    return Asked(terms, small)
+    rows = vectors.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+    return Asked(vectors.select("query_id", *KEY, "df", pull, F.lit(float(threshold)).alias("floor")), size, rows)
+
+
+def _added() -> Column:
+    return F.sum(F.col("tf") * F.col("pull") / F.col("norm"))
+
+
+def _rounded(dots: DataFrame) -> DataFrame:
+    return dots.select("block", "doc_id", "query_id", F.round("dot", SCORE_DIGITS).alias("score"))
 
 
 def scored(index: TextIndex, pairs: DataFrame, asked: Asked) -> DataFrame:
     """``block, doc_id, query_id, score`` of the given pairs ``block, doc_id, query_id``, from all their terms."""
-    sought = asked.with_query(pairs, index.n_buckets)
-    met = index.posts.join(sought.hint("shuffle_hash"), ["block", "doc_id", *KEY])
-    sums = met.groupBy("block", "doc_id", "query_id").agg(F.sum(F.col("tf") * F.col("pull") / F.col("norm")).alias("dot"))
-    return sums.select("block", "doc_id", "query_id", F.round("dot", SCORE_DIGITS).alias("score"))
+    met = within_blocks(index.posts, asked.with_query(pairs, index.n_buckets), ["doc_id", *KEY])
+    return _rounded(met.groupBy("block", "doc_id", "query_id").agg(_added().alias("dot")))
 
 
 def seed_pairs(index: TextIndex, asked: Asked, rows: int = SEED_ROWS) -> DataFrame:
-    """Documents that hold the rarest terms of each query, so many that their rows stay within ``rows``."""
+    """``block, doc_id, query_id``: documents that hold the rarest terms of each query, so many that their rows stay within ``rows``."""
     upto = F.sum("df").over(W.partitionBy("query_id").orderBy("df", *KEY).rowsBetween(W.unboundedPreceding, 0))
     rarest = asked.terms.select("query_id", *KEY, upto.alias("upto")).filter(F.col("upto") <= rows).drop("upto")
     return asked.with_term(index.posts, rarest, index.n_buckets).select("block", "doc_id", "query_id").distinct()
@@ -84,19 +102,19 @@ def with_floors(index: TextIndex, asked: Asked, k: int, copies: bool) -> Asked:
     if k < 1:
         return asked
     found = scored(index, seed_pairs(index, asked), asked)
-    keyed = found.select("query_id", F.col("doc_id").alias("key"), "score") if copies else _with_keys(index, found)
+    keyed = found.withColumn("key", F.col("doc_id")) if copies else _with_keys(index, found)
     best = keyed.groupBy("query_id", "key").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"))
     kth = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("rank") == k)
     kth = kth.select("query_id", F.col("score").alias("kth"))
     raised = asked.terms.join(F.broadcast(kth) if asked.small else kth, "query_id", "left")
     raised = raised.withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor"))).drop("kth")
-    return Asked(cut_lineage(raised), asked.small)
+    return Asked(cut_lineage(raised), asked.bytes, asked.rows)
 
 
 def _with_keys(index: TextIndex, pairs: DataFrame) -> DataFrame:
-    heads = index.heads.select("block", "doc_id", "dedup_key")
-    return pairs.join(heads.hint("shuffle_hash"), ["block", "doc_id"]).select("query_id", F.col("dedup_key").alias("key"), "doc_id", "score")
+    heads = index.heads.select("block", "doc_id", F.col("dedup_key").alias("key"))
+    return pairs.join(heads.hint("shuffle_hash"), ["block", "doc_id"])
 
 
 def candidate_pairs(index: TextIndex, asked: Asked) -> DataFrame:
@@ -108,19 +126,31 @@ def candidate_pairs(index: TextIndex, asked: Asked) -> DataFrame:
     """
     bounds = asked.with_term(index.tops, asked.terms.drop("df"), index.n_buckets).withColumn("most", F.col("pull") * F.col("top"))
     own = W.partitionBy("block", "query_id")
-    upto = F.sum("most").over(own.orderBy(F.col("most") / F.col("n"), *KEY).rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("most").over(own.orderBy(F.col("most") / F.col("n"), "a").rowsBetween(W.unboundedPreceding, 0))
     marked = bounds.withColumn("upto", upto).withColumn("needed", F.col("upto") >= F.col("floor") - _SPARE)
     marked = marked.withColumn("rest", F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))).over(own), F.lit(0.0)))
     needed = marked.filter("needed").select("block", *KEY, "query_id", "pull", "floor", "rest")
-    met = index.posts.join(needed.hint("shuffle_hash"), ["block", *KEY])
-    part = F.sum(F.col("tf") * F.col("pull") / F.col("norm")).alias("part")
-    return met.groupBy("block", "doc_id", "query_id").agg(part, F.max("rest").alias("rest"), F.max("floor").alias("floor"))
+    met = within_blocks(index.posts, needed, KEY)
+    return met.groupBy("block", "doc_id", "query_id").agg(_added().alias("part"), F.max("rest").alias("rest"), F.max("floor").alias("floor"))
+
+
+def _few(index: TextIndex, asked: Asked) -> bool:
+    """Whether the postings that the asked terms meet are fewer than bounds would pay for, or as few as an index that is broadcast has."""
+    cores = index.posts.sparkSession.sparkContext.defaultParallelism
+    return asked.small and asked.rows <= PLAIN_ROWS * cores or index.n_postings * _POSTING_BYTES <= min(asked.bytes, broadcast_limit(asked.terms))
 
 
 def score_pairs(index: TextIndex, asked: Asked) -> DataFrame:
-    """``block, doc_id, query_id, score`` of every pair that reaches the floor of its query, and of few others."""
-    likely = candidate_pairs(index, asked).filter(F.col("part") + F.col("rest") >= F.col("floor") - _SPARE)
-    return scored(index, likely.select("block", "doc_id", "query_id"), asked)
+    """``block, doc_id, query_id, score`` of every pair that reaches the floor of its query, and of others.
+
+    The same scores in either way. A batch that meets few postings is summed up as it is, where the postings lie. For a larger one, bounds
+    tell which pairs to score.
+    """
+    if not _few(index, asked):
+        likely = candidate_pairs(index, asked).filter(F.col("part") + F.col("rest") >= F.col("floor") - _SPARE)
+        return scored(index, likely.select("block", "doc_id", "query_id"), asked)
+    met = asked.with_term(index.posts, asked.terms, index.n_buckets) if asked.small else with_terms(asked.terms, index.posts, True)
+    return _rounded(met.groupBy("block", "doc_id", "query_id").agg(_added().alias("dot")))
 
 
 def best_per_key(pairs: DataFrame, *groups: str) -> DataFrame:
@@ -136,11 +166,13 @@ def top_rows(pairs: DataFrame, k: int, *groups: str) -> DataFrame:
 
 def _hits(index: TextIndex, queries: DataFrame, k: int, threshold: float, copies: bool) -> DataFrame:
     """``query_id, key, doc_id, score`` of the pairs above the threshold that can be among the best k."""
-    asked = with_floors(index, asked_terms(index, queries, threshold), k, copies)
+    asked = asked_terms(index, queries, threshold)
+    if not _few(index, asked):
+        asked = with_floors(index, asked, k, copies)
     pairs = score_pairs(index, asked).filter(F.col("score") > threshold)
     if copies:
         return pairs.select("query_id", F.col("doc_id").alias("key"), "doc_id", "score")
-    return _with_keys(index, pairs)
+    return _with_keys(index, pairs).select("query_id", "key", "doc_id", "score")
 
 
 def semantic_search(index: TextIndex, queries: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:

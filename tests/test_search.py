@@ -117,8 +117,18 @@ def _by_query(hits):
     return out
 
 
+@pytest.fixture
+def bounded(monkeypatch):
+    """Every batch goes by bounds."""
+    monkeypatch.setattr(S, "PLAIN_ROWS", -1)
+    monkeypatch.setattr(S, "_POSTING_BYTES", 1 << 40)
+
+
+@pytest.mark.parametrize("bounds", [True, False])
 @pytest.mark.parametrize("k,threshold", [(3, 0.05), (1, 0.05), (5, 0.3), (200, 0.0), (0, 0.05)])
-def test_semantic_search(index, asked, texts, k, threshold):
+def test_semantic_search(request, index, asked, texts, k, threshold, bounds):
+    if bounds:
+        request.getfixturevalue("bounded")
     want, brute = {}, Brute(texts)
     for r in asked.collect():
         hits = brute.search(r["text"], texts, k, threshold)
@@ -131,7 +141,7 @@ def test_semantic_search(index, asked, texts, k, threshold):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits], abs=1e-9)
 
 
-def test_large_batches_give_the_same(spark, index, asked):
+def test_large_batches_give_the_same(spark, index, asked, bounded):
     want = _by_query(S.semantic_search(index, asked, 4))
     spark.conf.set(BROADCAST_CONF, "-1")
     try:
@@ -141,7 +151,16 @@ def test_large_batches_give_the_same(spark, index, asked):
         spark.conf.unset(BROADCAST_CONF)
 
 
-def test_scores_of_all_pairs_above_the_threshold(index, asked, texts):
+def test_more_questions_than_postings(index, asked, texts, monkeypatch):
+    want = _by_query(S.semantic_search(index, asked, 4))
+    monkeypatch.setattr(S, "PLAIN_ROWS", -1)
+    monkeypatch.setattr(S, "_POSTING_BYTES", 0)
+    terms = S.asked_terms(index, asked)
+    assert "BroadcastHashJoin" in S.score_pairs(index, terms)._jdf.queryExecution().executedPlan().toString()
+    assert _by_query(S.semantic_search(index, asked, 4)) == want
+
+
+def test_scores_of_all_pairs_above_the_threshold(index, asked, texts, bounded):
     brute, found = Brute(texts), {}
     for r in S.score_pairs(index, S.asked_terms(index, asked, 0.3)).filter("score > 0.3").collect():
         found[r["query_id"], r["doc_id"]] = r["score"]
@@ -155,7 +174,7 @@ def _pairs_formed(index, asked):
     return S.seed_pairs(index, asked).count() + S.candidate_pairs(index, S.with_floors(index, asked, 3, False)).count()
 
 
-def test_few_of_the_pairs_are_formed(spark):
+def test_few_of_the_pairs_are_formed(spark, bounded):
     """Long texts of common words, each with a few rare ones; a query asks for both."""
     rng = random.Random(3)
     common = [f"c{i}" for i in range(40)]
@@ -182,7 +201,9 @@ def test_pairs_formed_over_the_given_tables(spark):
     assert _pairs_formed(index, asked) < 143_000
 
 
-def test_search_moves_no_postings(index, asked):
+@pytest.mark.parametrize("plain", [10**9, -1])
+def test_search_moves_no_postings(index, asked, bounded, monkeypatch, plain):
+    monkeypatch.setattr(S, "PLAIN_ROWS", plain)
     terms = S.asked_terms(index, asked)
     plan = S.score_pairs(index, terms)._jdf.queryExecution().executedPlan().toString()
     # tables by block meet as they are stored; only what is asked is sent around
