@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from lodestone.session import checkpoint_dir
+from lodestone.session import remove, written
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -19,7 +20,8 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 BUCKET_ROWS = 200_000
 
 
-_written: list[str] = []
+# The folders of the steps written inside the innermost ``steps``, which deletes them.
+_own: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -28,20 +30,26 @@ def stored(df: DataFrame) -> DataFrame:
     ``checkpoint()`` would work out the last stage twice. Neither lineage nor the executors
     that wrote the files are needed afterwards.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_stored(spark: SparkSession, but_last: bool = False) -> None:
-    """Delete the stored steps so far, but for the last one if asked, once nothing reads them any more."""
-    gone = _written[:-1] if but_last else _written[:]
-    for name in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(name)
+    held, path = written(df)
+    if (own := _own.get()) is not None:
+        own.append(path)
+    return held
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Steps stored inside belong to this block and are deleted at its end; those of others are left alone.
+
+    Whatever is to be read later has to be written by then.
+    """
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield
+    finally:
+        _own.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
 def text_key(text: str = "text") -> Column:

@@ -8,8 +8,10 @@ therefore a part together with all that a document holds of it; documents meet o
 within a block. For small sets (D up to 1) a block is the set, whole or without one of its n-grams.
 An n-gram that many documents share thus makes no large block by itself.
 
-Documents with equal sets are one class. Within a block every class is first held against
-its head, the class that shares most blocks. Where the members of a head are still in
+Documents with equal sets are one class. Every class is first held against one head of its blocks, the class that shares most; that
+joins most groups. In blocks whose members are still in several components these are compared with each other, all in one task if the block has
+a bounded number of members; in a larger one every class is held against the head. Only pairs whose sketches differ in few enough bits are compared by
+their sets: a sketch has the parity of the number of n-grams on each of its bits, so it never differs in more bits than the sets in n-grams. Where the members of a head are still in
 several components, the product is repeated over what sets them apart from the head: two
 members x and y of head h differ in as many n-grams as x ^ h and y ^ h do, so unless one
 component holds both, these differences must overlap by a bound that again follows from the
@@ -20,6 +22,7 @@ pair ends in one component.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -29,18 +32,25 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm.common import stored, with_text_columns
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import UNSPACED, lists, mix, slices, words_of
+from lodestone.operators.sizing import small_enough
 
 GRAM = 3
 # The bound, as percent.
 PERCENT = 90
 # Sizes in one class differ by this factor at most.
 SIZE_STEP = 1.4
+# Words of 64 bits of the smallest sketch, and n-grams for each word of a larger one (a power of two). Two sets differ in
+# at least as many n-grams as their sketches in bits.
+SKETCH_WORDS = 16
+SKETCH_STEP = 32
+# Members of a block up to which one task compares them by their sketches; a larger one goes by its head.
+PAIRED = 512
 # Up to this difference a block is a set without one member. With 2 it would not do: a set and
 # the same with two more members share no such block.
 FEW = 1
 
 SETS = [pa.field("n_shingles", pa.int64()), pa.field("k1", pa.int64()), pa.field("k2", pa.int64())]
-BLOCKS = [*SETS, pa.field("blocks", pa.list_(pa.int64()))]
+BLOCKS = [*SETS, pa.field("sketch", pa.list_(pa.int64())), pa.field("blocks", pa.list_(pa.int64()))]
 GRAMS = [*SETS, pa.field("grams", pa.list_(pa.int64()))]
 
 
@@ -146,18 +156,34 @@ def _blocks(text: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, percent: in
     return text[order], block[order]
 
 
+def _sketches(text: np.ndarray, hashed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an even or odd number of a text's n-grams falls on each bit, as words end to end; and their number for each text.
+
+    Half a sketch laid over the other half is the sketch of half the size.
+    """
+    words = np.maximum(SKETCH_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / SKETCH_STEP)).clip(0).astype(np.int64))
+    out = np.zeros(int(words.sum()), dtype=np.uint64)
+    bit = _salted(hashed, 21)
+    word = ((bit >> np.uint64(6)) & (words[text] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, (np.cumsum(words) - words)[text] + word, np.uint64(1) << (bit & np.uint64(63)))
+    return out, words
+
+
 def _columns(texts: pa.Array, gram: int, percent: int, grams: bool) -> dict[str, pa.Array]:
     fields, parts = GRAMS if grams else BLOCKS, []
     for raw, offsets in slices(texts):
         n = len(offsets) - 1
         text, hashed, sizes = _sets(raw, offsets, gram)
         keys = [_sum_by(text, _salted(hashed, salt), n).view(np.int64) for salt in (11, 12)]
+        made = [pa.array(sizes, pa.int64()), *map(pa.array, keys)]
         if grams:
             many, values = sizes, hashed
         else:
             of, values = _blocks(text, hashed, sizes, percent)
             many = np.bincount(of, minlength=n)
-        parts.append([pa.array(sizes, pa.int64()), *map(pa.array, keys), lists(values.view(np.int64), many, pa.int64())])
+            sketch, words = _sketches(text, hashed, sizes)
+            made.append(lists(sketch.view(np.int64), words, pa.int64()))
+        parts.append([*made, lists(values.view(np.int64), many, pa.int64())])
     if not parts:
         return {f.name: pa.array([], f.type) for f in fields}
     return {f.name: pa.concat_arrays(list(x)) for f, x in zip(fields, zip(*parts))}
@@ -174,6 +200,90 @@ def _reaches(percent: int):
     return 100 * F.col("overlap") >= percent * (F.size("x") + F.size("y") - F.col("overlap"))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A table that is broadcast if it is measured to be small."""
+    return F.broadcast(table) if small_enough(table) else table
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` whose sketches and sizes leave them the chance to reach the bound."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
+    # sets of like sizes have sketches of one size, or one of twice the other's
+    w = F.least(F.size("x"), F.size("y"))
+    folded = [F.when(F.size(c) > w, F.zip_with(F.slice(c, F.lit(1), w), F.slice(c, w + 1, w), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c)) for c in "xy"]
+    bits = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, d: total + d)
+    sizes = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
+    alike = bits * (100 + percent) <= (100 - percent) * (F.col("m") + F.col("n"))
+    return pairs.join(left, "a").join(right, "b").filter(sizes).filter(alike).select("a", "b")
+
+
+def _sets_of(docs: DataFrame, text: str, gram: int, percent: int, nodes: DataFrame) -> DataFrame:
+    """The n-grams of some nodes, worked out anew from their texts."""
+    own = docs.join(_sent(stored(nodes)), "node", "left_semi")
+    grams = with_text_columns(own, partial(_columns, gram=gram, percent=percent, grams=True), GRAMS, text)
+    return stored(grams.dropDuplicates(["node", "n_shingles", "k1", "k2"]).select("node", "grams"))
+
+
+def _linked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs that reach the bound by their sets."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return stored(_with_sets(pairs, sets(nodes)).filter(_reaches(percent)).select("a", "b"))
+
+
+def _near_in_blocks(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of one block, in different components, whose sketches and sizes leave them the chance to reach the bound.
+
+    ``closest``: of each two components only the pair whose sketches differ least. Rows come in order of their block, which has a bounded number of them; one that a batch cuts is carried on.
+    """
+
+    def pairs(node, component, size, sketch):
+        x, y = np.triu_indices(len(node), 1)
+        other = component[x] != component[y]
+        x, y = x[other], y[other]
+        fits = (100 * size[x] >= percent * size[y]) & (100 * size[y] >= percent * size[x])
+        x, y = x[fits], y[fits]
+        bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        alike = bits * (100 + percent) <= (100 - percent) * (size[x] + size[y])
+        x, y, bits = x[alike], y[alike], bits[alike]
+        if closest and len(x):
+            ends = np.sort(np.stack([component[x], component[y]]), axis=0)
+            order = np.lexsort((bits, ends[1], ends[0]))
+            ends = ends[:, order]
+            first = np.append(True, (ends[:, 1:] != ends[:, :-1]).any(axis=0))
+            x, y = x[order[first]], y[order[first]]
+        x, y = node[x], node[y]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def matrix(own):
+        """Sketches of one size, the smallest there is."""
+        w = min(map(len, own))
+        return np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in own])
+
+    def give(parts):
+        block, node, component, size = [np.concatenate(c) for c in zip(*[p[:4] for p in parts])]
+        sketch = [x for p in parts for x in p[4]]
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        found = [pairs(*[c[i:j] for c in (node, component, size)], matrix(sketch[i:j])) for i, j in zip(edges, np.append(edges[1:], len(block)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [np.asarray(c) for c in batch.columns[:4]]
+        if not len(rows[0]):
+            continue
+        ends = np.cumsum(np.asarray(batch.column(4).value_lengths()))
+        rows.append(np.split(np.asarray(batch.column(4).flatten()).view(np.uint64), ends[:-1]))
+        last = np.flatnonzero(rows[0] != rows[0][-1])
+        cut = last[-1] + 1 if len(last) else 0
+        if cut or held and held[-1][0][-1] != rows[0][0]:
+            yield give([*held, [c[:cut] for c in rows]])
+            held = []
+        held.append([c[cut:] for c in rows])
+    if held:
+        yield give(held)
+
+
 def _apart(tried: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one head, in different components, that can still reach the bound."""
     of = tried.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -212,37 +322,54 @@ def class_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gr
     """The rows' sets (id, size, key of the set) and the component of every linked id."""
     blocked = with_text_columns(docs.select(F.col(id).alias("node"), text), partial(_columns, gram=gram, percent=percent, grams=False), BLOCKS, text)
     blocked = stored(blocked)
-    rows = blocked.drop("blocks")
+    rows = blocked.drop("blocks", "sketch")
     keys = ["k1", "k2", "n_shingles"]
     known = rows.filter("node IS NOT NULL AND n_shingles > 0")
     classes = stored(known.groupBy(*keys).agg(F.min("node").alias("node"), F.count("*").alias("_n")))
-    copies = known.join(classes.filter("_n > 1").select(*keys, F.col("node").alias("first")), keys)
-    copies = copies.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    copies = known.join(classes.filter("_n > 1").select(*keys, F.col("node").alias("first")), keys).filter("node <> first")
+    copies = stored(copies.select("node", *keys, "first"))
 
-    firsts = blocked.filter("node IS NOT NULL AND n_shingles > 0").join(classes.select("node", *keys), ["node", *keys], "left_semi")
+    # one of each class
+    firsts = blocked.filter("node IS NOT NULL AND n_shingles > 0").join(_sent(copies.select("node", *keys)), ["node", *keys], "left_anti")
     entries = firsts.select("node", F.explode("blocks").alias("block"))
     shared = entries.groupBy("block").agg(F.count("*").alias("many")).filter("many > 1")
     members = stored(entries.join(shared, "block"))
 
-    # the sets of classes that meet another one
-    meeting = members.select("node").distinct()
-    grams = with_text_columns(
-        docs.select(F.col(id).alias("node"), text).join(meeting, "node", "left_semi"), partial(_columns, gram=gram, percent=percent, grams=True), GRAMS, text
-    )
-    sets = stored(grams.dropDuplicates(["node", *keys]).select("node", "grams"))
-
-    # first against the class of each block that shares most blocks
+    # each class first against one other: of those that lead its blocks by sharing most, the first
     reach = members.groupBy("node").agg(F.sum(F.col("many") - 1).alias("reach"))
     heads = members.join(reach, "node").groupBy("block").agg(F.max(F.struct("reach", "node")).alias("h"))
-    pairs = members.join(heads.select("block", F.col("h.node").alias("head")), "block").filter("node <> head")
-    pairs = pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stored(_with_sets(pairs, sets).select("a", "b", _reaches(percent).alias("linked")))
-    links = tried.filter("linked").select("a", "b")
-
-    # then what is still apart
-    rest = _apart(tried.select("a", "b"), components(links), sets, percent)
-    more = _with_sets(rest, sets).filter(_reaches(percent)).select("a", "b")
-    return rows, components(links.unionByName(more).unionByName(copies))
+    led = members.join(heads, "block").filter(F.col("h.node") != F.col("node"))
+    hubs = led.groupBy("node").agg(F.max("h").alias("h")).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
+    sketches = stored(firsts.dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
+    kind = members.schema["node"].dataType.simpleString()
+    sets = partial(_sets_of, docs.select(F.col(id).alias("node"), text), text, gram, percent)
+    links = _linked(stored(_alike(hubs, sketches, percent)), sets, percent)
+
+    # then in blocks whose classes are still apart: all in a block of bounded size, at first only the closest pair of two components
+    for closest in (True, False):
+        known = members.join(stored(components(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = known.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("block")
+        known = stored(known.join(mixed, "block", "left_semi").select("block", "many", "node", "component"))
+        held = known.filter(F.col("many") <= PAIRED).join(sketches, "node").select("block", "node", "component", "n_shingles", "sketch")
+        held = held.repartition("block").sortWithinPartitions("block")
+        near = held.mapInArrow(partial(_near_in_blocks, percent=percent, closest=closest), f"a {kind}, b {kind}").distinct()
+        if closest:
+            links = links.unionByName(_linked(stored(near), sets, percent))
+
+    # in a larger one, those that its head is like
+    led = known.filter(F.col("many") > PAIRED).join(heads.select("block", F.col("h.node").alias("head")), "block").filter("node <> head")
+    led = stored(led.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    more = stored(near.unionByName(_alike(led, sketches, percent)))
+    links = links.unionByName(_linked(more, sets, percent))
+
+    # and last what is still apart in the larger ones
+    if not led.isEmpty():
+        wanted = led.select(F.col("a").alias("node")).unionByName(led.select(F.col("b").alias("node"))).distinct()
+        own = sets(wanted)
+        rest = stored(_alike(_apart(led, components(links), own, percent), sketches, percent))
+        links = links.unionByName(_with_sets(rest, own).filter(_reaches(percent)).select("a", "b"))
+    same = copies.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return rows, components(links.unionByName(same))
 
 
 def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:

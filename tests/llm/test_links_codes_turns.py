@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import simhash_dedup as sd, turn_repair as tr, vector_codes as vc
+from lodestone.llm import ngram_join as nj, simhash_dedup as sd, turn_repair as tr, vector_codes as vc
+from lodestone.llm.common import steps, stored
 from pyspark.sql import functions as F
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -274,3 +275,48 @@ def test_cells_do_not_depend_on_the_cut():
         codes = "".join(rng.choice(tr._CODES) for _ in range(rng.randint(2, 12)))
         for at in range(1, len(codes)):
             assert tr._joined(tr.span_cell(codes[:at]), tr.span_cell(codes[at:])) == tr.span_cell(codes)
+
+
+def test_steps_belong_to_their_block(spark):
+    outside = stored(spark.range(3))
+    with steps(spark):
+        inside = stored(spark.range(5))
+        assert inside.count() == 5
+    assert outside.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        inside.count()
+
+
+def test_sketches_never_differ_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 700, 3000):
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for gone, more in ((0, 0), (1, 0), (size // 5, 1), (0, size // 4)):
+            y = np.concatenate([x[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+            one = np.zeros(size, dtype=np.int64)
+            a, m = nj._sketches(one, x, np.array([len(x)]))
+            b, n = nj._sketches(one[:1].repeat(len(y)), y, np.array([len(y)]))
+            w = int(min(m[0], n[0]))
+            folded = [np.bitwise_xor.reduce(s.reshape(-1, w), axis=0) for s in (a, b)]
+            assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= gone + more
+
+
+@pytest.mark.parametrize("paired", [512, 3])
+def test_components_of_groups_of_near_copies(spark, monkeypatch, paired):
+    """Chains and groups of edited copies of several lengths, against all pairs."""
+    monkeypatch.setattr(nj, "PAIRED", paired)
+    rng = random.Random(8)
+    rows = []
+    for words in (12, 60, 300, 1400):
+        base = [f"g{words}w{i}" for i in range(words)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + words // 40)):
+                copy[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+            base = copy if rng.random() < 0.5 else base
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in rows)]
+    want = _classes(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = {r.doc_id: r.component_id for r in nj.ngram_components(docs, gram=5, percent=80).collect()}
+    assert got == dict(enumerate(want))
