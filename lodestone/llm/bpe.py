@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from lodestone.llm.wordhash import mix
 
@@ -37,17 +39,81 @@ LONG_WORD = 64
 
 
 @lru_cache
-def _classes() -> np.ndarray:
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each character, and which ones are left to the tokenizer library.
+
+    Those are the ones that Python's Unicode table lacks, and those whose order among marks or composition is
+    younger than Unicode 3.2: other libraries' tables may be older or younger there.
+    """
+    old = unicodedata.ucd_3_2_0
     kinds = np.full(0x110000, OTHER, dtype=np.uint8)
+    foreign = np.zeros(0x110000, dtype=bool)
     for code in range(0x110000):
-        c = unicodedata.category(chr(code))[0]
-        if c == "L":
+        char = chr(code)
+        c = unicodedata.category(char)
+        if c == "Cn":
+            foreign[code] = True
+        elif c[0] == "L":
             kinds[code] = LETTER
-        elif c == "N":
+        elif c[0] == "N":
             kinds[code] = NUMBER
+        if c[0] == "M":
+            foreign[code] |= unicodedata.combining(char) != old.combining(char)
+        parts = unicodedata.decomposition(char)
+        if parts and parts[0] != "<" and parts != old.decomposition(char):
+            foreign[[code, *[p for p in (int(x, 16) for x in parts.split()) if old.category(chr(p)) == "Cn"]]] = True
     kinds[_SPACES] = SPACE
     kinds[ord(_PART)] = SPACE
-    return kinds
+    return kinds, foreign
+
+
+@lru_cache
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+@lru_cache
+def _library_words() -> Split:
+    return Split(Regex(_WORDS), "removed", invert=True)
+
+
+@lru_cache(maxsize=65536)
+def _library_class(char: str) -> int:
+    """Class of a character that is no white space, as the library's words show it."""
+    words = _library_words()
+    if len(words.pre_tokenize_str("a" + char)) == 1:
+        return LETTER
+    return OTHER if len(words.pre_tokenize_str("!" + char)) == 1 else NUMBER
+
+
+def _normal(text: str) -> str:
+    # a sigma is lowered without regard to its place
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _normal_and_classes(joined: str, path: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The normalised text, its code points and their classes.
+
+    Only stretches with foreign characters are normalised by the library, and only characters
+    without a class in Python get the library's.
+    """
+    kinds, foreign = _classes()
+    if not foreign[_codes(joined)].any():
+        joined = _normal(joined)
+        codes = _codes(joined)
+        return joined, codes, kinds[codes]
+    stretches = re.split(f"([{chr(_SPECIAL)}-{_PART}])", joined)
+    joined = "".join(_library(path).normalizer.normalize_str(s) if foreign[_codes(s)].any() else _normal(s) for s in stretches)
+    codes = _codes(joined)
+    kind = kinds[codes]
+    at = np.flatnonzero(foreign[codes])
+    own, place = np.unique(codes[at], return_inverse=True)
+    kind[at] = np.array([_library_class(chr(c)) for c in own], dtype=np.uint8)[place]
+    return joined, codes, kind
 
 
 def _byte_chars() -> list[str]:
@@ -66,6 +132,7 @@ def _byte_chars() -> list[str]:
 class Vocabulary:
     """Numbers of the symbols, and merges as rank and result of a pair of numbers."""
 
+    path: str
     first: np.ndarray  # of a byte inside a word
     last: np.ndarray  # of the byte that ends a word
     pairs: dict[tuple[int, int], tuple[int, int]]
@@ -122,6 +189,7 @@ def vocabulary(path: str) -> Vocabulary:
         left = np.delete(left, at)
         factor = (factor * 0xD1342543DE82EF95 | 1) & (2**64 - 1)
     return Vocabulary(
+        path,
         np.array([numbers[c] for c in chars], dtype=np.int64),
         np.array([numbers[c + end] for c in chars], dtype=np.int64),
         pairs,
@@ -229,15 +297,12 @@ class Pieces:
     special: np.ndarray
 
 
-def _words_in(texts: list[str], specials: dict[str, int]) -> Pieces:
-    joined = _PART.join(texts)
+def _words_in(texts: list[str], vocab: Vocabulary) -> Pieces:
+    joined, specials = _PART.join(texts), vocab.specials
     for i, name in enumerate(specials):
         if name in joined:
             joined = joined.replace(name, chr(_SPECIAL + i))
-    # a sigma is lowered without regard to its place
-    joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower()
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = _classes()[codes]
+    joined, codes, kind = _normal_and_classes(joined, vocab.path)
     special = (codes >= _SPECIAL) & (codes < _SPECIAL + len(specials))
     begin = kind != SPACE
     begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) | special[1:] | special[:-1]
@@ -271,16 +336,16 @@ def _words_in(texts: list[str], specials: dict[str, int]) -> Pieces:
     return Pieces(len(texts), text, word, own, of)
 
 
-def pieces(texts: list[str], specials: dict[str, int]) -> Iterator[tuple[int, Pieces]]:
+def pieces(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[int, Pieces]]:
     """Words of runs of texts of bounded length (one long text alone may be longer), with the first text of each."""
     first = size = 0
     for i, text in enumerate(texts):
         if i > first and size + len(text) > SLICE_CHARS:
-            yield first, _words_in(texts[first:i], specials)
+            yield first, _words_in(texts[first:i], vocab)
             first, size = i, 0
         size += len(text) + 1
     if first < len(texts):
-        yield first, _words_in(texts[first:], specials)
+        yield first, _words_in(texts[first:], vocab)
 
 
 def symbols(vocab: Vocabulary, word: str) -> list[int]:

@@ -34,7 +34,7 @@ _RANK_BITS = 44
 def text_ids(texts: list[str], tokenizer: str):
     """Token numbers of each text, in order."""
     vocab = vocabulary(tokenizer)
-    for _, some in pieces(texts, vocab.specials):
+    for _, some in pieces(texts, vocab):
         flat, counts = word_ids(vocab, some)
         firsts = np.cumsum(counts) - counts
         many = counts[some.word]

@@ -26,7 +26,7 @@ def _columns(texts: pa.Array, path: str, limit: int) -> dict[str, pa.Array]:
     known = _counts.setdefault(path, {})
     plain = texts.fill_null("")
     out = np.zeros(len(plain), dtype=np.int64)
-    for first, some in pieces(plain.to_pylist(), vocab.specials):
+    for first, some in pieces(plain.to_pylist(), vocab):
         many = np.ones(len(some.words), dtype=np.int64)
         for i, word in enumerate(some.words):
             n = known.get(word)
