@@ -60,6 +60,34 @@ def text_key(text: str = "text") -> Column:
     )
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where a column of the table has the name already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def aside(df: DataFrame, own: Sequence[str] = (), keep: Sequence[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with other names for columns that an operator's own might meet, and the way back for its result.
+
+    Those are the names in ``own`` and all that begin with an underscore, except for ``keep``, the columns an
+    operator is told to use.
+    """
+    met = [c for c in df.columns if c not in keep and (c.startswith("_") or c.lower() in {o.lower() for o in own})]
+    names = dict(zip(met, spare(df, *[f"kept{i}" for i in range(len(met))])))
+
+    def back(done: DataFrame) -> DataFrame:
+        old = {new: c for c, new in names.items()}
+        return done.select(*[F.col(f"`{c}`").alias(old.get(c, c)) for c in done.columns]) if old else done
+
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]) if met else df, back
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator is about to add under the same names."""
     return df.drop(*[c for c in df.columns if c in set(names)])

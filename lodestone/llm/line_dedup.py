@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.common import without
+from lodestone.llm.common import spare, without
 from lodestone.operators.rows import fields_per_row
 
 WINDOW = 3
@@ -46,8 +46,9 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     window of any number of occurrences is aggregated before it is shuffled; a document's
     list of positions is no longer than the document.
     """
-    base = without(docs, ["n_lines", "n_removed", "_key", "_lines", "_gone"])
-    lines = F.split(text, "\n", -1)
+    base = without(docs, ["n_lines", "n_removed"])
+    key, no_id, plain, gone, at, kept = spare(base, "_key", "_no_id", "_plain", "_gone", "_at", "_kept")
+    lines = F.split(F.col(text), "\n", -1)
     spread = fields_per_row(
         base.filter(F.col(text) != "").select(F.col(id).alias("_id"), F.xxhash64(text).alias("_key"), lines.alias("_lines")).select("_id", "_key", _windows().alias("_w")),
         ["_id", "_key"],
@@ -60,15 +61,25 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     later = spread.join(repeated, ["a", "b"]).filter(~place.eqNullSafe(F.col("_first")))
     covered = later.groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
     # a null id joins nothing by itself, so it gets a key of its own
-    no_id, plain = F.col("_id").isNull().alias("_no_id"), F.coalesce("_id", F.lit(0)).alias("_plain")
-    gone = covered.select(plain, no_id, "_key", F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + WINDOW - 1))).alias("_gone"))
+    removed = covered.select(
+        F.coalesce("_id", F.lit(0)).alias(plain),
+        F.col("_id").isNull().alias(no_id),
+        F.col("_key").alias(key),
+        F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + WINDOW - 1))).alias(gone),
+    )
     keyed = base.select(
-        *base.columns, F.coalesce(F.col(id), F.lit(0)).alias("_plain"), F.col(id).isNull().alias("_no_id"), F.xxhash64(text).alias("_key")
+        *[f"`{c}`" for c in base.columns],
+        F.coalesce(F.col(id), F.lit(0)).alias(plain),
+        F.col(id).isNull().alias(no_id),
+        F.xxhash64(text).alias(key),
     )
-    joined = keyed.join(gone, ["_plain", "_no_id", "_key"], "left")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    count = F.coalesce(F.size(lines), F.lit(0))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    whole = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept)).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(count))
-    whole = whole.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    return whole.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "n_lines", "n_removed")
+    joined = keyed.join(removed, [plain, no_id, key], "left")
+    # positions that stay, by a hash set of those that go. The lines are named twice, so that Spark splits them
+    # before they are looked up instead of for each one
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    whole = joined.withColumns({"n_lines": count, at: F.when(F.col(gone).isNotNull(), stays), kept: F.when(F.col(gone).isNotNull(), lines)})
+    left = F.when(F.size(kept) > 0, F.transform(at, lambda i: F.get(F.col(kept), i)))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    less = F.when(F.col(gone).isNull(), 0).otherwise(F.col("n_lines") - F.size(at))
+    return whole.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "n_lines", less.alias("n_removed"))
