@@ -14,6 +14,7 @@ within each band of lengths, over all strings of all documents.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from functools import partial
@@ -61,13 +62,8 @@ DOUBT = 0.001
 # Bands double in length from the shortest string; p-values are counted in steps of this many per decade.
 _STEPS, _LEAST = 20, 300
 
-FIELDS = [
-    pa.field("kinds", pa.list_(pa.int32())),
-    pa.field("starts", pa.list_(pa.int32())),
-    pa.field("ends", pa.list_(pa.int32())),
-    pa.field("bands", pa.list_(pa.int32())),
-    pa.field("steps", pa.list_(pa.int32())),
-]
+_SPAN = pa.struct([pa.field(n, pa.int32()) for n in ("kind", "start", "end", "band", "step")])
+FIELDS = [pa.field("found", pa.list_(_SPAN))]
 
 
 def _upper(z: float) -> float:
@@ -181,20 +177,30 @@ def spans_of(text: str, doubt: float = DOUBT) -> list[tuple[int, int, int, int,
     if "AKIA" in text:
         out += [(1, m.start(), m.end(), 0, 0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(2, m.start(), m.end(), 0, 0) for m in _HEX.finditer(text)]
-    known = [(s, e) for _, s, e, _, _ in out]
+    known = sorted((s, e) for _, s, e, _, _ in out)
+    starts = [s for s, _ in known]
+    furthest = list(itertools.accumulate((e for _, e in known), max))  # end of what begins there or before
+
+    def covered(start: int, end: int) -> bool:
+        at = bisect.bisect(starts, start)
+        return at > 0 and furthest[at - 1] >= end
+
     for m in _STRING.finditer(text):
-        if any(s <= m.start() and m.end() <= e for s, e in known):
+        if covered(m.start(), m.end()):
             continue
         for start, end, p in _tested(m[0], doubt):
             start, end = m.start() + start, m.start() + end
-            if not any(s <= start and end <= e for s, e in known):
+            if not covered(start, end):
                 out.append((3, start, end, int(math.log2((end - start) / 20)), _step(p)))
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
 def _columns(texts: pa.Array, doubt: float) -> dict[str, pa.Array]:
     found = [spans_of(t, doubt) for t in texts.fill_null("").to_pylist()]
-    return {f.name: pa.array([[s[i] for s in spans] for spans in found], f.type) for i, f in enumerate(FIELDS)}
+    offsets = np.cumsum([0, *map(len, found)])
+    flat = np.array([s for spans in found for s in spans], dtype=np.int32).reshape(-1, 5)
+    spans = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(5)], fields=list(_SPAN))
+    return {"found": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)}
 
 
 def _bounds(tests: DataFrame, share: float) -> dict[int, int]:
@@ -223,12 +229,10 @@ def find_secrets(docs: DataFrame, text: str = "text", share: float = FALSE_SHARE
     table gives no rows. A column ``found`` is replaced, others are kept. The texts are read
     once; the bounds come from counts over all documents.
     """
-    base = without(docs, ["found", *[f.name for f in FIELDS]])
-    scanned = stored(with_text_columns(base, partial(_columns, doubt=doubt), FIELDS, text))
-    zipped = scanned.withColumn("_s", F.arrays_zip(*[f.name for f in FIELDS])).drop(*[f.name for f in FIELDS])
-    tests = zipped.select(F.explode(F.filter("_s", lambda s: s.kinds == 3)).alias("s")).select(F.col("s.bands").alias("band"), F.col("s.steps").alias("step"))
+    scanned = stored(with_text_columns(without(docs, ["found"]), partial(_columns, doubt=doubt), FIELDS, text))
+    tests = scanned.select(F.inline(F.filter("found", lambda s: s.kind == 3))).select("band", "step")
     bounds = _bounds(tests, share)
-    keep = " OR ".join(["s.kinds < 3", *[f"(s.bands = {band} AND s.steps >= {step})" for band, step in bounds.items()]])
+    keep = " OR ".join(["s.kind < 3", *[f"(s.band = {band} AND s.step >= {step})" for band, step in bounds.items()]])
     names = ", ".join(f"'{k}'" for k in KINDS)
-    spans = f"transform(filter(_s, s -> {keep}), s -> struct(array({names})[s.kinds] AS kind, s.starts AS start, s.ends AS end))"
-    return zipped.withColumn("found", F.expr(spans)).drop("_s")
+    spans = f"transform(filter(found, s -> {keep}), s -> struct(array({names})[s.kind] AS kind, s.start, s.end))"
+    return scanned.withColumn("found", F.expr(spans))
