@@ -11,7 +11,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestone.llm.common import without
+from lodestone.llm.common import aside, without
 
 BITS = 64
 RADIUS = 3
@@ -70,7 +70,8 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     Null and empty texts, and those without a letter or number, have the fingerprint 0. Equal texts
     have equal ones. A text of any length is used whole. Nothing is shuffled.
     """
-    return _with_fingerprint(without(docs, [name]), F.coalesce(F.col(text), F.lit("")), name)
+    base, back = aside(without(docs, [name]), keep=[text])
+    return back(_with_fingerprint(base, F.coalesce(F.col(text), F.lit("")), name))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -90,12 +91,13 @@ def with_next(docs: DataFrame, id: str, text: str, also: list[str], sorted_bytes
     themselves. The first row of each also stands, as a guest, at the end of the one before,
     so the texts are shuffled once.
     """
+    docs, back = aside(without(docs, [f"next_{c}" for c in [text, *also]]), keep=[id, text, *also])
     key = F.coalesce(F.col(id).cast("long"), F.lit(-(2**63)))
     size = F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 64)
     least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.max(key).alias("top"), size.alias("b")).first()
     if total["top"] is None:
-        return docs.select("*", F.col(text).alias(f"next_{text}"), *[F.col(c).alias(f"next_{c}") for c in also])
+        return back(docs).select("*", F.col(text).alias(f"next_{text}"), *[F.col(c).alias(f"next_{c}") for c in also])
     n = max(least, -(-total["b"] // sorted_bytes))
     # quantiles are ids of rows, so each is the first of its range
     cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("c")).first()["c"]
@@ -111,7 +113,7 @@ def with_next(docs: DataFrame, id: str, text: str, also: list[str], sorted_bytes
     dealt = placed.select(*[f"`{c}`" for c in docs.columns], "_key", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("_p"))
     order = W.partitionBy("_p.range").orderBy("_p.guest", F.desc("_key"), F.xxhash64(text))
     ahead = [F.lead(c).over(order).alias(f"next_{c}") for c in [text, *also]]
-    return dealt.select(*[f"`{c}`" for c in docs.columns], "_p", *ahead).filter("NOT _p.guest").drop("_p")
+    return back(dealt.select(*[f"`{c}`" for c in docs.columns], "_p", *ahead).filter("NOT _p.guest").drop("_p"))
 
 
 def near_counts(prints: DataFrame, wanted: DataFrame, fingerprint: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import stored, text_key, with_text_columns, without
+from lodestone.llm.common import aside, stored, text_key, with_text_columns, without
 from lodestone.llm.wordhash import ALNUM, Words, lists, slices, words_of
 
 WINDOW = 10
@@ -237,14 +237,14 @@ def flag_contaminated(
     one without an id marks words but is not listed. Every row of ``docs`` is returned, repeated
     rows with the same result; a very long text is handled whole, alone in its slice.
     """
-    base = without(docs, ["n_words", "n_hit", "item_ids", "span_starts", "span_ends", "spans", "contaminated", "_key"])
+    base, back = aside(without(docs, ["n_words", "n_hit", "item_ids", "spans", "contaminated"]), ["span_starts", "span_ends"], [text])
     parts = []
     for n, rows in _blocks(items, item_id, item_text, block_bytes):
         index = build_index([r["id"] for r in rows], [r["text"] for r in rows], window, gram)
         make = partial(_columns, shared=docs.sparkSession.sparkContext.broadcast(index), window=window, gram=gram)
         if n == 1:
             one = with_text_columns(base, make, FIELDS, text, keep_text)
-            return one.withColumn("spans", F.expr(_SPANS)).drop("span_starts", "span_ends").withColumn("contaminated", F.col("n_hit") > 0)
+            return back(one.withColumn("spans", F.expr(_SPANS)).drop("span_starts", "span_ends").withColumn("contaminated", F.col("n_hit") > 0))
         # equal texts have equal hits, so one row for each text is enough
         keyed = with_text_columns(base.select(text, text_key(text).alias("_key")), make, FIELDS, text)
         hit = keyed.filter("n_hit > 0").withColumn("spans", F.expr(_SPANS))
@@ -257,7 +257,7 @@ def flag_contaminated(
     out = counted.drop("n_hit", "item_ids", "span_starts", "span_ends").join(hit, "_key", "left").drop("_key")
     none = {"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "spans": F.array().cast(hit.schema["spans"].dataType)}
     filled = out.select(*[c for c in out.columns if c not in none], *[F.coalesce(c, v).alias(c) for c, v in none.items()])
-    return filled.withColumn("contaminated", F.col("n_hit") > 0)
+    return back(filled.withColumn("contaminated", F.col("n_hit") > 0))
 
 
 _COVERED = "array_distinct(flatten(transform(spans, s -> sequence(s.span_starts, s.span_ends - 1))))"
