@@ -8,6 +8,7 @@ from lodestone.catalog.registry import query, with_parts
 from lodestone.catalog.views import USAGE_SQL, fresh_folder, usage
 from lodestone.functions.scalars import iso_utc
 from lodestone.plans import usage as U
+from lodestone.session import cut_lineage
 from lodestone.sources.events import append_events, read_events
 from lodestone.streaming.usage import merge_days, start_rollup
 
@@ -52,6 +53,28 @@ def events_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.events_per_hour(usage(spark, sf_dir))
 
 
+@query(
+    with_parts(
+        "SELECT 'llm_usage' AS section, 'n_eventos' AS name, count(*) AS n FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'n_erros', count(*) FILTER (NOT ok) FROM usage"
+        " UNION ALL SELECT 'llm_usage', 'total_tokens', CAST(sum(total_tokens) FILTER (endpoint = 'llm') AS BIGINT) FROM usage"
+        " UNION ALL SELECT 'modelos', modelo, count(*) FROM usage WHERE endpoint = 'llm' AND modelo <> '' GROUP BY modelo"
+        " UNION ALL SELECT 'horas', CAST(h.hour AS VARCHAR), count(event_id) FROM (SELECT unnest(range(24)) AS hour) h"
+        " LEFT JOIN events ON hour(events.ts) = h.hour GROUP BY h.hour"
+        " UNION ALL SELECT 'mix_de_metodos', coalesce(nullif(metodo, ''), 'nenhum'), count(*) FROM usage WHERE endpoint = 'api_consulta' GROUP BY 2",
+        USAGE_SQL,
+    )
+)
+def report_counts_of_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of the report that count, from cells that were counted in one pass over the log."""
+    found = U.count_sections(cut_lineage(U.count_cells(usage(spark, sf_dir))))
+    totals = ("n_eventos", "n_erros", "total_tokens")
+    rows = found["llm_usage"].select(F.lit("llm_usage").alias("section"), F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in totals])))
+    for section, name in (("modelos", "modelo"), ("horas", "hour"), ("mix_de_metodos", "metodo")):
+        rows = rows.unionByName(found[section].select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), "n"))
+    return rows
+
+
 @query(
     with_parts(
         "SELECT row_number() OVER (ORDER BY ts, event_id) AS chamada, prompt_tokens AS prompt,"

@@ -100,6 +100,23 @@ def log_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_events(spark, path).drop("src_file", "src_block", "src_row")
 
 
+@query(
+    with_parts(
+        "SELECT ts, endpoint, metodo, modelo, ok, erro, duracao_ms, prompt_tokens, completion_tokens, total_tokens,"
+        " round(top_score, 4) AS top_score FROM usage",
+        USAGE_SQL,
+    )
+)
+def log_appends_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named batches appended to one log, one of them twice: it is there once."""
+    path = fresh_folder(spark, "log")
+    events = usage(spark, sf_dir).withColumn("top_score", F.round("top_score", 4))
+    append_events(events.filter("ok"), path, "right")
+    append_events(events.filter("NOT ok"), path, "wrong")
+    append_events(events.filter("ok"), path, "right")
+    return read_events(spark, path).drop("src_file", "src_block", "src_row")
+
+
 @query(
     with_parts(
         "SELECT 'mix_de_metodos' AS section, coalesce(nullif(metodo, ''), 'nenhum') AS name, count(*) AS n FROM usage"

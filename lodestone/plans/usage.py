@@ -9,6 +9,7 @@ from lodestone.operators.ordering import with_sequence
 from lodestone.operators.quantiles import exact_percentiles
 from lodestone.operators.shares import dense_axis
 from lodestone.plans.answers import GENERATION, NO_METHOD, REQUEST
+from lodestone.session import cut_lineage
 
 LATENCY_POINTS = {"p50": 0.50, "p95": 0.95}
 
@@ -96,14 +97,56 @@ def rollup_of(timed: DataFrame) -> DataFrame:
     return grouped.select(F.col("w.start").alias("hour_start"), F.col("w.end").alias("hour_end"), *rest)
 
 
+def count_cells(events: DataFrame) -> DataFrame:
+    """The log counted once, by all that the count sections go by: ``endpoint, metodo, modelo, hour, n`` and sums.
+
+    There are as many cells as combinations that occur, so each section is a small sum over them.
+    """
+
+    def tokens(column: str) -> Column:
+        return F.sum(count_or_zero(F.col(column))).alias(column)
+
+    keys = [
+        "endpoint",
+        label_or(F.col("metodo"), NO_METHOD).alias("metodo"),
+        F.coalesce("modelo", F.lit("")).alias("modelo"),
+        wall_clock_hour(F.col("ts")).alias("hour"),
+    ]
+    wrong = F.count_if(~F.coalesce(F.col("ok"), F.lit(False)))
+    sums = [tokens(c) for c in ("total_tokens", "prompt_tokens", "completion_tokens")]
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), wrong.alias("n_erros"), *sums)
+
+
+def count_sections(cells: DataFrame) -> dict[str, DataFrame]:
+    """The sections of ``totals``, ``calls_per_model``, ``events_per_hour`` and ``method_mix``, out of ``count_cells``."""
+
+    def whole(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+
+    llm, api = _is_llm(), F.col("endpoint") == REQUEST
+    usage = cells.agg(
+        whole(F.col("n")).alias("n_eventos"),
+        whole(F.when(llm, F.col("n"))).alias("n_eventos_llm"),
+        whole(F.when(api, F.col("n"))).alias("n_eventos_api"),
+        whole(F.col("n_erros")).alias("n_erros"),
+        whole(F.when(llm, F.col("total_tokens"))).alias("total_tokens"),
+        whole(F.when(llm, F.col("prompt_tokens"))).alias("prompt_tokens_total"),
+        whole(F.when(llm, F.col("completion_tokens"))).alias("completion_tokens_total"),
+    )
+    hours = cells.filter(F.col("hour").isNotNull()).groupBy("hour").agg(F.sum("n").alias("n"))
+    return {
+        "llm_usage": usage.select((F.col("n_eventos_llm") > 0).alias("disponivel"), "*"),
+        "modelos": cells.filter(llm & (F.col("modelo") != "")).groupBy("modelo").agg(F.sum("n").alias("n")),
+        "horas": dense_axis(hours, "hour", 24),
+        "mix_de_metodos": cells.filter(api).groupBy("metodo").agg(F.sum("n").alias("n")),
+    }
+
+
 def usage_report(events: DataFrame, order_by: tuple[str, ...] = ("ts", "event_id")) -> dict[str, DataFrame]:
-    """All sections; empty ones for an empty log."""
+    """All sections; empty ones for an empty log. The log is read once for all sections that count."""
     return {
-        "llm_usage": totals(events),
-        "modelos": calls_per_model(events),
-        "horas": events_per_hour(events),
+        **count_sections(cut_lineage(count_cells(events))),
         "tokens_por_chamada": tokens_per_call(events, order_by),
         "latencia_por_metodo": latency_per_method(events),
-        "mix_de_metodos": method_mix(events),
         "top_scores": top_scores(events),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.plans.answers import EVENT_COLUMNS
@@ -72,6 +74,31 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return parse_events(lines, *LINE_ORDER)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Add log rows to a folder of JSON lines."""
-    events.select(*EVENT_COLUMNS).write.mode("append").option("ignoreNullFields", False).json(path)
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add log rows to a folder of JSON lines.
+
+    With the name of a ``batch`` the append can be repeated: rows are written aside, moved in under names that
+    begin with the batch's, and the batch is noted in ``_commits``. A batch noted there is not written
+    again; what an append that was broken off left of one is replaced. One writer at a time for each batch.
+    """
+    rows = events.select(*EVENT_COLUMNS)
+    if batch is None:
+        rows.write.mode("append").option("ignoreNullFields", False).json(path)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
+        raise ValueError("a batch is named by letters, digits and hyphens")
+    spark = events.sparkSession
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder, done, aside = path_of(path), path_of(f"{path}/_commits/{batch}"), path_of(f"{path}/_aside/{batch}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(done):
+        return
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(aside.toString())
+    for left in files.globStatus(path_of(folder, f"batch_{batch}_*.json")) or []:
+        files.delete(left.getPath(), False)
+    for i, part in enumerate(files.globStatus(path_of(aside, "part-*")) or []):
+        target = path_of(folder, f"batch_{batch}_{i:06d}.json")
+        if not files.rename(part.getPath(), target):
+            raise OSError(f"{target} cannot be written")
+    files.create(done, True).close()
+    files.delete(aside, True)

@@ -70,6 +70,33 @@ def test_empty_log(spark, tmp_path):
         assert report[name].collect() == []
 
 
+def test_repeated_batches_are_appended_once(spark, events, tmp_path):
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        append_events(events.filter("ok"), path, "b-1")
+        append_events(events.filter("not ok"), path, "b-2")
+    assert read_events(spark, path).count() == 8
+    # an append broken off before its note: what it left is replaced
+    os.remove(os.path.join(path, "_commits", "b-1"))
+    append_events(events.filter("ok"), path, "b-1")
+    append_events(events.filter("ok"), path)
+    assert read_events(spark, path).count() == 14
+    with pytest.raises(ValueError):
+        append_events(events, path, "a/b")
+
+
+def test_counts_of_one_scan_equal_the_sections(spark, events):
+    for log in (events, events.filter("false")):
+        cells = U.count_cells(log)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("InMemoryTableScan") <= 1
+        found = U.count_sections(cells)
+        want = {"llm_usage": U.totals, "modelos": U.calls_per_model, "horas": U.events_per_hour, "mix_de_metodos": U.method_mix}
+        for section, alone in want.items():
+            assert sorted(map(tuple, found[section].collect())) == sorted(map(tuple, alone(log).collect())), section
+            assert found[section].columns == alone(log).columns
+
+
 def test_append_twice(spark, events, tmp_path):
     path = str(tmp_path / "log")
     append_events(events.filter("ok"), path)
