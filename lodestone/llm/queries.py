@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import documents, stored
+from lodestone.llm.common import documents, stored, text_key
 from lodestone.llm.kd_shards import document_dimensions, kd_shards
 from lodestone.llm.license_scan import notices, scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
@@ -142,7 +142,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight shards of nearly equal bytes."""
+    """Eight shards of nearly equal bytes; equal texts share one."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
     narrow = docs.select(
         "doc_id",
@@ -150,8 +150,9 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        text_key().alias("key"),
     )
-    placed = kd_shards(narrow, document_dimensions(), F.col("size"), ["doc_id", "text_crc32", "size"])
+    placed = kd_shards(narrow, document_dimensions(), F.col("size"), ["doc_id", "text_crc32", "size"], group=[F.col("key.a"), F.col("key.b")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -264,6 +264,43 @@ def test_kd_shards(spark, docs, empty):
     assert len({r.shard for r in kd.kd_shards(rows, kd.document_dimensions(), F.col("size"), ["id"], target=60_000).collect()}) == 5
 
 
+def test_kd_shards_keep_groups_whole(spark):
+    # groups of one row up to 500, and one that weighs more than any shard
+    rows = spark.range(6000).select(
+        "id", F.when(F.col("id") < 2500, 1).when(F.col("id") < 3000, 2).when(F.col("id") < 4000, F.floor(F.col("id") / 3)).otherwise(F.col("id")).alias("text"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("source"), (F.col("id") % 2).cast("string").alias("lang"), F.lit(10).alias("size"),
+        F.lit("old").alias("_row"), F.lit("old").alias("_node"), F.lit("old").alias("_w"),
+    )
+    for shards in (8, 3, 1):
+        out = kd.kd_shards(rows, kd.document_dimensions(), F.col("size"), ["id"], shards, group=[F.col("text")])
+        assert out.columns == [*rows.columns, "shard", "slot"]
+        got = out.collect()
+        assert sorted(r.id for r in got) == list(range(6000)) and {r["_row"] for r in got} == {"old"}
+        where = {}
+        for r in got:
+            where.setdefault(r.text, set()).add(r.shard)
+        assert all(len(s) == 1 for t, s in where.items() if t != 1 or shards == 1)
+        sizes = [sum(r.shard == s for r in got) for s in range(shards)]
+        assert max(sizes) - min(sizes) <= 3 * 3 and sum(sizes) == 6000
+        for s in range(shards):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+
+
+def test_kd_cut_is_the_one_nearest_to_half(spark):
+    weights = [(i * 7919) % 101 + 1 for i in range(400)]
+    rows = spark.createDataFrame(list(enumerate(weights)), "id int, w int")
+    got = {r.id: r.shard for r in kd.kd_shards(rows, {"at": F.col("id") / 400}, F.col("w"), ["id"], 2).collect()}
+    cut = min(range(401), key=lambda i: abs(2 * sum(weights[:i]) - sum(weights)))
+    assert got == {i: int(i >= cut) for i in range(400)}
+
+
+def test_kd_tree_cuts_the_dimension_with_most_weight_between_its_ends(spark):
+    # few values far apart in one dimension, all values close together in the other
+    rows = spark.range(1000).select("id", (F.col("id") / 1e6).alias("x"), F.when(F.col("id") == 0, 1.0).otherwise(0.0).alias("y"))
+    got = {r.id: r.shard for r in kd.kd_shards(rows, {"y": F.col("y"), "x": F.col("x")}, F.lit(1), ["id"], 2).collect()}
+    assert got == {i: int(i >= 500) for i in range(1000)}
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
