@@ -34,7 +34,35 @@ NOTICES = {
     " that the following conditions are met",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance"
+    " with the License. You may obtain a copy of the License at",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+    " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public"
+    " License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+    " Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public"
+    " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
+    " compile, sell, or distribute this software, either in source code form or as a compiled binary",
+    "bsl-1.0-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"
+    " accompanying documentation covered by this license",
+    "zlib-notice": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"
+    " for any damages arising from the use of this software.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
 }
+# fixed values: names of licenses in tags
+TAGGED = [
+    "MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
+TAG = "SPDX-License-Identifier: {name}"
 
 
 def miss_chance(similarity: float, bands: int = BANDS) -> float:
@@ -76,7 +104,7 @@ def _least_by(constant: int):
 
 
 def _template_keys(templates: DataFrame, id: str, text: str, bands: int) -> DataFrame:
-    """``_template``, its distinct shingles, and the band keys of its pieces."""
+    """``_template``, its distinct shingles, their number, and the keys of its pieces by band."""
     held = _shingles(templates.select(F.col(id).alias("_template"), text), text, ["_template"])
     held = held.withColumn("_n", F.size("_h"))
     many = F.ceil(F.col("_n") / (BLOCK + 1)).cast("int")
@@ -87,7 +115,7 @@ def _template_keys(templates: DataFrame, id: str, text: str, bands: int) -> Data
     )
     pieces = held.select("_template", F.array_distinct("_h").alias("_t"), "_n", F.explode(piece).alias("_piece"))
     keys = F.array(*[F.xxhash64(F.lit(b), _least(F.col("_piece"), c)) for b, c in enumerate(_constants(bands))])
-    return pieces.select("_template", "_t", "_n", F.explode(keys).alias("_key")).distinct()
+    return pieces.select("_template", "_t", "_n", F.posexplode(keys).alias("_band", "_key")).distinct()
 
 
 def scan_licenses(
@@ -100,11 +128,14 @@ def scan_licenses(
     length and a window's), ``first_shingle`` the start of the first such place, counted from 0 and
     rounded down to a block, and ``n_places`` the number of windows that led to one. Rows that share an id are
     one document; rows without one are reported together under null. Null and empty texts hold nothing, nor do
-    templates without words. A very long text is scanned whole. Templates that share an id are variants of one.
+    templates without words. A very long text is scanned whole. Templates that share an id are variants of one; of templates
+    that differ in few words each is reported with its own share, so the largest tells which it is. Equal rows count once.
     Other columns are not read.
     """
     keys = stored(_template_keys(templates, template_id, template_text, bands))
-    n_keys = keys.select("_key").distinct().count()
+    by_key = keys.select("_band", "_key").distinct()
+    n_keys = by_key.count()
+    keys = keys.drop("_band")
     held = _shingles(docs.select(F.col(id).alias("_id"), text), text, ["_id"])
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_h") - 1) / BLOCK).cast("int")), lambda i: F.slice("_h", i * BLOCK + 1, BLOCK))
     held = held.select("_id", "_h", blocks.alias("_blocks"))
@@ -115,8 +146,11 @@ def scan_licenses(
     # rows of a generator: filters on them stay above it, so that nothing is worked out twice
     one = held.select("_id", F.inline_outer(F.array(F.struct("_h", "_k"))))
     if n_keys <= inline_keys:
-        wanted = F.lit([r["_key"] for r in keys.select("_key").distinct().collect()]).cast("array<bigint>")
-        one = one.withColumn("_hits", F.transform("_k", lambda k: F.array_intersect(k, wanted))).filter(F.exists("_hits", lambda h: F.size(h) > 0))
+        wanted: list[list[int]] = [[] for _ in range(bands)]
+        for r in by_key.collect():
+            wanted[r["_band"]].append(r["_key"])
+        of_band = F.lit(wanted).cast("array<array<bigint>>")
+        one = one.withColumn("_hits", F.transform("_k", lambda k, band: F.array_intersect(k, F.get(of_band, band)))).filter(F.exists("_hits", lambda h: F.size(h) > 0))
     bandwise = one.select("_id", "_h", F.explode("_k").alias("_row"))
     entries = bandwise.select("_id", "_h", F.posexplode("_row").alias("_at", "_key"))
     if n_keys <= inline_keys:
@@ -133,5 +167,6 @@ def scan_licenses(
 
 
 def notices(spark) -> DataFrame:
-    """The usual notices as a table."""
-    return spark.createDataFrame(list(NOTICES.items()), "license string, text string")
+    """The usual notices and tags as a table."""
+    tags = [(f"spdx:{name}", TAG.format(name=name)) for name in TAGGED]
+    return spark.createDataFrame([*NOTICES.items(), *tags], "license string, text string")

@@ -185,12 +185,46 @@ def test_planted_strings_of_every_encoding_are_reported(spark):
     assert not any(got[9000 + i] for i in range(len(ORDINARY))), [t for i, t in enumerate(ORDINARY) if got[9000 + i]]
 
 
+def _notice_shares(text, templates, width):
+    """Licenses whose shingles stand within so many of a text's (by their number), by trying every place."""
+    def shingles(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return [tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
+
+    mine, out = shingles(text), {}
+    for name, template in templates:
+        own = shingles(template)
+        share = max((len(set(own) & set(mine[i : i + width(len(own))])) / len(set(own)) for i in range(len(mine))), default=0)
+        if share >= 0.8:
+            out[name] = max(share, out.get(name, 0))
+    return out
+
+
+def test_every_notice_is_found_as_by_trying_all_places(spark):
+    templates = [(r.license, r.text) for r in ls.notices(spark).collect()]
+    filler = [f"w{i * 7919 % 613}" for i in range(400)]
+    texts = []
+    for i, (_, notice) in enumerate(templates):
+        for shift in range(5):
+            texts.append(f"{' '.join(filler[: 3 * i + shift])} {notice} {' '.join(filler[i : i + 40])}")
+        texts.append(notice.replace("License", "Licence", 1).upper())
+    texts += ["", " ".join(filler), " ".join(filler * 50) + " " + templates[0][1]]
+    # side by side these must be found; farther apart than the second width none may be
+    least, most = [{(i, name): share for i, t in enumerate(texts) for name, share in _notice_shares(t, templates, w).items()} for w in (lambda n: n, lambda n: 2 * n + 2 * ls.BLOCK)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r.contained for r in ls.scan_licenses(table, ls.notices(spark)).collect()}
+    assert got.keys() <= most.keys() and all(share <= most[k] + 1e-9 for k, share in got.items())
+    lost = sorted(least.keys() - got.keys())
+    assert len(lost) <= 0.002 * len(least), lost
+    assert all(got[k] >= share - 1e-9 for k, share in least.items() if k in got)
+
+
 @pytest.mark.parametrize("inline_keys", [4096, 0])
 def test_licenses(spark, docs, empty, inline_keys):
-    found = [(30, f"some words before. {ls.NOTICES['apache-2.0']} and after"), (31, ls.NOTICES["mit"].upper()), (32, ls.NOTICES["mit-grant"]), (33, "the license of the work")]
+    found = [(30, f"some words before. {ls.NOTICES['apache-2.0']} and after"), (31, ls.NOTICES["mit"].upper()), (32, ls.NOTICES["mit-grant"]), (33, "the license of the work"), (34, "# SPDX-License-Identifier: MIT")]
     table = docs.unionByName(spark.createDataFrame(found, "doc_id long, text string"), allowMissingColumns=True)
     got = {(r.doc_id, r.license): r.contained for r in ls.scan_licenses(table, ls.notices(spark), inline_keys=inline_keys).collect()}
-    assert got == {(30, "apache-2.0"): 1.0, (31, "mit"): 1.0, (32, "mit-grant"): 1.0}
+    assert got == {(30, "apache-2.0"): 1.0, (31, "mit"): 1.0, (32, "mit-grant"): 1.0, (34, "spdx:MIT"): 1.0}
     assert ls.scan_licenses(empty, ls.notices(spark), inline_keys=inline_keys).count() == 0
     assert ls.miss_chance(3 / 8) < 1e-3
 
