@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 from collections import Counter
 
@@ -110,6 +111,33 @@ def test_weights(kb, texts, cap):
     assert (shape["n_docs"], shape["n_terms"]) == (len(texts), len(want.vocab))
 
 
+@pytest.mark.parametrize("broadcast", [-1, 480])
+def test_weights_of_rare_terms_that_meet_at_their_term(spark, kb, texts, broadcast):
+    """No or ten frequent terms are sent around; all others are counted where they meet."""
+    spark.conf.set(BROADCAST_CONF, str(broadcast))
+    try:
+        index = build_index(kb, ["rule"], "rule", buckets=3)
+        rows = index.postings().collect()
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    assert got == {i: pytest.approx(d) for i, d in enumerate(Brute(texts, cap=10**9).docs) if d}
+    counts = {(r["doc_id"], r["term"]): r["tf"] for r in index.postings(weights=False).collect()}
+    assert counts == {(i, t): c for i, text in enumerate(texts) for t, c in Counter(_terms(text)).items()}
+
+
+def test_index_takes_little_more_room_than_its_texts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(4000)]
+    texts = [" ".join(words[min(int(rng.paretovariate(0.7)), 3999)] for _ in range(300)) for _ in range(1500)]
+    kb = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, rule string")
+    index = build_index(kb, ["rule"], F.md5("rule"), buckets=4)
+    folder = pathlib.Path(index.path.removeprefix("file:"))
+    assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) < 2 * sum(map(len, texts))
+
+
 def _by_query(hits):
     out = {}
     for r in hits.orderBy("query_id", "rank").collect():
