@@ -7,6 +7,7 @@ the mix of its character shapes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -146,23 +147,52 @@ def fit(grades: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarr
     return Model(out, thresholds())
 
 
+_FITTED = "thresholds array<double>, fitted boolean, places array<int>, weights array<float>"
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch], n_grades: int) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of a task, with the weights that are not 0."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        place, value = (table.column(c).chunk(0).flatten().to_numpy() for c in ("places", "values"))
+        many = pa.compute.list_value_length(table.column("places")).to_numpy()
+        of = np.repeat(np.arange(table.num_rows), many)
+        model = fit(table.column("_grade").to_numpy().astype(np.int64), of, place.astype(np.int64), value, n_grades)
+    else:
+        model = _unfitted(n_grades)
+    used = np.flatnonzero(model.weights)
+    columns = [[model.thresholds.tolist()], [model.fitted], [used.astype(np.int32)], [model.weights[used]]]
+    kinds = [pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["thresholds", "fitted", "places", "weights"])
+
+
+def _unfitted(n_grades: int) -> Model:
+    return fit(*[np.zeros(0, np.int64)] * 3, np.zeros(0), n_grades)
+
+
 def fit_sample(docs: DataFrame, grades: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text", grade: str = "grade", rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` graded documents, drawn by a hash of their ids.
 
-    Without one the model is not fitted. Only the features of those rows come to the driver. Grades that are null or outside
+    Without one the model is not fitted. The features of those rows, no more than the bound allows, meet in one task; only
+    the weights come to the driver. Grades that are null or outside
     0 .. n_grades - 1, and ids without a document, are not used.
     """
     usable = grades.select(F.col(id), F.col(grade).cast("int").alias("_grade")).filter(F.col("_grade").between(0, n_grades - 1))
     # an id may have been graded more than once; its lowest grade holds
     drawn = usable.groupBy(id).agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64(id), id).limit(rows)
     sample = docs.select(id, text).join(F.broadcast(drawn), id).dropDuplicates([id])
-    table = with_text_columns(sample, _feature_columns, _FEATURES, text).select("_grade", "places", "values").toArrow().combine_chunks()
-    if not table.num_rows:
-        return fit(*[np.zeros(0, np.int64)] * 3, np.zeros(0), n_grades)
-    place, value = (table.column(c).chunk(0).flatten().to_numpy() for c in ("places", "values"))
-    many = pa.compute.list_value_length(table.column("places")).to_numpy()
-    of = np.repeat(np.arange(table.num_rows), many)
-    return fit(table.column("_grade").to_numpy().astype(np.int64), of, place.astype(np.int64), value, n_grades)
+    features = with_text_columns(sample, _feature_columns, _FEATURES, text).select(id, "_grade", "places", "values")
+    # sums depend on the order of the rows in their last digits, and steps on those: the order of the exchange by id, as without the single task
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = features.repartition(1).sortWithinPartitions(F.pmod(F.hash(id), F.lit(parts)), id).select("_grade", "places", "values")
+    found = gathered.mapInArrow(partial(_fit_rows, n_grades=n_grades), _FITTED).toArrow()
+    if not found.num_rows:
+        return _unfitted(n_grades)
+    places, weights = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "weights"))
+    out = np.zeros(1 << BITS, dtype=np.float32)
+    out[places] = weights
+    return Model(out, np.array(found.column("thresholds")[0].as_py()), found.column("fitted")[0].as_py())
 
 
 def _score_columns(texts: pa.Array, shared: Broadcast, fields: list[pa.Field], keep: float) -> dict[str, pa.Array]:

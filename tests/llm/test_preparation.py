@@ -414,6 +414,24 @@ def test_simhash(spark, docs, empty):
     assert {r.q: r.n_near for r in near.collect()} == {base: sum(bin(n ^ base).count("1") <= 3 for n in numbers)}
 
 
+def test_weights_are_fitted_in_a_task(spark, monkeypatch):
+    """The features of the sample never come to the driver, only the weights do."""
+    rows = [(i, ("good words here " if i % 2 else "zz qq 99 ") * 5) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(60)], "doc_id long, grade int")
+    model = ordinal.fit_sample(table, grades, 3)
+    real = ordinal.fit
+
+    def only_empty(found, *rest):
+        assert not len(found), "fitted on the driver"
+        return real(found, *rest)
+
+    monkeypatch.setattr(ordinal, "fit", only_empty)
+    again = ordinal.fit_sample(table, grades, 3)
+    assert again.fitted and (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
+    assert not ordinal.fit_sample(table, grades.filter("false"), 3).fitted
+
+
 def test_ordinal(spark, docs, empty):
     good, bad, junk = "clear sound helpful prose", "stupid worthless prose", "BUY!! NOW!! $$$ %%%"
     rows = [(i, f"{[bad, junk, good][i % 3]} number {i} of many") for i in range(300)]
