@@ -145,3 +145,17 @@ def test_generate_and_its_log(spark):
     log = {r["ok"]: r for r in A.generation_events(results, F.current_timestamp()).collect()}
     assert (log[True]["prompt_tokens"], log[True]["total_tokens"], log[True]["modelo"]) == (3, 0, "m")
     assert (log[False]["erro"], log[False]["prompt_tokens"], log[False]["endpoint"]) == ("KeyError", 0, "llm")
+
+
+def test_rows_of_hits_are_fetched_only_where_they_are_read(spark):
+    rows = [(i, "c", f"rede lenta {i}", f"a{i}") for i in range(20)]
+    kb = spark.createDataFrame(rows, "doc_id long, category string, rule string, action string")
+    index = build_index(kb, ["category", "rule"], "rule", buckets=2)
+    words = build_word_index(kb, ["category", "rule"], "rule")
+    broken = kb.withColumn("action", F.raise_error(F.concat(F.lit("read "), "action")).cast("string"))
+    asked = spark.createDataFrame([("a", "rede 7"), ("b", "Rede, 7!"), ("c", "lenta"), ("d", " ")], "query_id string, text string")
+    answers = A.answer_batch(asked, index, words, broken)
+    got = {r["query_id"]: (r["status"], r["n_hits"]) for r in answers.drop("hits").collect()}
+    assert got == {"a": ("ok", 3), "b": ("ok", 3), "c": ("ok", 3), "d": ("empty_query", 0)}
+    whole = {r["query_id"]: r["hits"] for r in A.answer_batch(asked, index, words, kb).collect()}
+    assert [h["action"] for h in whole["a"]] == [h["action"] for h in whole["b"]] and len(whole["c"]) == 3 and whole["d"] is None

@@ -179,6 +179,16 @@ def test_large_batches_give_the_same(spark, index, asked, bounded):
         spark.conf.unset(BROADCAST_CONF)
 
 
+def test_bounds_of_large_batches_do_not_grow_with_the_blocks(spark, index, asked, bounded):
+    spark.conf.set(BROADCAST_CONF, "-1")
+    try:
+        plan = S.candidate_pairs(index, S.asked_terms(index, asked))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("wide#" in line and "block#" not in line for line in windows)
+
+
 def test_more_questions_than_postings(index, asked, texts, monkeypatch):
     want = _by_query(S.semantic_search(index, asked, 4))
     monkeypatch.setattr(S, "PLAIN_ROWS", -1)
