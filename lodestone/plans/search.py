@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from lodestone.functions.text import compose, has_text, long_words, pieces, search_form
 from lodestone.operators.rows import one_per_row
 from lodestone.operators.sizing import broadcast_limit, lookup_join, on_all_cores, small_enough
-from lodestone.plans.index import _CLASS_BITS, KEY, LENGTH_STEPS, TextIndex, bucketed, bucketed_table, query_vectors, tops_of, with_terms, within_blocks
-from lodestone.session import checkpoint_dir, cut_lineage, remove
+from lodestone.plans.index import _CLASS_BITS, _COMPACT, KEY, LENGTH_STEPS, TextIndex, bucketed, bucketed_table, query_vectors, tops_of, with_terms, within_blocks
+from lodestone.session import checkpoint_dir, cut_lineage, remove, written
 
 # Defaults and method labels that results have to carry.
 TOP_K = 3
@@ -33,8 +33,10 @@ KEYWORD = "palavra_chave"
 SCORE_DIGITS = 10
 # Bounds are compared with this much to spare.
 _SPARE = 1e-9
-# Parts that the answers of one token, word or query are dealt to.
+# Parts that the answers of one token, word or query are dealt to; those of a token are kept as bits of a long.
 PARTS = 64
+# Bytes of text for one bucket of the index of words, about; its rows take seven times as much in memory.
+WORD_BUCKET_BYTES = 16 * 1024 * 1024
 # Postings that a batch may meet, for each core, before bounds are worked out first.
 PLAIN_ROWS = 10_000_000
 # Size of a posting as :func:`measured_bytes` counts.
@@ -251,7 +253,8 @@ class WordIndex:
     """Where words occur, for search by parts of words.
 
     ``rows``: token, part, dedup_key, doc_id, bucketed by token and part (a hash of the dedup key, so that a common token is
-    many parts). ``pieces``: piece, token for every run of ``longer_than + 1`` characters, bucketed by piece.
+    many parts). ``pieces``: piece, token, parts, first for every run of ``longer_than + 1`` characters, bucketed by piece; bit i of ``parts``
+    tells whether part i has rows of the token, ``first`` is the least ``doc_id`` of the token.
     """
 
     rows: DataFrame
@@ -272,8 +275,9 @@ class WordIndex:
     def load(spark: SparkSession, path: str) -> WordIndex:
         facts = spark.read.parquet(f"{path}/facts").first()
         columns = f"token STRING, part INT, dedup_key {facts['key']}, doc_id {facts['id']}"
+        cut = f"piece STRING, token STRING, parts BIGINT, first {facts['id']}"
         rows = bucketed_table(spark, f"{path}/rows", columns, facts["n_buckets"], ("token", "part"))
-        pieces = bucketed_table(spark, f"{path}/pieces", "piece STRING, token STRING", facts["n_buckets"], ("piece",))
+        pieces = bucketed_table(spark, f"{path}/pieces", cut, facts["n_buckets"], ("piece",))
         return WordIndex(rows, pieces, facts["longer_than"], facts["n_buckets"], path)
 
     def drop(self) -> None:
@@ -284,10 +288,11 @@ class WordIndex:
 def build_word_index(
     kb: DataFrame, search_cols: Sequence[str], dedup_col: str | Column, longer_than: int = LONGER_THAN, buckets: int | None = None
 ) -> WordIndex:
-    """Index the words of more than ``longer_than`` characters of every row; the text is read once.
+    """Index the words of more than ``longer_than`` characters of every row; the text is read once, after its bytes were summed.
 
     A query word that occurs in a normalised text lies within one of its tokens, and that token holds the word's first
-    ``longer_than + 1`` characters. Unless given, there are as many buckets as shuffle partitions, and three for each core at least.
+    ``longer_than + 1`` characters. Unless given, there is a bucket for every ``WORD_BUCKET_BYTES`` of text, and at least one for each
+    shuffle partition and three for each core.
     """
     spark = kb.sparkSession
     dedup = F.col(dedup_col) if isinstance(dedup_col, str) else dedup_col
@@ -295,26 +300,64 @@ def build_word_index(
     forms = on_all_cores(texts, "doc_id").select("doc_id", "dedup_key", search_form(F.col("text")).alias("form"))
     rows = one_per_row(forms, ["doc_id", "dedup_key"], long_words(F.col("form"), longer_than), "token")
     part = F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)).cast("int").alias("part")
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    if buckets is None:
+        least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()["b"]
+        buckets = max(least, -(-size // WORD_BUCKET_BYTES))
+    n = buckets
     path = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
     laid = rows.select("token", part, "dedup_key", "doc_id").repartition(n, "token", "part")
     held = spark.table(bucketed(laid, n, f"{path}/rows", ("token", "part")))
-    cut = one_per_row(held.select("token").distinct(), ["token"], pieces(F.col("token"), longer_than + 1), "piece")
-    found = spark.table(bucketed(cut.select("piece", "token").repartition(n, "piece"), n, f"{path}/pieces", ("piece",)))
+    seen = held.groupBy("token").agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts"), F.min("doc_id").alias("first"))
+    cut = one_per_row(seen, ["token", "parts", "first"], pieces(F.col("token"), longer_than + 1), "piece")
+    found = spark.table(bucketed(cut.select("piece", "token", "parts", "first").repartition(n, "piece"), n, f"{path}/pieces", ("piece",)))
     return WordIndex(held, found, longer_than, n, path)
 
 
-def tokens_with_words(words: WordIndex, asked: DataFrame, small: bool) -> DataFrame:
-    """``token, word`` for every asked word inside a token of the table.
+def _with_last(words: WordIndex, sought: DataFrame, k: int, copies: bool) -> DataFrame:
+    """Words that are broadcast, with ``last``: a ``doc_id`` up to which k answers lie, if the word is a token of so many rows.
 
-    Words and tokens meet in an equality join on the word's first characters, and ``contains`` settles the rest.
+    Each part of the token sends a few rows, which are answers of their own; the k-th of them bounds the k-th of all.
     """
-    sought = asked.select("word").distinct().select("word", F.substring("word", 1, words.longer_than + 1).alias("piece"))
+    each = 2 * -(-k // PARTS)
+    own = words.rows.join(F.broadcast(sought.select(F.col("word").alias("token"))), "token", "left_semi")
+    if copies:
+        own = own.withColumn("dedup_key", F.col("doc_id"))
+    ids = _first_of_parts(own, each, "token", "part").groupBy(F.col("token").alias("word")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    return sought.join(F.broadcast(cut_lineage(ids.select("word", F.get("ids", F.lit(k - 1)).alias("last")))), "word", "left")
+
+
+def tokens_with_words(words: WordIndex, asked: DataFrame, k: int, copies: bool) -> DataFrame:
+    """``token, parts, word, last`` for every asked word inside a token of the table that can have one of the word's first k answers.
+
+    Words and tokens meet in an equality join on the word's first characters, and ``contains`` settles the rest. A token
+    whose first row comes after ``last`` is left out.
+    """
+    sought = cut_lineage(asked.select("word").distinct())
+    small = small_enough(sought)
+    # rows without an id come first, whatever the bound
+    if small and k > 0 and words.rows.filter(F.col("doc_id").isNull()).isEmpty():
+        sought = _with_last(words, sought, k, copies)
+    else:
+        sought = sought.withColumn("last", F.lit(None).cast(words.rows.schema["doc_id"].dataType))
+    sought = sought.withColumn("piece", F.substring("word", 1, words.longer_than + 1))
     if small:
         found = words.pieces.join(F.broadcast(sought), "piece")
     else:
         found = lookup_join(words.pieces, cut_lineage(sought), ["piece"], "inner", ["token"])
-    return cut_lineage(found.filter(F.contains(F.col("token"), F.col("word"))).select("token", "word"))
+    found = found.filter(F.contains(F.col("token"), F.col("word")) & (F.col("last").isNull() | (F.col("first") <= F.col("last"))))
+    return written(found.select("token", "parts", "word", "last"), _COMPACT)[0]
+
+
+def _least_ranks(rows: DataFrame, k: int, *groups: str) -> DataFrame:
+    """The k rows of each group with the least ``doc_id``, and their ``rank``."""
+    order = W.partitionBy(*groups).orderBy("doc_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _first_of_parts(rows: DataFrame, k: int, group: str, part: str) -> DataFrame:
+    """The k keys of each part of a group that come first in the table, each at its first row."""
+    return _least_ranks(rows.groupBy(group, part, "dedup_key").agg(F.min("doc_id").alias("doc_id")), k, group, part)
 
 
 def _first_rows(rows: DataFrame, k: int, group: str, part: str = "_part") -> DataFrame:
@@ -323,12 +366,26 @@ def _first_rows(rows: DataFrame, k: int, group: str, part: str = "_part") -> Dat
     Keys are dealt to parts by their hash and each part keeps its own k, so a group of any
     size is cut up at any k, and at most ``k * PARTS`` rows of it meet in one task.
     """
-    dealt = rows if part in rows.columns else rows.withColumn(part, F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)))
-    first = dealt.groupBy(group, part, "dedup_key").agg(F.min("doc_id").alias("doc_id"))
-    for groups in ([group, part], [group]):
-        order = W.partitionBy(*groups).orderBy("doc_id")
-        first = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return first.drop(part)
+    if part not in rows.columns:  # laid out by part at once, so that counting and ranking need no exchange of their own
+        rows = rows.withColumn(part, F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS))).repartition(group, part)
+    return _least_ranks(_first_of_parts(rows, k, group, part), k, group).drop(part)
+
+
+def _first_of_tokens(words: WordIndex, matched: DataFrame, k: int, copies: bool) -> DataFrame:
+    """``token, dedup_key, doc_id``: the k keys of each matched token that come first, each at its first row.
+
+    The rows of the index stay where they are stored. The parts in which a token has rows are sent to them, and each sends its first k up
+    to the ``last`` of a word.
+    """
+    present = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.getbit(F.col("parts"), i) == 1)
+    sought = matched.select(F.col("token").alias("_token"), F.explode(present).alias("_part"), "last")
+    sought = F.broadcast(sought) if small_enough(sought) else sought.hint("shuffle_hash")
+    rows = words.rows.select("token", "part", "doc_id", F.col("doc_id").alias("dedup_key")) if copies else words.rows
+    own = (F.col("token") == F.col("_token")) & (F.col("part") == F.col("_part")) & (F.col("last").isNull() | (F.col("doc_id") <= F.col("last")))
+    first = _first_of_parts(rows.join(sought, own, "left_semi"), k, "token", "part")
+    # a document that comes twice can be in two parts
+    met = first.repartition("token").groupBy("token", "dedup_key").agg(F.min("doc_id").alias("doc_id"))
+    return _least_ranks(met, k, "token").drop("rank")
 
 
 def keyword_search(words: WordIndex, queries: DataFrame, k: int = TOP_K, copies: bool = False) -> DataFrame:
@@ -340,17 +397,11 @@ def keyword_search(words: WordIndex, queries: DataFrame, k: int = TOP_K, copies:
     the rows of tokens that hold a word.
     """
     asked = cut_lineage(query_words(queries, words.longer_than))
-    small = small_enough(asked)
-    matched = tokens_with_words(words, asked, small)
-    held = words.rows
-    if copies:
-        held = held.select("token", "doc_id", F.col("doc_id").alias("dedup_key"))
-    tokens = matched.select("token").distinct()
-    kept = held.join(F.broadcast(tokens), "token", "left_semi") if small_enough(matched) else lookup_join(held, cut_lineage(tokens), ["token"], "left_semi", ["doc_id"])
-    part = "_part" if copies else "part"
-    per_token = cut_lineage(_first_rows(kept, k, "token", part))
-    per_word = _first_rows(lookup_join(matched, per_token, ["token"], "inner", ["word"]), k, "word")
-    found = lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
+    matched = tokens_with_words(words, asked, k, copies)
+    # a token has at most k rows here, and as many words as lie within it
+    met = matched.select("token", "word").join(_first_of_tokens(words, matched, k, copies), "token")
+    per_word = _first_rows(met, k, "word").drop("rank")
+    found = per_word.join(F.broadcast(asked), "word") if small_enough(asked) else lookup_join(asked, cut_lineage(per_word), ["word"], "inner", ["query_id"])
     return _first_rows(found, k, "query_id").select(
         "query_id",
         F.col("rank").cast("long").alias("rank"),

@@ -369,3 +369,55 @@ def test_hit_rows_on_both_paths(spark, kb, index, asked):
         assert sorted(map(tuple, S.with_rows(hits, kb, ["rule"]).select("query_id", "rank", "rule").collect())) == want
     finally:
         spark.conf.unset(BROADCAST_CONF)
+
+
+def _exchanges(monkeypatch, run):
+    """The plans of what a search keeps while it runs, and of its result."""
+    plans = []
+    real = S.written
+
+    def kept(df, *args):
+        plans.append(df)
+        return real(df, *args)
+
+    monkeypatch.setattr(S, "written", kept)
+    plans.append(run())
+    return [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_rows_of_the_word_index_are_not_sent_to_their_tokens(spark, kb, asked, monkeypatch, copies):
+    """What is sent are a token's parts; the stored rows meet them as they lie."""
+    words = S.build_word_index(kb, ["category", "rule"], "rule")
+    spark.conf.set(BROADCAST_CONF, "-1")
+    try:
+        plans = _exchanges(monkeypatch, lambda: S._first_of_tokens(words, S.tokens_with_words(words, S.query_words(asked), 3, copies), 3, copies))
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+    assert plans[-1].count("Exchange hashpartitioning(_token") == 1 and plans[-1].count("Exchange hashpartitioning(token") == 1
+
+
+def test_tokens_after_the_first_answers_are_left_out(spark):
+    # every row has a token of its own that holds the word, and the word itself
+    texts = [f"rede rede{i:04}" for i in range(2000)]
+    kb = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, category string, rule string")
+    asked = spark.createDataFrame([(1, "rede"), (2, "rede1999")], "query_id long, text string")
+    words = S.build_word_index(kb, ["category", "rule"], "rule")
+    for k, copies in ((3, False), (500, True)):
+        matched = S.tokens_with_words(words, S.query_words(asked), k, copies)
+        assert matched.filter("word = 'rede'").count() < 2000 / 2
+        hits = _by_query(S.keyword_search(words, asked, k, copies))
+        assert {q: [i for i, _ in h] for q, h in hits.items()} == {1: list(range(k)), 2: [1999]}
+
+
+def test_answers_of_rows_without_an_id_come_first(spark):
+    kb = spark.createDataFrame([(None, "c", "parede"), *((i, "c", f"rede {i}") for i in range(300))], "doc_id long, category string, rule string")
+    asked = spark.createDataFrame([(1, "rede")], "query_id long, text string")
+    hits = _by_query(S.keyword_search(S.build_word_index(kb, ["category", "rule"], "rule"), asked, 3))
+    assert [i for i, _ in hits[1]] == [None, 0, 1]
+
+
+def test_buckets_of_words_grow_with_the_text(spark, kb, monkeypatch):
+    least = S.build_word_index(kb, ["category", "rule"], "rule").n_buckets
+    monkeypatch.setattr(S, "WORD_BUCKET_BYTES", 16)
+    assert S.build_word_index(kb, ["category", "rule"], "rule").n_buckets > 2 * least
