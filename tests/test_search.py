@@ -421,3 +421,14 @@ def test_buckets_of_words_grow_with_the_text(spark, kb, monkeypatch):
     least = S.build_word_index(kb, ["category", "rule"], "rule").n_buckets
     monkeypatch.setattr(S, "WORD_BUCKET_BYTES", 16)
     assert S.build_word_index(kb, ["category", "rule"], "rule").n_buckets > 2 * least
+
+
+def test_terms_outside_a_small_vocabulary_are_not_kept(spark, monkeypatch):
+    kb = spark.createDataFrame([(0, "rede wifi"), (1, "senha lenta")], "doc_id long, rule string")
+    index = build_index(kb, ["rule"], "rule", buckets=2)
+    long = " ".join(f"w{i}" for i in range(500))
+    queries = spark.createDataFrame([(1, f"{long} rede wifi"), (2, long)], "query_id long, text string")
+    kept, real = [], ix.cut_lineage
+    monkeypatch.setattr(ix, "cut_lineage", lambda df, *a, **b: kept.append(real(df, *a, **b)) or kept[-1])
+    vectors, _ = ix.query_vectors(index, queries)
+    assert vectors.count() == 3 and max(df.count() for df in kept) == 3
