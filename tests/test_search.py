@@ -432,3 +432,46 @@ def test_terms_outside_a_small_vocabulary_are_not_kept(spark, monkeypatch):
     monkeypatch.setattr(ix, "cut_lineage", lambda df, *a, **b: kept.append(real(df, *a, **b)) or kept[-1])
     vectors, _ = ix.query_vectors(index, queries)
     assert vectors.count() == 3 and max(df.count() for df in kept) == 3
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_batch_past_a_broadcast_is_multiplied_in_tasks(spark, index, asked, texts, monkeypatch, copies):
+    """No pair of a query and a document leaves its task but for the best k, and slices of the batch give what the whole does."""
+    from lodestone.plans import product
+
+    search = (lambda *a: S.best_documents(*a).withColumnRenamed("score", "similarity")) if copies else S.semantic_search
+    want = _by_query(search(index, asked, 2, 0.2))
+    monkeypatch.setattr(product, "LEAST_SLICE", 2000)
+    monkeypatch.setattr(product._Best, "__init__", _early(product._Best.__init__))
+    monkeypatch.setattr(S, "candidate_pairs", None)
+    spark.conf.set(BROADCAST_CONF, "-1")
+    try:
+        monkeypatch.setattr(S, "_few", lambda *_: False)
+        got = search(index, asked, 2, 0.2)
+        assert _by_query(got) == {q: [(i, pytest.approx(s, abs=1e-9)) for i, s in hits] for q, hits in want.items()}
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+
+
+def _early(start):
+    """The best are settled after every few answers."""
+
+    def started(self, *args):
+        start(self, *args)
+        self.most = 1
+
+    return started
+
+
+def test_halves_of_keys_may_be_equal():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.plans.product import _met
+
+    lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+    frame = pa.RecordBatch.from_pydict(
+        {"doc_id": [7, 8], "dedup_key": ["x", "y"], "norm": [2.0, 1.0], "a": lists([[5, 5, 9], [1]]), "b": lists([[2, 1, 3], [1]]), "tf": lists([[2, 4, 6], [1]])}
+    )
+    ((doc, key, at, x),) = _met(frame, np.array([3, 5, 5]), np.array([0, 1, 2]))
+    assert (doc, key, sorted(zip(at.tolist(), x.tolist()))) == (7, "x", [(1, 2.0), (2, 1.0)])
