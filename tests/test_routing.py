@@ -159,3 +159,14 @@ def test_rows_of_hits_are_fetched_only_where_they_are_read(spark):
     assert got == {"a": ("ok", 3), "b": ("ok", 3), "c": ("ok", 3), "d": ("empty_query", 0)}
     whole = {r["query_id"]: r["hits"] for r in A.answer_batch(asked, index, words, kb).collect()}
     assert [h["action"] for h in whole["a"]] == [h["action"] for h in whole["b"]] and len(whole["c"]) == 3 and whole["d"] is None
+
+
+def test_facts_of_nested_hits_are_those_of_their_rows(spark):
+    columns = "query_id long, rank long, similarity double, category string, rule string, action string"
+    rows = [(1, 2, None, "c", "r2", "a"), (1, 1, 0.5, "c", "r1", "a"), (2, 1, 0.25, "c", None, "a"), (3, 1, 0.1, "d", "r", "b")]
+    hits = spark.createDataFrame(rows, columns)
+    nested = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "category", "rule", "action"))).alias("hits"))
+    got = nested.select("query_id", A.nested_facts(F.col("hits")).alias("facts"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.fact_texts(hits).collect()))
+    none = nested.select(A.nested_facts(F.filter("hits", lambda h: h["rank"] > 9)).alias("e"), A.nested_facts(F.lit(None).cast(nested.schema["hits"].dataType)).alias("n"))
+    assert none.distinct().collect() == [(None, None)]
