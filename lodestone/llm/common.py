@@ -18,19 +18,21 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 # Rows that one task numbers at a time; a table has as many buckets as that takes.
 BUCKET_ROWS = 200_000
+# Documents of one part of a step, at least.
+PART_DOCS = 5_000
 
 
 # The folders of the steps written inside the innermost ``steps``, which deletes them.
 _own: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write a table once to the shared checkpoint folder and go on from its files.
 
     ``checkpoint()`` would work out the last stage twice. Neither lineage nor the executors
-    that wrote the files are needed afterwards.
+    that wrote the files are needed afterwards. With ``parts`` it is written by so many tasks at most.
     """
-    held, path = written(df)
+    held, path = written(df if parts is None else df.coalesce(parts))
     if (own := _own.get()) is not None:
         own.append(path)
     return held
@@ -52,6 +54,14 @@ def steps(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def parts_for(docs: DataFrame) -> int:
+    """In how many parts at most the steps of a stored table of documents are written.
+
+    A session can have many more shuffle partitions than a small table has use for; a file for each costs more than its rows.
+    """
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // PART_DOCS))
+
+
 def text_key(text: str = "text") -> Column:
     """128 bits that stand for a text, as two longs; null and empty differ from each other."""
     return F.struct(

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm.common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either the smallest of its component or linked with that alone."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return met.agg(F.coalesce(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))), F.lit(False)).alias("open")).first()["open"] is False
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,19 +30,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return smaller.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for every node with a link.
 
     ``links`` has the columns ``a`` and ``b``. Each round at least halves the depth of the
-    trees; a node with any number of neighbours is aggregated, not gathered.
+    trees; a node with any number of neighbours is aggregated, not gathered. Steps are written in
+    ``parts`` parts at most, if given.
     """
-    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = stored(_small_star(_large_star(edges)))
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
+    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = stored(edges, parts)
+    while not _settled(edges):
+        edges = stored(_small_star(_large_star(edges)), parts)
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

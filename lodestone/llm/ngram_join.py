@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import stored, with_text_columns
+from lodestone.llm.common import parts_for, stored, with_text_columns
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import UNSPACED, lists, mix, slices, words_of
 from lodestone.operators.sizing import small_enough
@@ -218,17 +218,17 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(sizes).filter(alike).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, text: str, gram: int, percent: int, nodes: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, text: str, gram: int, percent: int, parts: int, nodes: DataFrame) -> DataFrame:
     """The n-grams of some nodes, worked out anew from their texts."""
-    own = docs.join(_sent(stored(nodes)), "node", "left_semi")
+    own = docs.join(_sent(stored(nodes, parts)), "node", "left_semi")
     grams = with_text_columns(own, partial(_columns, gram=gram, percent=percent, grams=True), GRAMS, text)
-    return stored(grams.dropDuplicates(["node", "n_shingles", "k1", "k2"]).select("node", "grams"))
+    return stored(grams.dropDuplicates(["node", "n_shingles", "k1", "k2"]).select("node", "grams"), parts)
 
 
-def _linked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, parts: int) -> DataFrame:
     """The pairs that reach the bound by their sets."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return stored(_with_sets(pairs, sets(nodes)).filter(_reaches(percent)).select("a", "b"))
+    return stored(_with_sets(pairs, sets(nodes)).filter(_reaches(percent)).select("a", "b"), parts)
 
 
 def _near_in_blocks(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) -> Iterator[pa.RecordBatch]:
@@ -322,54 +322,56 @@ def class_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gr
     """The rows' sets (id, size, key of the set) and the component of every linked id."""
     blocked = with_text_columns(docs.select(F.col(id).alias("node"), text), partial(_columns, gram=gram, percent=percent, grams=False), BLOCKS, text)
     blocked = stored(blocked)
+    parts = parts_for(blocked)
+    kept = partial(stored, parts=parts)
     rows = blocked.drop("blocks", "sketch")
     keys = ["k1", "k2", "n_shingles"]
     known = rows.filter("node IS NOT NULL AND n_shingles > 0")
-    classes = stored(known.groupBy(*keys).agg(F.min("node").alias("node"), F.count("*").alias("_n")))
+    classes = kept(known.groupBy(*keys).agg(F.min("node").alias("node"), F.count("*").alias("_n")))
     copies = known.join(classes.filter("_n > 1").select(*keys, F.col("node").alias("first")), keys).filter("node <> first")
-    copies = stored(copies.select("node", *keys, "first"))
+    copies = kept(copies.select("node", *keys, "first"))
 
     # one of each class
     firsts = blocked.filter("node IS NOT NULL AND n_shingles > 0").join(_sent(copies.select("node", *keys)), ["node", *keys], "left_anti")
     entries = firsts.select("node", F.explode("blocks").alias("block"))
     shared = entries.groupBy("block").agg(F.count("*").alias("many")).filter("many > 1")
-    members = stored(entries.join(shared, "block"))
+    members = kept(entries.join(shared, "block"))
 
     # each class first against one other: of those that lead its blocks by sharing most, the first
     reach = members.groupBy("node").agg(F.sum(F.col("many") - 1).alias("reach"))
     heads = members.join(reach, "node").groupBy("block").agg(F.max(F.struct("reach", "node")).alias("h"))
     led = members.join(heads, "block").filter(F.col("h.node") != F.col("node"))
     hubs = led.groupBy("node").agg(F.max("h").alias("h")).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
-    sketches = stored(firsts.dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
+    sketches = kept(firsts.dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
     kind = members.schema["node"].dataType.simpleString()
-    sets = partial(_sets_of, docs.select(F.col(id).alias("node"), text), text, gram, percent)
-    links = _linked(stored(_alike(hubs, sketches, percent)), sets, percent)
+    sets = partial(_sets_of, docs.select(F.col(id).alias("node"), text), text, gram, percent, parts)
+    links = _linked(kept(_alike(hubs, sketches, percent)), sets, percent, parts)
 
     # then in blocks whose classes are still apart: all in a block of bounded size, at first only the closest pair of two components
     for closest in (True, False):
-        known = members.join(stored(components(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = members.join(kept(components(links, parts)), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = known.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("block")
-        known = stored(known.join(mixed, "block", "left_semi").select("block", "many", "node", "component"))
+        known = kept(known.join(mixed, "block", "left_semi").select("block", "many", "node", "component"))
         held = known.filter(F.col("many") <= PAIRED).join(sketches, "node").select("block", "node", "component", "n_shingles", "sketch")
         held = held.repartition("block").sortWithinPartitions("block")
         near = held.mapInArrow(partial(_near_in_blocks, percent=percent, closest=closest), f"a {kind}, b {kind}").distinct()
         if closest:
-            links = links.unionByName(_linked(stored(near), sets, percent))
+            links = links.unionByName(_linked(kept(near), sets, percent, parts))
 
     # in a larger one, those that its head is like
     led = known.filter(F.col("many") > PAIRED).join(heads.select("block", F.col("h.node").alias("head")), "block").filter("node <> head")
-    led = stored(led.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    more = stored(near.unionByName(_alike(led, sketches, percent)))
-    links = links.unionByName(_linked(more, sets, percent))
+    led = kept(led.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    more = kept(near.unionByName(_alike(led, sketches, percent)))
+    links = links.unionByName(_linked(more, sets, percent, parts))
 
     # and last what is still apart in the larger ones
     if not led.isEmpty():
         wanted = led.select(F.col("a").alias("node")).unionByName(led.select(F.col("b").alias("node"))).distinct()
         own = sets(wanted)
-        rest = stored(_alike(_apart(led, components(links), own, percent), sketches, percent))
+        rest = kept(_alike(_apart(led, components(links, parts), own, percent), sketches, percent))
         links = links.unionByName(_with_sets(rest, own).filter(_reaches(percent)).select("a", "b"))
     same = copies.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return rows, components(links.unionByName(same))
+    return rows, components(links.unionByName(same), parts)
 
 
 def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
