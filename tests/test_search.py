@@ -475,3 +475,17 @@ def test_halves_of_keys_may_be_equal():
     )
     ((doc, key, at, x),) = _met(frame, np.array([3, 5, 5]), np.array([0, 1, 2]))
     assert (doc, key, sorted(zip(at.tolist(), x.tolist()))) == (7, "x", [(1, 2.0), (2, 1.0)])
+
+
+def test_a_threshold_alone_pairs_nothing_with_all_terms(index, asked, texts, bounded):
+    """Its pairs are many; a hash table of each with every term of its query outgrows a task."""
+    terms = S.asked_terms(index, asked)
+    pairs = S.score_pairs(index, terms)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and "Exchange hashpartitioning" not in plan
+    brute, counts = Brute(texts), dict(map(tuple, pairs.filter(F.col("score") > S.THRESHOLD).groupBy("query_id").count().collect()))
+    want = {r["query_id"]: len(brute.search(r["text"], range(len(texts)), 10**9, S.THRESHOLD)) for r in asked.collect()}
+    assert counts == {q: n for q, n in want.items() if n}
+    # floors from answers found keep their bounds
+    raised = S.score_pairs(index, S.with_floors(index, terms, 3, False))
+    assert "ShuffledHashJoin" in raised._jdf.queryExecution().executedPlan().toString()
