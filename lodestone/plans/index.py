@@ -7,7 +7,8 @@ A row's terms are counted within the row and stored beside it, sorted, as text:
 of hashes take, which nothing compresses. Where terms meet, a term is a key of 128 bits made of its text on the way.
 Documents of about the same length share a block of few documents, and the stored tables are
 bucketed by block, so everything that goes by block or by document afterwards needs no exchange. Of the postings, only those of
-rare terms are sent to their term, for the norms; the counts of the frequent ones are sent around.
+rare terms are sent to their term, for the norms; the counts of the frequent ones are sent around. Terms are sent
+a slice at a time, so that the disk never holds all that is sent.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -23,7 +25,7 @@ from lodestone.functions.text import adjacent, compose, ngrams, tokens
 from lodestone.operators.ordering import with_sequence
 from lodestone.operators.rows import fields_per_row, one_per_row
 from lodestone.operators.sizing import broadcast_limit, lookup_join, measured_bytes, on_all_cores, small_enough
-from lodestone.session import checkpoint_dir, co_partitioned, cut_lineage, remove, written
+from lodestone.session import checkpoint_dir, co_partitioned, cut_lineage, remove, tidied, written
 
 SPAN = (1, 2)
 KEY = ["a", "b"]
@@ -36,6 +38,8 @@ _CLASS_BITS = 24
 # Stored bytes of one bucket, about, and of one posting.
 BUCKET_BYTES = 64 * 1024 * 1024
 _POSTING_BYTES = 4
+# Parts of all terms that are sent one after another; the stored rows are read once for each.
+SLICES = 4
 # How stored tables are written: runs of sorted terms take little room as differences.
 _COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 # Measured size of a term's key and count.
@@ -223,10 +227,15 @@ def new_table() -> str:
     return f"default.lodestone_{uuid.uuid4().hex}"
 
 
-def bucketed(df: DataFrame, buckets: int, path: str, by: Sequence[str] = ("block",)) -> str:
-    """Write a table that is laid out by some columns as a bucketed one; reads of the name returned know the layout."""
-    table = new_table()
-    df.write.format("parquet").options(**_COMPACT).mode("overwrite").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+def bucketed(df: DataFrame, buckets: int, path: str, by: Sequence[str] = ("block",), sort: Sequence[str] = (), more: str | None = None) -> str:
+    """Write a table that is laid out by some columns as a bucketed one; reads of the name returned know the layout.
+
+    Rows of a file are sorted by ``sort``, which takes less room. ``more``: the table of an earlier call, to which the rows are added.
+    """
+    table = more or new_table()
+    laid = df.write.format("parquet").options(**_COMPACT).mode("append" if more else "overwrite").bucketBy(buckets, *by)
+    with tidied(df):
+        (laid.sortBy(*sort) if sort else laid).option("path", path).saveAsTable(table)
     return table
 
 
@@ -241,6 +250,11 @@ def _token_rows(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, tokens(F.col("text")).alias("toks"))
 
 
+def in_slice(key: Column, i: int) -> Column:
+    """Whether a key, of any type, is of the ``i``-th of ``SLICES`` parts."""
+    return F.pmod(F.xxhash64(key), F.lit(SLICES)) == i
+
+
 def count_cut(counts: DataFrame, n: int, count: str = "tf") -> tuple[int, int]:
     """The count of the ``n``-th largest row, and how many rows have a larger one; (0, rows) if there are fewer.
 
@@ -367,23 +381,29 @@ def build_index(
 
     own = co_partitioned(spark)  # a session of its own, so that the caller's settings stay as they are
     bags = own.read.schema(counted.schema).parquet(folder)
-    shape = bags.groupBy(_length_class().alias("c")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum(F.size("bag")).alias("m")).collect()
+    shape = bags.groupBy(_length_class().alias("c")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum(F.size("bag.tf")).alias("m")).collect()
     n_docs = sum(r["n"] for r in shape)
     if buckets is None:
         least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
         buckets = max(least, -(-sum(r["m"] for r in shape) * _POSTING_BYTES // BUCKET_BYTES))
 
-    vocab = fields_per_row(bags, [], F.col("bag"), "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     capped = max_features is not None
+    held_at = f"{path}/{'terms' if capped else 'words'}"
+    found = fields_per_row(bags, [], F.col("bag"), "term")
+    for i in range(SLICES):
+        vocab = found.filter(in_slice(F.col("term"), i)).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+        with tidied(vocab):  # sorted terms take less room
+            vocab.sortWithinPartitions("term").write.options(**_COMPACT).mode("append").parquet(held_at)
     if capped:
-        vocab = largest_terms(cut_lineage(vocab), max_features)
-    vocab.select("term", "tf", "df").write.options(**_COMPACT).parquet(f"{path}/words")
+        largest_terms(own.read.parquet(held_at), max_features).write.options(**_COMPACT).parquet(f"{path}/words")
+        remove(spark, held_at)
     words = own.read.parquet(f"{path}/words")
 
     block = _block({r["c"]: (r["n"], r["t"]) for r in shape}).alias("block")
     rows = fields_per_row(bags.select(block, "doc_id", "bag"), ["block", "doc_id"], F.col("bag"), "term")
     rows = rows.select("block", "doc_id", *term_key(F.col("term")), "tf")
-    norms, norms_at = written(_norms(rows, words, n_docs, capped), _COMPACT)
+    norms, norms_at = _norms(rows, words, n_docs, capped)
+    remove(spark, folder)
 
     sent = _token_rows(texts, "doc_id", "dedup_key")  # tokens hold no space, so their text says the same in less room
     sent = sent.select("doc_id", "dedup_key", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("line"))
@@ -403,31 +423,36 @@ def build_index(
     blocks = own.table(heads).groupBy("block").agg(F.count("*").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
     blocks = bucketed(blocks, buckets, f"{path}/blocks")
     n_postings = own.table(blocks).agg(F.coalesce(F.sum("n_terms"), F.lit(0)).alias("m")).first()["m"]
-    for at in (folder, norms_at):
-        remove(spark, at)
+    remove(spark, norms_at)
     bags = spark.table(bags_at).select("block", "doc_id", "norm", "bag")
     return TextIndex(bags, spark.table(heads), spark.table(blocks), spark.read.parquet(f"{path}/words"), n_docs, n_postings, buckets, (span[0], span[1]), capped, path)
 
 
-def _norms(rows: DataFrame, words: DataFrame, n_docs: int, capped: bool) -> DataFrame:
-    """``block, doc_id, norm, n_terms`` from rows ``block, doc_id, a, b, tf``.
+def _norms(rows: DataFrame, words: DataFrame, n_docs: int, capped: bool) -> tuple[DataFrame, str]:
+    """``block, doc_id, norm, n_terms`` from rows ``block, doc_id, a, b, tf``, and the folder where they are.
 
-    Frequent terms are weighed where they are. The others meet at their term, with 96 bits of the key, and are counted there.
+    Frequent terms are weighed where they are. The others meet at their term, with 96 bits of the key, and are counted there,
+    a slice of the terms at a time.
     """
     own = ["block", "doc_id"]
     w = F.col("tf") * idf(F.lit(n_docs), F.col("df"))
     squares = [F.sum(w * w).alias("s"), F.count("*").alias("n")]
     if capped:
         held = words.select(*term_key(F.col("term")), "df")
-        parts = with_terms(rows, held, small_enough(held)).groupBy(*own).agg(*squares)
+        steps = [with_terms(rows, held, small_enough(held))]
     else:
         here, others = _split_by_count(rows, words)
         short = others.select(*own, "a", F.shiftright("b", 32).cast("int").alias("c"), F.col("tf").cast("int").alias("tf"))
-        met = short.repartition("a").withColumn("df", F.count("*").over(W.partitionBy("a", "c")))
-        parts = met.groupBy(*own).agg(*squares)
+        slices = [short.filter(in_slice(F.col("a"), i)).repartition("a") for i in range(SLICES)]
+        steps = [s.withColumn("df", F.count("*").over(W.partitionBy("a", "c"))) for s in slices]
         if here is not None:
-            parts = here.groupBy(*own).agg(*squares).unionByName(parts)
-    return parts.groupBy(*own).agg(F.sqrt(F.sum("s")).alias("norm"), F.sum("n").cast("int").alias("n_terms"))
+            steps.append(here)
+    parts = [written(step.groupBy(*own).agg(*squares), _COMPACT) for step in steps]
+    whole = reduce(DataFrame.unionByName, [part for part, _ in parts])
+    norms = written(whole.groupBy(*own).agg(F.sqrt(F.sum("s")).alias("norm"), F.sum("n").cast("int").alias("n_terms")), _COMPACT)
+    for _, at in parts:
+        remove(rows.sparkSession, at)
+    return norms
 
 
 def query_vectors(index: TextIndex, queries: DataFrame) -> tuple[DataFrame, int]:

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +14,8 @@ _PATH_CONF = "spark.checkpoint.dir"
 _ADAPTIVE_CONF = "spark.sql.adaptive.enabled"
 # Joins on block and term go without an exchange where both sides are laid out by block.
 _CO_PARTITION_CONF = "spark.sql.requireAllClusterKeysForCoPartition"
+# Shuffle files of a step go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "lodestone", cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -57,7 +59,9 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False, by_block: bool = False
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    wanted = {_ADAPTIVE_CONF: "false"} if keep_layout else {}
+    wanted = {_CLEANUP_CONF: "true"}
+    if keep_layout:
+        wanted[_ADAPTIVE_CONF] = "false"
     if by_block:
         wanted[_CO_PARTITION_CONF] = "false"
     with setting(spark, wanted):
@@ -77,15 +81,21 @@ def setting(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def tidied(df: DataFrame) -> AbstractContextManager[None]:
+    """While it lasts, what the session of ``df`` runs leaves no shuffle files: for steps that are written and read again from their files."""
+    return setting(df.sparkSession, {_CLEANUP_CONF: "true"})
+
+
 def co_partitioned(spark: SparkSession) -> SparkSession:
     """Another session of the same application, in which tables laid out by a part of their join keys meet as they are.
 
-    It shares tables and files with the caller's, whose own settings are left alone.
+    It shares tables and files with the caller's, whose own settings are left alone. What it runs leaves no shuffle files.
     """
     own = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", _ADAPTIVE_CONF):
         own.conf.set(name, spark.conf.get(name))
     own.conf.set(_CO_PARTITION_CONF, "false")
+    own.conf.set(_CLEANUP_CONF, "true")
     return own
 
 
@@ -93,7 +103,8 @@ def written(df: DataFrame, options: Mapping[str, str] = {}) -> tuple[DataFrame,
     """Write ``df`` to a new folder beside the checkpoints and go on from its files; the table and its folder."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with tidied(df):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
