@@ -1,6 +1,7 @@
 import math
 import pathlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ from lodestone.catalog import views
 from lodestone.operators.sizing import BROADCAST_CONF
 from lodestone.plans import index as ix, search as S
 from lodestone.plans.index import TextIndex, build_index, corpus_terms, index_shape
+from lodestone.session import checkpoint_dir
 
 WORDS = "casa rede wifi senha cabo mesa conta login lento erro tela impressora roteador cartao porta b 7".split()
 
@@ -268,6 +270,52 @@ def test_index_is_built_with_one_exchange_of_postings(spark, kb, monkeypatch):
     assert not any("Join" in line and "term" in line for line in posts.splitlines())
 
 
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (held.apply(i).getName() for i in range(held.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def _left(spark, before):
+    """Shuffle files that were not there before; they are deleted in the background."""
+    for _ in range(20):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    return left
+
+
+def test_building_leaves_no_shuffle_files_and_counts_rows_once_on_disk(spark, kb, monkeypatch):
+    tables = lambda: set(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).glob("table-*"))
+    before, known, real, seen = _shuffle_files(spark), tables(), ix.bucketed, []
+
+    def kept(df, *args):
+        seen.append(tables() - known)
+        return real(df, *args)
+
+    monkeypatch.setattr(ix, "bucketed", kept)
+    build_index(kb, ["rule"], "rule", buckets=3)
+    assert len(seen[0]) == 1  # the norms alone, when the rows' terms are written by block
+    assert not tables() - known
+    assert not _left(spark, before)
+
+
+def test_building_the_index_of_words_leaves_no_shuffle_files(spark, kb, monkeypatch):
+    before, rows, real = _shuffle_files(spark), [], S.bucketed
+
+    def kept(df, *args):
+        rows.append(df.count())
+        return real(df, *args)
+
+    words = S.build_word_index(kb, ["category", "rule"], "rule")
+    assert not _left(spark, before)
+    monkeypatch.setattr(S, "bucketed", kept)
+    again = S.build_word_index(kb, ["category", "rule"], "rule")
+    # no exchange holds all rows, and none of them is lost
+    assert max(rows[: len(rows) // 2]) < sum(rows[: len(rows) // 2]) == words.rows.count() == again.rows.count()
+    assert sum(rows[len(rows) // 2 :]) == words.pieces.count()
+
+
 def test_saved_index_searches_the_same(spark, index, asked, tmp_path):
     index.save(str(tmp_path / "ix"))
     again = TextIndex.load(spark, str(tmp_path / "ix"))
