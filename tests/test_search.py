@@ -537,3 +537,55 @@ def test_a_threshold_alone_pairs_nothing_with_all_terms(index, asked, texts, bou
     # floors from answers found keep their bounds
     raised = S.score_pairs(index, S.with_floors(index, terms, 3, False))
     assert "ShuffledHashJoin" in raised._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k,threshold", [(1, 0.05), (3, 0.05), (3, 0.0), (50, 0.2)])
+def test_a_large_batch_sums_up_few_pairs(monkeypatch, k, threshold):
+    """Common terms alone cannot reach the best answers so far, so what shares no other term is passed over; floors found before pass over more."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.plans import product as P
+
+    monkeypatch.setattr(P, "_GROUP", 16)
+    monkeypatch.setattr(P, "_STEP", 500)
+    rng = np.random.default_rng(7)
+    n_docs, n_queries, n_terms = 600, 300, 900
+    idf = np.r_[np.full(20, 1.1), np.full(n_terms - 20, 6.0)]
+    some = lambda common, rare: np.unique(np.r_[rng.integers(0, 20, common), rng.integers(20, n_terms, rare)])
+    scaled = lambda t: idf[t] ** 2 / np.sqrt((idf[t] ** 2).sum())
+    docs = [(t, 1 / np.sqrt((idf[t] ** 2).sum())) for t in (some(15, rng.integers(2, 40)) for _ in range(n_docs))]
+    asked = [(t, scaled(t)) for t in (some(8, 3) for _ in range(n_queries))]
+    keys = rng.integers(-(2**62), 2**62, n_terms)
+    df = np.bincount(np.concatenate([t for t, _ in docs]), minlength=n_terms)
+    flat = np.concatenate([t for t, _ in asked])
+    rows = {"query_id": np.repeat(np.arange(n_queries), [len(t) for t, _ in asked]), "a": keys[flat], "b": keys[flat], "df": df[flat], "pull": np.concatenate([p for _, p in asked])}
+    queries = P._by_query(pa.table(rows), threshold)
+    of = [(t[np.isin(keys[t], queries.first)], x) for t, x in docs]
+    held = [(i, i // 2, np.searchsorted(queries.first, keys[t]), np.full(len(t), x)) for i, (t, x) in enumerate(of)]
+
+    dense = np.zeros((n_queries, n_docs))
+    for i, (t, p) in enumerate(asked):
+        pulls = np.zeros(n_terms)
+        pulls[t] = p
+        dense[i] = [x * pulls[d].sum() for d, x in docs]
+    want = {}
+    for i, row in enumerate(np.round(dense, 10)):
+        best = {}
+        for d in np.flatnonzero(row > threshold):
+            best[d // 2] = max(best.get(d // 2, (0, 0)), (row[d], d))
+        want[i] = sorted(best.values(), reverse=True)[:k]
+
+    summed, real = [], P._Best.add
+    monkeypatch.setattr(P._Best, "add", lambda self, q, dots, doc: summed.append(len(q)) or real(self, q, dots, doc))
+    for most in (1, 10**9):
+        best = P._Best(n_queries, k, threshold, 10)
+        best.most, best.low = most, queries.floors - P._SPARE
+        P._multiply(queries, held, best)
+        got = {i: [] for i in range(n_queries)}
+        for q, score, doc in sorted(zip(*best.settle()), key=lambda r: (r[0], -r[1], -best.ids[r[2]])):
+            got[queries.ids[q].as_py()].append((pytest.approx(score, abs=1e-9), best.ids[doc]))
+        assert got == want
+        if most == 1 and k < 50:
+            shared = sum((dense[i] > 0).sum() for i in range(n_queries))
+            assert sum(summed) < shared / 3
