@@ -589,3 +589,36 @@ def test_a_large_batch_sums_up_few_pairs(monkeypatch, k, threshold):
         if most == 1 and k < 50:
             shared = sum((dense[i] > 0).sum() for i in range(n_queries))
             assert sum(summed) < shared / 3
+
+
+@pytest.mark.parametrize("span", [(1, 2), (1, 1), (2, 3), (1, 9)])
+@pytest.mark.parametrize("slices", [1, 4])
+def test_terms_of_rows_by_slice(span, slices):
+    """Counted as plain Python counts them, in order, each term in one slice whatever rows it is met with."""
+    import collections
+
+    import pyarrow as pa
+
+    rng, where = random.Random(1), {}
+    lines = [" ".join(rng.choice(["ab", "abc", "abc1", "f1", "zz", "z0", "k" * 40]) for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(200)]
+    for some in (lines, lines[100:], ["", ""], []):
+        bags = ix._bags(pa.array(some, pa.string()), span, slices)
+        for i, line in enumerate(some):
+            w, held = line.split(), [[d["term"] for d in b[i].as_py()] for b in bags]
+            want = collections.Counter(" ".join(w[j : j + n]) for n in range(span[0], span[1] + 1) for j in range(len(w) - n + 1))
+            assert dict((d["term"], d["tf"]) for b in bags for d in b[i].as_py()) == want and sum(map(len, held)) == len(want)
+            assert all(terms == sorted(terms) for terms in held)
+            assert all(where.setdefault(term, s) == s for s, terms in enumerate(held) for term in terms)
+    assert set(where.values()) == set(range(slices))
+
+
+def test_terms_are_counted_a_slice_of_columns_at_a_time(spark, kb, monkeypatch):
+    """No slice of the terms reads the others, and no term is counted in Spark's own row-by-row functions."""
+    plans, real = [], ix.tidied
+    monkeypatch.setattr(ix, "tidied", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    built = build_index(kb, ["rule"], "rule", buckets=3)
+    vocab = [p for p in plans if "bag" in p and "term" in p and "MapInArrow" not in p]
+    assert len(vocab) == ix.SLICES
+    for i, plan in enumerate(vocab):
+        assert [f"bag{j}" in plan for j in range(ix.SLICES)] == [j == i for j in range(ix.SLICES)]
+    assert built.words.count() == built.words.distinct().count()
